@@ -44,28 +44,26 @@ def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-_POWERS = np.ones(1, U)
+MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        p = np.full(max(n, 4096), U(0x9E3779B97F4A7C15) | U(1), U)
-        p[0] = 1
-        _POWERS = np.multiply.accumulate(p)
-    return _POWERS
+def lanes(data: np.ndarray) -> np.ndarray:
+    """For each position, the 8 bytes from there as a little-endian integer (bytes after the end: 0)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(shape=(len(data),), dtype="<u8", buffer=padded, strides=(1,))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word; a sum of mixed bytes times powers, mixed with the length."""
-    if not len(starts):
-        return np.zeros(0, U)
+    """A 64-bit hash of the bytes of each range: its length and its 8-byte lanes, chained."""
     lengths = ends - starts
-    at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    picked = data[np.repeat(starts, lengths) + at]
-    terms = _BYTES[picked] * _powers(int(lengths.max()))[at]
-    sums = np.add.reduceat(terms, np.cumsum(lengths) - lengths)
-    return pair(sums, lengths.astype(U))
-
-
-_BYTES = mix(np.arange(1, 257, dtype=U))
+    out = mix(lengths.astype(U) + U(0x51ED270B))
+    if not len(starts):
+        return out
+    view, on, k = lanes(data), np.flatnonzero(lengths > 0), 0
+    while len(on):
+        left = lengths[on] - 8 * k
+        out[on] = pair(out[on], view[starts[on] + 8 * k] & MASK[np.minimum(left, 8)])
+        on = on[left > 8]
+        k += 1
+    return out

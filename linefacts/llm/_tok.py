@@ -3,8 +3,8 @@
 Both kinds of vocabulary split a text before they merge, and never across the
 places where a text is cut here, so the ids of a text are the ids of its pieces:
 
-* ``drop``: white space is dropped by the pre-tokenizer. Every space and line
-  feed is a cut.
+* ``drop``: white space is dropped by the pre-tokenizer. Every run of ASCII
+  white space is a cut.
 * ``keep``: a word takes the one space before it. A lone space or line feed
   between two characters that aren't white space is a cut; a text with any
   other white space is cut by a pattern with the same three branches as the
@@ -21,10 +21,15 @@ import re
 
 import numpy as np
 
-KNOWN = 1_000_000
+from linefacts.llm._hash import MASK, U, buffer_of, lanes, mix, word_hashes, words_of
+
+KNOWN = 3_000_000
 #: Unicode's White_Space characters, as the tokenizers' patterns see them.
 WHITE = "\x09-\x0d\x20\x85\xa0  -     　"
 ODD = re.compile(rf"[{WHITE.replace(chr(32), '')}]").search
+#: Those beyond ASCII in UTF-8: first bytes that hint at them, and exactly.
+UTF8_WHITE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+ODD_BYTES = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80").search
 PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
 PLAIN_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,!?;:]*)").fullmatch
 
@@ -43,6 +48,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        if hasattr(self.tok.model, "_resize_cache"):
+            self.tok.model._resize_cache(0)  # it would only hold what `known` holds
         vocab = self.tok.get_vocab()
         size = max(vocab.values()) + 1
         self.length, self.ends = np.zeros(size, np.int64), np.zeros(size, bool)
@@ -51,7 +58,13 @@ class Encoder:
             self.ends[i] = token.endswith("</w>")
         self.drop = bool(self.ends.any())
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known pieces in the order of their hashes: hash, length and first 8 bytes, and their range of the pool of ids."""
+        self.hash, self.first = np.zeros(0, U), np.zeros(0, U)
+        self.bytes, self.from_, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, "<u4")
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -60,13 +73,15 @@ class Encoder:
         raw, at = ids.tobytes(), [0, *(ends * 4).tolist()]
         return [raw[a:b] for a, b in zip(at, at[1:])]
 
-    def _learn(self, new: list[str]) -> None:
-        """Adds pieces; a ``keep`` piece's key is its text."""
-        plain, marks = [], []
-        other = []
-        special = self.special
+    def _encode(self, new: list[str]) -> list[bytes]:
+        """The ids of each piece; a ``keep`` piece has the white space before it."""
+        known: dict[str, bytes] = {}
+        plain, marks, other = [], [], []
+        whole = "\x00".join(new)
+        special = [x for x in self.special if x in whole]
+        odd = bool(ODD(whole.replace("\n", ""))) if not self.drop else False
         for x in new:
-            if any(s in x for s in special):
+            if special and any(s in x for s in special):
                 other.append(x)
             elif self.drop:
                 if m := PLAIN_WORD(x):
@@ -74,7 +89,7 @@ class Encoder:
                     marks.append(2 if m[1] else 1)
                 else:
                     other.append(x)
-            elif len(x) > 1 and x[0] == " " and x[1] not in " \n" and not ODD(x):
+            elif x[0] == " " and x[1:2] not in ("", " ", "\n") and not (odd and ODD(x)):
                 plain.append(x)
             else:
                 other.append(x)
@@ -95,23 +110,81 @@ class Encoder:
             if ends is None:  # a vocabulary that breaks the rules above: encode one by one
                 other += plain
             else:
-                self.known.update(zip(plain, self._cut(ids, ends)))
+                known.update(zip(plain, self._cut(ids, ends)))
         if other:
-            self.known.update(zip(other, self._raw(other)))
-
-    def pieces(self, text: str) -> list[str]:
-        if self.drop:
-            return text.replace("\n", " ").split(" ")
-        return PIECES(text)
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each whole text as little-endian unsigned 32-bit integers; null: none."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        new = list(set().union(*cut).difference(self.known)) if cut else []
-        if len(self.known) + len(new) > KNOWN:
-            self.known = {}
-            new = list(set().union(*cut))
-        self.known[""] = b""
-        self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+            known.update(zip(other, self._raw(other)))
+        return [known[x] for x in new]
+
+    def _slow(self, texts: list[str]) -> list[bytes]:
+        """Texts with white space that the fast cut doesn't cover."""
+        cut = [PIECES(t) for t in texts]
+        new = list(set().union(*cut))
+        known = dict(zip(new, self._encode(new)))
+        return [b"".join(map(known.__getitem__, c)) for c in cut]
+
+    def _find(self, hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each piece among the known ones, and which aren't known."""
+        at = np.searchsorted(self.hash, hashes)
+        at[at == len(self.hash)] = 0
+        if not len(self.hash):
+            return at, np.ones(len(hashes), bool)
+        return at, (self.hash[at] != hashes) | (self.first[at] != first) | (self.bytes[at] != size)
+
+    def _learn(self, hashes, first, size, pieces) -> None:
+        ids = self._encode(pieces)
+        n = np.array([len(x) // 4 for x in ids], np.int64)
+        at = np.searchsorted(self.hash, hashes)
+        end = len(self.pool) + np.cumsum(n)
+        self.hash, self.first = np.insert(self.hash, at, hashes), np.insert(self.first, at, first)
+        self.bytes, self.from_, self.count = np.insert(self.bytes, at, size), np.insert(self.from_, at, end - n), np.insert(self.count, at, n)
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+
+    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of each whole UTF-8 text as little-endian unsigned 32-bit integers; null: none.
+
+        A piece is known by a 64-bit hash, its length and its first 8 bytes.
+        """
+        data, edges = buffer_of(texts)
+        starts, ends = words_of(data)
+        doc = np.searchsorted(edges, starts, "right") - 1
+        hashes, before, odd = word_hashes(data, starts, ends), None, []
+        if not self.drop:
+            first = np.ones(len(starts), bool)
+            first[1:] = doc[1:] != doc[:-1]
+            gap = starts - np.where(first, edges[doc], np.concatenate([[0], ends[:-1]])[: len(starts)])
+            char = data[np.maximum(starts - 1, 0)]
+            before = np.where(gap == 0, 0, np.where((gap == 1) & (char == 32), 1, np.where((gap == 1) & (char == 10), 2, 3)))
+            last = np.zeros(len(texts), np.int64)
+            last[doc] = ends  # the last word of a text wins
+            bad = np.zeros(len(texts), bool)
+            bad[doc[before == 3]] = True
+            bad |= (last != edges[1:] - 1) & (np.diff(edges) > 1)
+            if any(x in data.tobytes() for x in UTF8_WHITE):
+                bad |= np.array([ODD_BYTES(t) is not None if t else False for t in texts])
+            odd = np.flatnonzero(bad).tolist()
+            hashes = hashes ^ mix(before.astype(U))
+        size = ends - starts
+        lead = lanes(data)[starts] & MASK[np.minimum(size, 8)]
+        at, new = self._find(hashes, lead, size)
+        if new.any():
+            if len(self.hash) + int(new.sum()) > KNOWN:
+                self._forget()
+                new[:] = True
+            _, one = np.unique(hashes[new], return_index=True)
+            one = np.flatnonzero(new)[one]
+            raw = data.tobytes()
+            pieces = [raw[a:b].decode() for a, b in zip(starts[one].tolist(), ends[one].tolist())]
+            if before is not None:
+                pieces = [("", " ", "\n", "")[k] + x for k, x in zip(before[one].tolist(), pieces)]
+            self._learn(hashes[one], lead[one], size[one], pieces)
+            at, new = self._find(hashes, lead, size)
+            if new.any():  # two pieces with one hash
+                odd = sorted({*odd, *doc[new].tolist()})
+        n, from_, pool = self.count[at], self.from_[at], self.pool
+        place = np.repeat(from_ - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        out, total = pool[place].tobytes(), np.zeros(len(texts) + 1, np.int64)
+        np.cumsum(np.bincount(doc, n, len(texts)).astype(np.int64) * 4, out=total[1:])
+        got = [out[a:b] for a, b in zip(total.tolist(), total[1:].tolist())]
+        for k, x in zip(odd, self._slow([texts[k].decode() for k in odd]) if odd else []):
+            got[k] = x
+        return got

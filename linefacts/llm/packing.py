@@ -31,7 +31,7 @@ from linefacts.llm._shared import written
 from linefacts.llm._tok import encoder
 
 GROUP = 65_536
-BATCH = 512
+BATCH = 1024
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -106,7 +106,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, size: int, key: str
             for i in range(0, b.num_rows, BATCH):
                 part = b.slice(i, BATCH)
                 rows: list[tuple] = []
-                for key_, raw in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
+                for key_, raw in zip(part.column("doc_id").to_pylist(), encode(part.column("text").cast("binary").to_pylist())):
                     raw += end
                     n = len(raw) // 4
                     at, k = 0, 0

@@ -3,7 +3,8 @@
 Layout of a store (all files in the shared folder):
 
 * ``ids-*.bin``: the ids of a shard's documents, one after another, as
-  little-endian unsigned 32-bit integers and nothing else;
+  little-endian unsigned integers of ``width`` bytes (2 if the vocabulary has
+  no more than 65,536 ids, else 4) and nothing else;
 * ``off-*.bin``: n + 1 little-endian unsigned 64-bit positions into it;
 * ``mph-*.npz``: for each bucket of keys, the bit levels of a minimal perfect
   hash function and, in its order, a 32-bit fingerprint of the key, the shard,
@@ -39,7 +40,7 @@ from linefacts.llm._tok import encoder
 BUCKET = 200_000
 #: Bits for each key on a level.
 GAMMA = 2.0
-BATCH = 512
+BATCH = 1024
 
 
 def build_mph(hashes: np.ndarray) -> dict[str, np.ndarray]:
@@ -93,6 +94,7 @@ class TokenStore:
     shards: DataFrame  # shard, ids_path, off_path, n_docs, n_tokens, base (ids before it)
     index: DataFrame  # bucket, index_path, n_keys
     buckets: int
+    width: int
 
     def lookup(self, keys: DataFrame, key: str = "doc_id") -> DataFrame:
         """(key, shard, at, rows) of each distinct key of ``keys`` that the store has."""
@@ -145,13 +147,14 @@ class TokenStore:
                     at = sub.column("doc").to_numpy() - sub.column("first_doc").to_numpy()
                     crc, ids = [], []
                     for a, z in zip(off[at].tolist(), off[at + 1].tolist()):
-                        raw = f.read_at((z - a) * 4, a * 4)
+                        raw = np.frombuffer(f.read_at((z - a) * width, a * width), f"<u{width}").astype("<u4").tobytes()
                         crc.append(zlib.crc32(raw))
                         if with_ids:
                             ids.append(raw)
                     out = {"doc_id": sub.column("key"), "start": sub.column("base").to_numpy() + off[at], "n_tokens": off[at + 1] - off[at], "ids_crc32": np.array(crc, np.int64)}
                     yield from pa.table(out | ({"ids": ids} if with_ids else {})).to_batches()
 
+        width = self.width
         near = placed.repartition("to").sortWithinPartitions("to", "doc")
         return near.mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
@@ -189,6 +192,7 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_i
 
     One shuffle by ranges of the key moves the texts; a shard is a range.
     """
+    width = 2 if max(len(encoder(vocabulary).length), end_id + 1) <= 1 << 16 else 4
     spark, root = docs.sparkSession, new_path(docs.sparkSession, "tokens")
     # The hash of the text spreads a key that very many rows share, and orders its rows.
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
@@ -199,17 +203,17 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_i
 
         shard, mark = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
         names = f"{root}/ids-{shard:06d}-{mark}.bin", f"{root}/off-{shard:06d}-{mark}.bin"
-        encode, end, out, at, place, offsets = encoder(vocabulary), np.array([end_id], "<u4").tobytes(), None, 0, 0, [np.zeros(1, "<u8")]
+        encode, end, out, at, place, offsets = encoder(vocabulary), np.array([end_id], f"<u{width}").tobytes(), None, 0, 0, [np.zeros(1, "<u8")]
         for b in batches:
             for i in range(0, b.num_rows, BATCH):
                 part = b.slice(i, BATCH)
-                ids = encode(part.column("text").to_pylist())
+                ids = encode(part.column("text").cast("binary").to_pylist())
                 if out is None:
                     fs, p = filesystem(names[0])
                     fs.create_dir(p.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(p)
                 for raw in ids:
-                    out.write(raw)
+                    out.write(np.frombuffer(raw, "<u4").astype(f"<u{width}").tobytes())
                     out.write(end)
                 n = np.array([len(x) // 4 + 1 for x in ids], np.int64)
                 ends = at + np.cumsum(n)
@@ -252,7 +256,7 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_i
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "index_path": [path], "n_keys": [len(table)]})
 
     index = written(keys.groupBy("bucket").applyInArrow(build, "bucket int, index_path string, n_keys long"), "token-index")
-    return TokenStore(spark, root, table, index, buckets)
+    return TokenStore(spark, root, table, index, buckets, width)
 
 
 def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
