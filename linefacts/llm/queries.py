@@ -8,7 +8,8 @@ from linefacts.llm.near_duplicates import OP6_SQL, op6_lsh_forest_join
 from linefacts.llm.order_minhash import op3_order_minhash
 from linefacts.llm.packing import op2_vector_packing
 from linefacts.llm.quality import OP5_SQL, op5_line_frequency
+from linefacts.llm.suffix_dedup import op4_suffix_dedup
 from linefacts.llm.token_index import op1_token_index
 
-QUERIES = {f.__name__: f for f in (op1_token_index, op2_vector_packing, op3_order_minhash, op5_line_frequency, op6_lsh_forest_join, op7_hypergeometric_mix, op8_arc_to_warc)}
+QUERIES = {f.__name__: f for f in (op1_token_index, op2_vector_packing, op3_order_minhash, op4_suffix_dedup, op5_line_frequency, op6_lsh_forest_join, op7_hypergeometric_mix, op8_arc_to_warc)}
 SQL = {"op5_line_frequency": OP5_SQL, "op6_lsh_forest_join": OP6_SQL, "op8_arc_to_warc": OP8_SQL}
