@@ -111,7 +111,7 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int = 7) -> DataFrame:
         left_width = (F.col("width") / 2).cast("int")
         first = F.struct(F.floor(total * left_width / F.col("width")).cast("long").alias("n"), total.alias("of"), F.array().cast("array<bigint>").alias("out"))
 
-        def step(t: Column, k: Column, level: int = level) -> Column:
+        def step(t: Column, k: Column) -> Column:
             x = hypergeometric(t["n"], k, t["of"], unit(F.lit(seed), F.lit(level), F.col("shard"), F.size(t["out"])))
             return _let(x, lambda got: F.struct((t["n"] - got).alias("n"), (t["of"] - k).alias("of"), F.concat(t["out"], F.array(got)).alias("out")))
 
