@@ -67,3 +67,42 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         on = on[left > 8]
         k += 1
     return out
+
+
+class Lookup:
+    """Values of distinct 64-bit keys; a search costs a few array reads whatever the number of keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.levels, k, v = [], keys, values
+        while len(k):
+            bits = max(8, int(4 * len(k)).bit_length())
+            at = self._at(k, len(self.levels), bits)
+            held, val = np.zeros(1 << bits, U), np.zeros(1 << bits, values.dtype)
+            full = np.zeros(1 << bits, bool)
+            held[at], val[at], full[at] = k, v, True  # the last of those that fall together wins
+            self.levels.append((bits, held, val, full))
+            lost = held[at] != k
+            k, v = k[lost], v[lost]
+
+    @staticmethod
+    def _at(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
+        return ((keys ^ (keys >> U(29))) * FACTORS[level % len(FACTORS)] >> U(64 - bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray, default=0) -> np.ndarray:
+        out, rest = None, None
+        for n, (bits, held, val, full) in enumerate(self.levels):
+            k = keys if rest is None else keys[rest]
+            at = self._at(k, n, bits)
+            hit = (held[at] == k) & full[at]
+            if rest is None:
+                out = np.where(hit, val[at], np.asarray(default, val.dtype))
+                rest = np.flatnonzero(~hit)
+            else:
+                out[rest[hit]] = val[at[hit]]
+                rest = rest[~hit]
+            if not len(rest):
+                break
+        return np.full(len(keys), default) if out is None else out
+
+
+FACTORS = mix(np.arange(301, 333, dtype=U)) | U(1)
