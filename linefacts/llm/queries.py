@@ -11,6 +11,7 @@ from linefacts.llm.packing import op2_vector_packing
 from linefacts.llm.quality import OP5_SQL, op5_line_frequency
 from linefacts.llm.suffix_dedup import op4_suffix_dedup
 from linefacts.llm.token_index import op1_token_index
+from linefacts.llm.toxicity import op10_weak_supervision
 
-QUERIES = {f.__name__: f for f in (op1_token_index, op2_vector_packing, op3_order_minhash, op4_suffix_dedup, op5_line_frequency, op6_lsh_forest_join, op7_hypergeometric_mix, op8_arc_to_warc, op9_context_tree)}
+QUERIES = {f.__name__: f for f in (op1_token_index, op2_vector_packing, op3_order_minhash, op4_suffix_dedup, op5_line_frequency, op6_lsh_forest_join, op7_hypergeometric_mix, op8_arc_to_warc, op9_context_tree, op10_weak_supervision)}
 SQL = {"op5_line_frequency": OP5_SQL, "op6_lsh_forest_join": OP6_SQL, "op8_arc_to_warc": OP8_SQL}
