@@ -42,7 +42,7 @@ from linefacts.llm._shared import written
 FIT = 40_000
 VOTERS = 56
 #: Lengths of word beginnings that may become patterns.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
 LETTERS = re.compile(r"[^\W\d_]+").findall
 STYLE = ("mostly capitals", "many exclamation marks", "many symbols")
 
@@ -126,8 +126,8 @@ def mined(sample: DataFrame, voters: int = VOTERS) -> tuple[list[str], float]:
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     n, all_ = a + b, ya + yb
     g2 = 2 * (part(a, n * ya / all_) + part(b, n * yb / all_) + part(ya - a, (all_ - n) * ya / all_) + part(yb - b, (all_ - n) * yb / all_))
-    # Voters must be precise as well as significant: nine toxic rows for each clean one, at equal numbers of both.
-    best = told.where("term <> ''").withColumn("g2", g2).where((F.col("g2") > limit) & (a / ya > 9 * b / yb)).orderBy(F.col("g2").desc(), "term").limit(4 * voters).collect()
+    # Voters must be precise as well as significant: thirty toxic rows for each clean one, at equal numbers of both.
+    best = told.where("term <> ''").withColumn("g2", g2).where((F.col("g2") > limit) & (a / ya > 30 * (b + 0.5) / yb)).orderBy(F.col("g2").desc(), "term").limit(4 * voters).collect()
     kept: list[str] = []
     seen: dict[tuple, str] = {}
     for r in best:  # of terms that differ only in length and stand in the same rows, one
