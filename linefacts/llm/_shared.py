@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +49,17 @@ def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, unless PYTHONPATH leads them to it."""
+    top = Path(__file__).resolve().parents[2]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or any(p and Path(p).resolve() == top for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)):
+        return
+    _shipped.add(app)
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "linefacts-llm"), "zip", top, "linefacts")
+    spark.sparkContext.addPyFile(made)

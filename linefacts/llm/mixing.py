@@ -198,6 +198,20 @@ def _dealt(draws: DataFrame, shards: int, seed: int) -> DataFrame:
     return draws.alias("d").join(part.alias("p"), same).select("d.source", "d.block", "d.pass", "d.whole", "p.shard")
 
 
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, **how) -> DataFrame:
+    """The documents of the mix with all their columns, a row for each copy. Texts move once."""
+    _, _, drawn = mix(docs, key, text, source, seed=seed, **how)
+    keys = ["i__", "j__", "s__", "t__", "h__"]
+    named = lambda i, s, h: [F.coalesce(i.cast("string"), F.lit("")).alias("i__"), i.isNull().alias("j__"), F.coalesce(s.cast("string"), F.lit("")).alias("s__"), s.isNull().alias("t__"), h.alias("h__")]
+    count = drawn.select(*named(F.col("doc_id"), F.col("source"), F.col("h"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("k__"))
+    rows = docs.select("*", *named(F.col(key), F.col(source), F.xxhash64(F.lit(seed), F.col(key), F.col(text))))
+    one = Window.partitionBy(*keys)
+    rows = rows.withColumn("r__", F.row_number().over(one.orderBy("h__"))).withColumn("n__", F.count(F.lit(1)).over(one))
+    times = F.floor(F.col("k__") / F.col("n__")) + F.when(F.col("r__") <= F.col("k__") % F.col("n__"), 1).otherwise(0)
+    copies = rows.join(count, keys).withColumn("c__", times.cast("int")).where("c__ > 0")
+    return copies.withColumn("c__", F.explode(F.sequence(F.lit(1), F.col("c__")))).select(*docs.columns)
+
+
 def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, sources, drawn = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     took = drawn.groupBy("doc_id", "source", "size", "h", "copy").agg(F.sum("size").alias("taken"))
