@@ -1,8 +1,65 @@
-"""Corpus preparation in stages; each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""Corpus preparation in five stages.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next one's docs. All but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from linefacts.llm._shared import ship, written
+from linefacts.llm.mixing import mixed
+from linefacts.llm.near_duplicates import one_of_each
+from linefacts.llm.packing import pack_documents
+from linefacts.llm.quality import cleaned
+from linefacts.llm.suffix_dedup import deduplicated
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, without lines that very many documents of their host hold."""
+    ship(spark)
+    return cleaned(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group with word 5-gram similarity of 0.8 or more."""
+    ship(spark)
+    return one_of_each(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 200 bytes that stand anywhere else too."""
+    ship(spark)
+    return deduplicated(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixed(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their sequences and places."""
+    ship(spark)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_strings),
+    ("mixing sources to target weights", source_mix),
+    ("best-fit packing", packing),
+]
+#: SQL can't express hashed draws, token ids or packing; tests/llm has brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
