@@ -1,4 +1,541 @@
-"""The catalogue of runnable queries and their SQL."""
+"""The catalogue of runnable queries and their SQL.
 
-QUERIES: dict = {}
+Driver tables stand in for the accounting model: ``documents`` are files
+(identity: digest of the text; scope: source; language: lang), ``pages`` are
+paths and markup, ``lineitem`` gives lines, contexts and spans, ``labels`` an
+optional measure, ``conversations`` contexts, ``events`` manifests and timings.
+Cases that these tables lack come as inline rows on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linefacts.functions import languages, text
+from linefacts.operators import accounting, graph, incremental, ledger, lines, selection
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
+
+
+def inline(rows: str, columns: str) -> str:
+    return f"(SELECT * FROM (VALUES {rows}) t({columns}))"
+
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return t.select("doc_id", F.md5(F.col("text").cast("binary")).alias("identity"), path.alias("path"), F.col("source").alias("scope"), F.col("lang").alias("language"), "text")
+
+
+FILES = "(SELECT doc_id, md5(text) AS identity, source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, source AS scope, lang AS language, text FROM documents)"
+LINES = "CAST(CASE WHEN text IS NULL OR text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END AS BIGINT)"
+
+
+def facts(spark: SparkSession, d: str) -> DataFrame:
+    """A contribution for each file: blank lines are empty ones; documents have no comments; test is an optional label."""
+    f = files(spark, d)
+    n = text.physical_lines(F.col("text"))
+    blanks = F.size(F.filter(text.lines_of(F.col("text")), lambda x: x == "")).cast("long")
+    label = table(spark, d, "labels").select("doc_id", F.col("toxic").cast("long").alias("test"))
+    one = f.select("doc_id", "identity", "scope", "language", F.lit(1).cast("long").alias("files"), n.alias("lines"), blanks.alias("blanks"), F.lit(0).cast("long").alias("comments"), (n - blanks).alias("code"))
+    return one.join(label, "doc_id", "left")
+
+
+FACTS = f"""(SELECT f.doc_id, identity, scope, language, CAST(1 AS BIGINT) AS files, lines, blanks, CAST(0 AS BIGINT) AS comments, lines - blanks AS code, CAST(l.toxic AS BIGINT) AS test
+ FROM (SELECT *, {LINES} AS lines, CAST(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x = '')) - CASE WHEN text IS NULL OR text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS blanks FROM {FILES}) f
+ LEFT JOIN labels l ON f.doc_id = l.doc_id)"""
+SUMS = ", ".join(f"CAST(sum({m}) AS BIGINT) AS {m}" for m in accounting.MEASURES)
+POISON = "CASE WHEN bool_or(test IS NULL) THEN NULL ELSE CAST(coalesce(sum(test), 0) AS BIGINT) END AS test"
+
+
+# --- ledger ------------------------------------------------------------------
+
+
+@query(f"SELECT identity, min(path) AS rep_path, count(*) AS n_aliases, min(scope) AS scope FROM {FILES} GROUP BY identity")
+def ledger_dedup(spark, d):
+    return ledger.dedup(files(spark, d).withColumn("s", F.col("scope")), "identity", "path").select("identity", "rep_path", "n_aliases").join(files(spark, d).groupBy("identity").agg(F.min("scope").alias("scope")), "identity")
+
+
+@query(f"SELECT identity, array_to_string(list_sort(list(DISTINCT path)), ',') AS aliases, count(*) AS n_aliases FROM {FILES} GROUP BY identity HAVING count(*) > 1")
+def alias_groups(spark, d):
+    return ledger.dedup(files(spark, d)).where("n_aliases > 1").select("identity", F.array_join("aliases", ",").alias("aliases"), "n_aliases")
+
+
+@query(f"SELECT scope, CAST(sum({LINES}) AS BIGINT) AS lines, count(*) AS files FROM {FILES} GROUP BY scope")
+def physical_lines(spark, d):
+    return files(spark, d).groupBy("scope").agg(F.sum(text.physical_lines(F.col("text"))).alias("lines"), F.count(F.lit(1)).alias("files"))
+
+
+EDGES = "(1, ''), (2, 'a'), (3, 'a\n'), (4, '\n'), (5, '\n\n'), (6, 'a\n\nb'), (7, 'a\r\nb\r\n'), (8, CAST(NULL AS VARCHAR(9)))"
+
+
+@query(f"SELECT id, {LINES} AS lines FROM {inline(EDGES, 'id, text')}")
+def physical_lines_edge(spark, d):
+    return values(spark, EDGES, "id, text").select("id", text.physical_lines(F.col("text")).alias("lines"))
+
+
+@query("SELECT doc_id, line_no, md5(line) AS line FROM (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line_no, unnest(string_split(text, chr(10))) AS line, text, len(string_split(text, chr(10))) AS n FROM documents) WHERE text <> '' AND NOT (line = '' AND line_no = n)")
+def line_explode(spark, d):
+    return lines.exploded(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "line_no", F.md5(F.col("line").cast("binary")).alias("line"))
+
+
+@query("""SELECT doc_id, line_no, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+ CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + strlen(line) AS BIGINT) AS "end"
+ FROM (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line_no, unnest(string_split(text, chr(10))) AS line, text, len(string_split(text, chr(10))) AS n FROM documents) WHERE text <> '' AND NOT (line = '' AND line_no = n)""")
+def line_offsets(spark, d):
+    return lines.with_offsets(table(spark, d, "documents"), "doc_id")
+
+
+@query("""SELECT CASE WHEN trim(line) = '' THEN 'blank' WHEN starts_with(ltrim(line), '<!--') THEN 'comment' ELSE 'code' END AS kind, count(*) AS n
+ FROM (SELECT unnest(string_split(html, chr(10))) AS line FROM pages) GROUP BY 1""")
+def line_classify(spark, d):
+    each = table(spark, d, "pages").select(F.explode(F.split("html", "\n")).alias("line"))
+    kind = F.when(F.trim("line") == "", "blank").when(F.ltrim("line").startswith("<!--"), "comment").otherwise("code")
+    return each.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+CLAMP = "(1, 10, 2, 3, 5), (2, 10, 4, 8, 9), (3, 3, 5, 1, 1), (4, 10, 0, 12, 4), (5, 10, 1, 0, 0), (6, 0, 1, 1, 1)"
+
+
+@query(f"""SELECT id, b AS blanks, c - (x - least(k, x)) AS comments, r - (c - (x - least(k, x))) AS code FROM (
+ SELECT id, b, r, least(comments, r) AS c, least(code, r) AS k, greatest(least(comments, r) + least(code, r) - r, 0) AS x FROM (
+ SELECT *, least(blanks, lines) AS b, lines - least(blanks, lines) AS r FROM {inline(CLAMP, 'id, lines, blanks, comments, code')} UNION ALL
+ SELECT *, least(blanks, lines) AS b, lines - least(blanks, lines) AS r FROM (SELECT CAST(l_orderkey * 10 + l_linenumber AS INTEGER) AS id, CAST(l_quantity AS INTEGER) AS lines, l_linenumber AS blanks, CAST(floor(l_quantity / 2) AS INTEGER) AS comments, CAST(l_quantity AS INTEGER) AS code FROM lineitem)))""")
+def category_clamp(spark, d):
+    item = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("int").alias("id"), F.col("l_quantity").cast("int").alias("lines"), F.col("l_linenumber").alias("blanks"), F.floor(F.col("l_quantity") / 2).cast("int").alias("comments"), F.col("l_quantity").cast("int").alias("code"))
+    both = values(spark, CLAMP, "id, lines, blanks, comments, code").unionByName(item)
+    b, c, k = text.clamp_categories(*(F.col(x) for x in ("lines", "blanks", "comments", "code")))
+    return both.select("id", b.alias("blanks"), c.alias("comments"), k.alias("code"))
+
+
+# --- languages ---------------------------------------------------------------
+
+NAMES = "('a/BUILD'), ('Makefile'), ('x/CMakeLists.txt'), ('meson.build'), ('rakefile'), ('Snakefile'), ('none'), ('PKGBUILD'), ('nuget.config'), ('Dockerfile')"
+
+
+@query(f"""SELECT path, CASE lower(regexp_extract(path, '[^/]*$')) WHEN 'build' THEN 'Bazel' WHEN 'makefile' THEN 'Makefile' WHEN 'cmakelists.txt' THEN 'CMake' WHEN 'meson.build' THEN 'Meson' WHEN 'rakefile' THEN 'Rakefile'
+ WHEN 'snakefile' THEN 'Snakemake' WHEN 'pkgbuild' THEN 'Pacman Makepkg' WHEN 'nuget.config' THEN 'NuGet Config' WHEN 'dockerfile' THEN 'Dockerfile' END AS language FROM {inline(NAMES, 'path')}""")
+def special_names(spark, d):
+    return values(spark, NAMES, "path").select("path", languages.language_of(F.col("path"), F.lit("")).alias("language"))
+
+
+EXTS = "('a.py'), ('a/b.js'), ('x.h'), ('x.m'), ('x.inc'), ('x.scm'), ('x.s'), ('x.S'), ('x.rs'), ('x.toml'), ('.py'), ('x.unknown')"
+
+
+@query(f"""SELECT path, CASE path WHEN 'a.py' THEN 'Python' WHEN 'a/b.js' THEN 'JavaScript' WHEN 'x.h' THEN 'C Header' WHEN 'x.m' THEN 'Objective-C' WHEN 'x.inc' THEN 'Bitbake' WHEN 'x.scm' THEN 'Scheme'
+ WHEN 'x.s' THEN 'GNU Style Assembly' WHEN 'x.toml' THEN 'TOML' END AS language FROM {inline(EXTS, 'path')}""")
+def extension_lang(spark, d):
+    return values(spark, EXTS, "path").select("path", languages.language_of(F.col("path"), F.lit("")).alias("language"))
+
+
+BANGS = "('#!/bin/bash'), ('#!/usr/bin/bash'), ('#!/usr/bin/env python3'), ('#!/usr/bin/env -S python'), ('#!/bin/awk -f'), ('#!/bin/awk'), ('#!/usr/bin/env perl6'), ('#!/bin/sh -e'), ('no'), ('#!/usr/bin/perl')"
+
+
+@query(f"""SELECT head, CASE head WHEN '#!/bin/bash' THEN 'BASH' WHEN '#!/usr/bin/env python3' THEN 'Python' WHEN '#!/bin/awk -f' THEN 'AWK' WHEN '#!/usr/bin/env perl6' THEN 'Raku' WHEN '#!/bin/sh -e' THEN 'Shell'
+ WHEN '#!/usr/bin/perl' THEN 'Perl' END AS language FROM {inline(BANGS, 'head')}""")
+def shebang_lang(spark, d):
+    return values(spark, BANGS, "head").select("head", languages.shebang_language(F.col("head")).alias("language"))
+
+
+@query("SELECT page_id FROM pages WHERE regexp_matches(url, '\\.(html|js|css|json|xml|md|txt)$')")
+def candidate_filter(spark, d):
+    return table(spark, d, "pages").where(F.col("url").rlike(r"\.(html|js|css|json|xml|md|txt)$")).select("page_id")
+
+
+NULS = "(1, 'abc'), (2, 'a?c'), (3, '')"
+
+
+@query(f"SELECT id FROM {inline(NULS, 'id, t')} WHERE NOT contains(t, '?')")
+def binary_filter(spark, d):
+    t = values(spark, NULS, "id, t").withColumn("t", F.replace("t", F.lit("?"), F.lit("\0")))
+    return t.where(~F.contains(F.col("t"), F.lit("\0"))).select("id")
+
+
+# --- ownership ---------------------------------------------------------------
+
+PATHS = "(SELECT c_custkey AS id, r_name || '/' || n_name || '/' || CAST(c_custkey % 7 AS VARCHAR) || '/' || CAST(c_custkey AS VARCHAR) AS path, r_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+
+
+def paths(spark, d):
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    path = F.concat_ws("/", "r_name", "n_name", (F.col("c_custkey") % 7).cast("string"), F.col("c_custkey").cast("string"))
+    return c.select(F.col("c_custkey").alias("id"), path.alias("path"), "r_name", "n_name")
+
+
+def nations(spark, d):
+    return table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+
+
+@query(f"SELECT id FROM {PATHS} p JOIN nation n ON p.n_name = n.n_name WHERE n.n_nationkey % 3 <> 0 OR n.n_nationkey % 2 = 0")
+def boundary_filter(spark, d):
+    n = nations(spark, d)
+    below = n.select(F.concat_ws("/", "r_name", "n_name").alias("root"), ((F.col("n_nationkey") % 3 != 0) | (F.col("n_nationkey") % 2 == 0)).alias("selected"))
+    above = n.select(F.col("r_name").alias("root"), F.lit(True).alias("selected")).distinct()
+    return ledger.within_selected(paths(spark, d), above.unionByName(below), "id").select("id")
+
+
+@query(f"SELECT id, CASE WHEN n.n_nationkey % 2 = 0 THEN 'n:' || p.n_name ELSE 'r:' || p.r_name END AS owner FROM {PATHS} p JOIN nation n ON p.n_name = n.n_name")
+def deepest_owner(spark, d):
+    n = nations(spark, d)
+    deep = n.where("n_nationkey % 2 = 0").select(F.concat_ws("/", "r_name", "n_name").alias("root"), F.concat(F.lit("n:"), "n_name").alias("pkg"))
+    high = n.select(F.col("r_name").alias("root"), F.concat(F.lit("r:"), "r_name").alias("pkg")).distinct()
+    return ledger.deepest_owner(paths(spark, d), high.unionByName(deep), "id")
+
+
+@query("SELECT l_partkey AS identity, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN CAST(min(l_suppkey) AS VARCHAR) ELSE '<root>' END AS scope FROM lineitem GROUP BY l_partkey")
+def single_claimant(spark, d):
+    claims = table(spark, d, "lineitem").select(F.col("l_partkey").alias("identity"), F.col("l_suppkey").cast("bigint").alias("pkg"))
+    owners = claims.where("false").select("identity", F.lit("").alias("owner"))
+    one = claims.groupBy("identity").agg(F.count_distinct("pkg").alias("n"), F.min("pkg").cast("string").alias("p"))
+    strings = one.where("n = 1").select("identity", F.col("p").alias("pkg"))
+    return ledger.resolve_scope(claims.select("identity").distinct(), owners, strings)
+
+
+@query("""SELECT coalesce(d.doc_id, l.doc_id) AS identity, CAST(d.doc_id IS NULL AS BOOLEAN) AS added, CAST(l.doc_id IS NOT NULL AS BOOLEAN) AS claimed
+ FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0) d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id""")
+def claims_full_outer(spark, d):
+    held = table(spark, d, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("identity"), F.array(F.col("doc_id").cast("string")).alias("aliases"))
+    claims = table(spark, d, "labels").select(F.col("doc_id").alias("identity"), F.lit("x").alias("path"), F.lit("p").alias("pkg"))
+    return ledger.reconcile(held, claims).select("identity", "added", (F.size("pkgs") > 0).alias("claimed"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def selected_semi(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def unselected_anti(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT l_partkey AS identity, count(DISTINCT l_suppkey) AS n_pkgs FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1")
+def shared_sources(spark, d):
+    return ledger.shared_sources(table(spark, d, "lineitem").select(F.col("l_partkey").alias("identity"), F.col("l_suppkey").alias("pkg")))
+
+
+@query(f"""SELECT identity, CASE WHEN count(*) > 1 THEN 'duplicate' END AS problem FROM {FILES} GROUP BY identity HAVING count(*) > 1 UNION ALL SELECT 'ghost', 'unknown'""")
+def partition_violations(spark, d):
+    f = files(spark, d)
+    facts_ = f.select("identity", F.lit(1).alias("files")).unionByName(values(spark, "('ghost', 1)", "identity, files"))
+    return ledger.partition_violations(f.select("identity").distinct(), facts_)
+
+
+@query(f"SELECT identity, 'x' AS problem FROM {FILES} WHERE false")
+def partition_clean(spark, d):
+    one = files(spark, d).select("identity").distinct()
+    return ledger.partition_violations(one, one.withColumn("files", F.lit(1)))
+
+
+LABELS = "('p1', 'dup', 'a'), ('p2', 'dup', 'b'), ('p3', 'sole', 'c'), ('p4', 'top', ''), ('p5', 'top', 'x')"
+
+
+@query(f"SELECT id, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN name || ' (' || CASE WHEN qualifier = '' THEN id ELSE qualifier END || ')' ELSE name END AS label FROM {inline(LABELS, 'id, name, qualifier')}")
+def label_qualify(spark, d):
+    return ledger.qualified_labels(values(spark, LABELS, "id, name, qualifier")).select("id", "label")
+
+
+CLASH = "('q1', 'same', 'z'), ('q2', 'same', 'z'), ('q3', 'else', 'z')"
+
+
+@query(f"SELECT id, CASE WHEN name = 'same' THEN 'same (z) [scope:package:' || upper(hex(id)) || ']' ELSE name END AS label FROM {inline(CLASH, 'id, name, qualifier')}")
+def label_disambiguate(spark, d):
+    return ledger.qualified_labels(values(spark, CLASH, "id, name, qualifier")).select("id", "label")
+
+
+ROUTES = "(1, true, 'a.rs', true), (2, false, 'b.rs', true), (3, false, 'c.py', true), (4, false, 'd.bin', false)"
+
+
+@query(f"SELECT id, CASE WHEN claimed THEN 'configured-rust' WHEN ends_with(path, '.rs') THEN 'unconfigured-rust' WHEN known THEN 'lexical' END AS route FROM {inline(ROUTES, 'id, claimed, path, known')}")
+def route_choice(spark, d):
+    return values(spark, ROUTES, "id, claimed, path, known").select("id", ledger.route(F.col("claimed"), F.array("path"), F.col("known")).alias("route"))
+
+
+# --- lines and contexts ------------------------------------------------------
+
+FLAGS = "(SELECT l_orderkey AS file, l_linenumber AS line_no, l_returnflag <> 'R' AS production, l_quantity < 5 AS blank, l_discount > 0.08 AS comment, l_quantity >= 5 AS code FROM lineitem)"
+
+
+def flags(spark, d):
+    t = table(spark, d, "lineitem")
+    return t.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line_no"), (F.col("l_returnflag") != "R").alias("production"), (F.col("l_quantity") < 5).alias("blank"), (F.col("l_discount") > 0.08).alias("comment"), (F.col("l_quantity") >= 5).alias("code"))
+
+
+MASK = f"(SELECT file, line_no, bool_or(blank) AS blank, bool_or(comment) AS comment, bool_or(code AND production) AS is_code, bool_or(code AND NOT production) AND NOT bool_or(code AND production) AS is_test FROM {FLAGS} GROUP BY file, line_no)"
+
+
+@query(f"SELECT * FROM {MASK}")
+def mask_production_wins(spark, d):
+    return lines.production_wins(flags(spark, d), "file", "line_no")
+
+
+@query(f"SELECT file, count(*) FILTER (blank OR comment OR is_code OR is_test) AS lines, count(*) FILTER (blank) AS blanks, count(*) FILTER (comment) AS comments, count(*) FILTER (is_code) AS code, count(*) FILTER (is_test) AS test FROM {MASK} GROUP BY file")
+def line_totals(spark, d):
+    return lines.counted(lines.production_wins(flags(spark, d), "file", "line_no"), "file")
+
+
+RANGES = "(SELECT l_orderkey AS file, l_linenumber % 2 AS ctx, CAST(l_linenumber * 10 AS BIGINT) AS start, CAST(l_linenumber * 10 + CAST(l_quantity AS BIGINT) AS BIGINT) AS \"end\" FROM lineitem)"
+
+
+def ranges(spark, d):
+    t = table(spark, d, "lineitem")
+    s = (F.col("l_linenumber") * 10).cast("long")
+    return t.select(F.col("l_orderkey").alias("file"), (F.col("l_linenumber") % 2).alias("ctx"), s.alias("start"), (s + F.col("l_quantity").cast("long")).alias("end"))
+
+
+@query(f"""WITH r AS {RANGES}, f AS (SELECT DISTINCT file, ctx FROM r), e AS (
+ SELECT file, ctx, start AS off, 1 AS d FROM r UNION ALL SELECT file, ctx, "end", -1 FROM r UNION ALL SELECT file, ctx, 0, 0 FROM f UNION ALL SELECT file, ctx, 200, 0 FROM f),
+ g AS (SELECT file, ctx, off, sum(d) AS d FROM e GROUP BY file, ctx, off),
+ w AS (SELECT file, ctx, off, sum(d) OVER (PARTITION BY file, ctx ORDER BY off) AS depth, lead(off) OVER (PARTITION BY file, ctx ORDER BY off) AS e FROM g),
+ o AS (SELECT *, CASE WHEN lag(e) OVER (PARTITION BY file, ctx ORDER BY off) = off THEN 0 ELSE 1 END AS fresh FROM w WHERE e IS NOT NULL AND depth = 0),
+ n AS (SELECT *, sum(fresh) OVER (PARTITION BY file, ctx ORDER BY off) AS run FROM o)
+ SELECT file, ctx, min(off) AS start, max(e) AS "end" FROM n GROUP BY file, ctx, run""")
+def interval_sweep(spark, d):
+    r = ranges(spark, d)
+    return lines.active_spans(r, r.select("file", "ctx").distinct().withColumn("size", F.lit(200)), "file")
+
+
+@query(f"""WITH t AS (SELECT file, ctx AS tok, start, "end" FROM {RANGES} WHERE ctx = 0), s AS (SELECT file, ctx AS span, start, "end" FROM {RANGES} WHERE ctx = 1)
+ SELECT t.file, tok, span, greatest(t.start, s.start) AS start, least(t."end", s."end") AS "end" FROM t JOIN s ON t.file = s.file AND t.start < s."end" AND s.start < t."end" """)
+def span_overlap(spark, d):
+    r = ranges(spark, d)
+    return lines.overlaps(r.where("ctx = 0").withColumnRenamed("ctx", "tok"), r.where("ctx = 1").withColumnRenamed("ctx", "span"), "file", "tok", "span")
+
+
+SPANS = "(1, 1, 3), (2, 5, 5), (3, 2, 4)"
+
+
+@query(f"SELECT id, CAST(unnest(range(first_line, last_line + 1)) AS INTEGER) AS line_no FROM {inline(SPANS, 'id, first_line, last_line')}")
+def span_lines(spark, d):
+    return lines.touched_lines(values(spark, SPANS, "id, first_line, last_line")).select("id", "line_no")
+
+
+@query("SELECT l_orderkey, CAST(bit_or(CAST(1 AS BIGINT) << l_linenumber) AS BIGINT) AS any_ctx, CAST(bit_and(CAST(255 AS BIGINT) - (CAST(1 AS BIGINT) << l_linenumber)) AS BIGINT) AS none_ctx FROM lineitem GROUP BY l_orderkey")
+def bitset_ops(spark, d):
+    bit = F.expr("shiftleft(CAST(1 AS BIGINT), l_linenumber)")
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bit_or(bit).alias("any_ctx"), F.bit_and(F.lit(255).cast("long") - bit).alias("none_ctx"))
+
+
+# --- accounting and report ---------------------------------------------------
+
+
+@query(f"SELECT scope, language, {SUMS}, {POISON} FROM {FACTS} GROUP BY scope, language")
+def contributions_agg(spark, d):
+    return accounting.summed(facts(spark, d), "scope", "language")
+
+
+@query(f"SELECT scope, {POISON} FROM {FACTS} GROUP BY scope")
+def poisoning_sum(spark, d):
+    return facts(spark, d).groupBy("scope").agg(text.poisoning_sum(F.col("test")).alias("test"))
+
+
+@query(f"SELECT language, {SUMS}, {POISON} FROM {FACTS} GROUP BY language")
+def totals_by_language(spark, d):
+    return accounting.summed(accounting.summed(facts(spark, d), "scope", "language"), "language")
+
+
+@query(f"SELECT scope, language, {SUMS}, {POISON} FROM {FACTS} GROUP BY scope, language UNION ALL SELECT 'Total', 'All', {SUMS}, {POISON} FROM {FACTS}")
+def grand_total(spark, d):
+    return accounting.with_total(accounting.summed(facts(spark, d), "scope", "language"))
+
+
+@query("SELECT 'Total' AS scope, 'All' AS language, " + ", ".join(f"CAST(0 AS BIGINT) AS {m}" for m in (*accounting.MEASURES, "test")))
+def grand_total_empty(spark, d):
+    return accounting.with_total(accounting.summed(facts(spark, d).where("false"), "scope", "language"))
+
+
+ORDERED = f"""(SELECT *, row_number() OVER (ORDER BY scope_lines DESC, scope, lines DESC, language) AS pos FROM (
+ SELECT *, CAST(sum(lines) OVER (PARTITION BY scope) AS BIGINT) AS scope_lines FROM (SELECT scope, language, {SUMS}, {POISON} FROM {FACTS} GROUP BY scope, language)))"""
+
+
+@query(f"SELECT scope, language, files, lines, blanks, comments, code, test, scope_lines, CAST(pos AS INTEGER) AS pos FROM {ORDERED}")
+def report_order(spark, d):
+    return accounting.report_order(accounting.summed(facts(spark, d), "scope", "language"))
+
+
+@query(f"SELECT CAST(pos AS INTEGER) AS pos, CASE WHEN lag(scope) OVER (ORDER BY pos) = scope THEN '' ELSE scope END AS label, language FROM {ORDERED}")
+def first_row_label(spark, d):
+    return accounting.first_row_labels(accounting.report_order(accounting.summed(facts(spark, d), "scope", "language"))).select("pos", "label", "language")
+
+
+CELLS = "(1, 'plain'), (2, 'a\tb'), (3, 'a\nb\rc'), (4, 'x|y')"
+
+
+@query(f"SELECT id, replace(replace(replace(cell, chr(13), '\\r'), chr(10), '\\n'), chr(9), '\\t') AS cell FROM {inline(CELLS, 'id, cell')}")
+def sanitize_cells(spark, d):
+    return values(spark, CELLS, "id, cell").select("id", text.sanitized(F.col("cell")).alias("cell"))
+
+
+@query()
+def json_rows(spark, d):
+    rows = accounting.summed(facts(spark, d), "scope", "language")
+    return rows.select(F.to_json(F.struct("scope", "language", F.struct(*accounting.MEASURES, "test").alias("counts")), {"ignoreNullFields": "false"}).alias("row"))
+
+
+# --- selection ---------------------------------------------------------------
+
+FEATS = "('serde'), ('p1/simd'), ('p2/simd'), ('none')"
+PKGS = "('i1', 'p1', 'serde,simd'), ('i2', 'p2', 'serde')"
+
+
+@query(f"""WITH p AS (SELECT id, name, unnest(string_split(fs, ',')) AS f FROM {inline(PKGS, 'id, name, fs')}), r AS (SELECT request, CASE WHEN contains(request, '/') THEN split_part(request, '/', 1) END AS pkg, CASE WHEN contains(request, '/') THEN split_part(request, '/', 2) ELSE request END AS f FROM {inline(FEATS, 'request')})
+ SELECT request, id FROM r LEFT JOIN p ON r.f = p.f AND (r.pkg IS NULL OR r.pkg = p.name)""")
+def feature_requests(spark, d):
+    p = values(spark, PKGS, "id, name, fs").select("id", "name", text.split_features(F.col("fs")).alias("features"))
+    return selection.requested_features(values(spark, FEATS, "request"), p)
+
+
+LISTS = "(1, 'a,b a'), (2, ''), (3, ' z,, y'), (4, 'one')"
+
+
+@query(f"SELECT id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(s, '[, ]'), lambda x: x <> ''))), ',') AS features FROM {inline(LISTS, 'id, s')}")
+def feature_split(spark, d):
+    return values(spark, LISTS, "id, s").select("id", F.array_join(text.split_features(F.col("s")), ",").alias("features"))
+
+
+KINDS = "('lib', 'production'), ('lib', 'test'), ('build-script', 'production'), ('bench', 'bench')"
+
+
+@query(f"""SELECT DISTINCT n_name AS target, kind, CASE WHEN kind = 'build-script' THEN 'host' ELSE r_name END AS triple, CASE WHEN kind = 'build-script' THEN 'host' ELSE 'target' END AS role,
+ CASE WHEN context = 'production' THEN 'production' ELSE 'test' END AS provenance FROM nation CROSS JOIN {inline(KINDS, 'kind, context')} CROSS JOIN region""")
+def context_cross(spark, d):
+    t = table(spark, d, "nation").select(F.col("n_name").alias("target")).crossJoin(values(spark, KINDS, "kind, context")).withColumn("crate_type", F.lit("lib"))
+    return selection.contexts(t, table(spark, d, "region").select(F.col("r_name").alias("triple")))
+
+
+@query("SELECT l_orderkey, l_linenumber, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def target_context_join(spark, d):
+    return table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderstatus")
+
+
+@query("SELECT DISTINCT conv_id, role, CAST(dense_rank() OVER (PARTITION BY conv_id ORDER BY role) - 1 AS INTEGER) AS ctx_id FROM conversations")
+def intern_contexts(spark, d):
+    return selection.interned(table(spark, d, "conversations"), "conv_id", "role")
+
+
+@query("SELECT DISTINCT c_custkey AS id FROM customer WHERE (c_custkey % 2 = 0 OR c_custkey % 3 = 0) AND c_custkey % 5 <> 0")
+def selection_setops(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    return selection.selected(c.where("id % 2 = 0"), c.where("id % 3 = 0"), c.where("id % 5 = 0"))
+
+
+TARGETS = "('a', 'lib', 'production,test'), ('b', 'bin', 'production'), ('c', 'test', 'test'), ('d', 'example', 'production'), ('e', 'bin', 'bench')"
+RULES = "('test', CAST(NULL AS VARCHAR(9))), ('example', CAST(NULL AS VARCHAR(9))), ('bin', 'b')"
+
+
+@query("SELECT * FROM (VALUES ('a', 'lib', 'production'), ('e', 'bin', 'bench')) t(target, kind, contexts)")
+def target_exclusions(spark, d):
+    t = values(spark, TARGETS, "target, kind, cs").select("target", "kind", F.split("cs", ",").alias("contexts"))
+    return selection.less_exclusions(t, values(spark, RULES, "kind, name")).select("target", "kind", F.array_join("contexts", ",").alias("contexts"))
+
+
+REQ = "(1, 'a,b', 'a'), (2, 'a', 'a,b'), (3, '', ''), (4, 'x,y', 'z')"
+
+
+@query(f"SELECT id, array_to_string(list_sort(list_filter(string_split(need, ','), lambda x: x <> '' AND NOT list_contains(string_split(have, ','), x))), ',') AS missing FROM {inline(REQ, 'id, need, have')}")
+def required_missing(spark, d):
+    t = values(spark, REQ, "id, need, have")
+    return t.select("id", F.array_join(selection.missing_features(text.split_features(F.col("need")), text.split_features(F.col("have"))), ",").alias("missing"))
+
+
+GLOBS = "('test_a'), ('test_b'), ('x.test'), ('testing'), ('tent')"
+
+
+@query(f"SELECT name FROM {inline(GLOBS, 'name')} WHERE name LIKE 'te_t%' ")
+def target_glob(spark, d):
+    return values(spark, GLOBS, "name").where(F.col("name").rlike(selection.glob_pattern("te?t*")))
+
+
+WARN_A, WARN_B = "('unknown-cfg', 'x'), ('unmodeled-rustflags', 'y')", "('source-identity', 'z'), ('unknown-cfg', 'x')"
+
+
+@query(f"SELECT * FROM {inline(WARN_A, 'code, message')} UNION ALL SELECT * FROM {inline(WARN_B, 'code, message')}")
+def warnings_union(spark, d):
+    return values(spark, WARN_A, "code, message").unionByName(values(spark, WARN_B, "code, message")).orderBy("code", "message")
+
+
+RES = "(1, CAST(NULL AS INTEGER), '2024'), (2, CAST(NULL AS INTEGER), '2021'), (3, CAST(NULL AS INTEGER), '2018'), (4, 1, '2024'), (5, CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR(9)))"
+
+
+@query(f"SELECT id, CAST(coalesce(explicit, CASE edition WHEN '2024' THEN 3 WHEN '2021' THEN 2 ELSE 1 END) AS INTEGER) AS resolver FROM {inline(RES, 'id, explicit, edition')}")
+def resolver_default(spark, d):
+    return values(spark, RES, "id, explicit, edition").select("id", text.resolver_version(F.col("explicit"), F.col("edition")).alias("resolver"))
+
+
+@query("SELECT * FROM (VALUES ('feature', 'x', 'feature = \"x\"'), ('unix', NULL, 'unix')) t(name, value, shown)")
+def cfg_format(spark, d):
+    return values(spark, "('feature', 'x'), ('unix', CAST(NULL AS STRING))", "name, value").withColumn("shown", text.cfg_text(F.col("name"), F.col("value")))
+
+
+BASES = "('src/lib.rs'), ('src/a/mod.rs'), ('src/a.rs'), ('x/y.rs')"
+
+
+@query(f"SELECT path, CASE path WHEN 'src/lib.rs' THEN 'src/lib' WHEN 'src/a/mod.rs' THEN 'src/a' WHEN 'src/a.rs' THEN 'src/a' ELSE 'x/y' END AS base FROM {inline(BASES, 'path')}")
+def child_bases(spark, d):
+    return values(spark, BASES, "path").withColumn("base", text.child_base(F.col("path")))
+
+
+# --- graph -------------------------------------------------------------------
+
+GRAPH = "(SELECT DISTINCT l_partkey % 200 AS src, l_suppkey % 200 AS dst FROM lineitem WHERE l_linenumber = 1)"
+
+
+@query(f"WITH RECURSIVE e AS {GRAPH}, r AS (SELECT CAST(0 AS BIGINT) AS root, CAST(0 AS BIGINT) AS node UNION SELECT r.root, e.dst FROM r JOIN e ON r.node = e.src) SELECT root, node FROM r")
+def reachability(spark, d):
+    e = table(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_partkey") % 200).alias("src"), (F.col("l_suppkey") % 200).alias("dst"))
+    return graph.reachable(e, spark.range(1).select(F.col("id").alias("root"), F.col("id").alias("node")))
+
+
+DECL = "(1, 'src', 'a', CAST(NULL AS VARCHAR(9))), (2, 'src', 'b', CAST(NULL AS VARCHAR(9))), (3, 'src', 'c', CAST(NULL AS VARCHAR(9))), (4, 'src', 'd', 'o/d.rs'), (5, 'src', 'e', CAST(NULL AS VARCHAR(9)))"
+HAVE = "('src/a.rs'), ('src/b/mod.rs'), ('src/c.rs'), ('src/c/mod.rs'), ('o/d.rs')"
+
+
+@query("SELECT * FROM (VALUES (1, 'src/a.rs', NULL), (2, 'src/b/mod.rs', NULL), (3, NULL, 'ambiguous'), (4, 'o/d.rs', NULL), (5, NULL, 'not-found')) t(id, path, problem)")
+def module_resolution(spark, d):
+    return graph.module_files(values(spark, DECL, "id, base, name, explicit"), values(spark, HAVE, "path"))
+
+
+# --- incremental -------------------------------------------------------------
+
+HALF = "(SELECT ts FROM events ORDER BY event_id LIMIT 1)"
+
+
+@query("""SELECT coalesce(b.user_id, a.user_id) AS path, CASE WHEN b.user_id IS NULL THEN 'added' WHEN a.user_id IS NULL THEN 'removed' WHEN a.stamp = b.stamp THEN 'unchanged' ELSE 'changed' END AS change
+ FROM (SELECT user_id, max(event_id) AS stamp FROM events WHERE event_id % 2 = 0 GROUP BY user_id) b FULL OUTER JOIN (SELECT user_id, max(event_id) AS stamp FROM events WHERE event_id % 2 = 1 OR user_id % 3 = 0 GROUP BY user_id) a ON a.user_id = b.user_id""")
+def manifest_diff(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("path"), "event_id")
+    stamp = lambda df: df.groupBy("path").agg(F.max("event_id").alias("stamp"))
+    return incremental.manifest_diff(stamp(e.where("event_id % 2 = 0")), stamp(e.where("event_id % 2 = 1 OR path % 3 = 0")))
+
+
+@query()
+def fingerprint(spark, d):
+    return incremental.fingerprint(files(spark, d), "path", "text")
+
+
+@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS peak, count(*) AS n FROM events GROUP BY event_type")
+def phase_percentiles(spark, d):
+    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
+    return table(spark, d, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.max("value").alias("peak"), F.count(F.lit(1)).alias("n"))
