@@ -539,3 +539,118 @@ def fingerprint(spark, d):
 def phase_percentiles(spark, d):
     p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
     return table(spark, d, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.max("value").alias("peak"), F.count(F.lit(1)).alias("n"))
+
+
+# --- Rust and lexical sources; the SQL holds the counts worked out by hand ----
+
+from linefacts.operators import rust  # noqa: E402
+
+#: (path, text): small sources whose lines are counted by hand below.
+RUST = (
+    ("a.rs", "// one\nfn live() {}\n\n#[cfg(any())]\nfn gone() {}\n#[cfg(test)]\nmod tests {\n    fn t() {}\n}\n"),
+    ("b.rs", "struct S {\n    #[cfg(feature = \"x\")]\n    x: u8,\n    y: u8, // kept\n}\n"),
+    ("c.rs", "const T: &str = r#\"// no comment\n\n\"#;\n/* a\n\n /* b */ */\n"),
+    ("d.rs", "#![cfg(windows)]\nfn w() {}\n"),
+    ("e.rs", ""),
+    ("f.rs", "fn m(v: u8) {\n    match v {\n        #[cfg(any())]\n        0 => (),\n        _ => (),\n    }\n}\n"),
+)
+CTX = "array(struct(0 AS ctx_id, CAST(array() AS ARRAY<STRING>) AS options, false AS test, true AS harness), struct(1 AS ctx_id, array('test') AS options, true AS test, true AS harness))"
+
+
+def rust_files(spark):
+    return spark.createDataFrame(RUST, "path string, text string").withColumn("contexts", F.expr(CTX))
+
+
+@query("SELECT path, files, lines, blanks, comments, code, test FROM (VALUES ('a.rs', 1, 7, 1, 1, 1, 4), ('b.rs', 1, 3, 0, 1, 3, 0), ('c.rs', 1, 6, 0, 3, 3, 0), ('d.rs', 1, 0, 0, 0, 0, 0), ('e.rs', 1, 0, 0, 0, 0, 0), ('f.rs', 1, 5, 0, 0, 5, 0)) t(path, files, lines, blanks, comments, code, test)".replace("SELECT path, files, lines, blanks, comments, code, test", "SELECT path, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("files", "lines", "blanks", "comments", "code", "test"))))
+def rust_line_counts(spark, d):
+    return rust.with_counts(rust_files(spark))
+
+
+@query("SELECT path, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("files", "lines", "blanks", "comments", "code", "test")) + " FROM (VALUES ('a.rs', 1, 9, 1, 1, 7, NULL), ('b.rs', 1, 5, 0, 1, 5, NULL), ('c.rs', 1, 6, 0, 3, 3, NULL), ('d.rs', 1, 2, 0, 0, 2, NULL), ('e.rs', 1, 0, 0, 0, 0, NULL), ('f.rs', 1, 7, 0, 0, 7, NULL)) t(path, files, lines, blanks, comments, code, test)")
+def rust_unconfigured(spark, d):
+    return rust.with_counts(rust_files(spark).withColumn("contexts", F.lit(None).cast(rust.CONTEXTS)))
+
+
+@query("SELECT path, CAST(lines AS BIGINT) AS lines, CAST(code AS BIGINT) AS code, CAST(test AS BIGINT) AS test FROM (VALUES ('a.rs', 7, 1, 4), ('b.rs', 3, 3, 0), ('c.rs', 6, 3, 0), ('f.rs', 5, 5, 0)) t(path, lines, code, test)")
+def rust_lines_by_context(spark, d):
+    """The same counts by the relational way: line flags of every context, joined by line."""
+    return lines.counted(lines.production_wins(rust.line_flags(rust_files(spark)), "path", "line_no"), "path").select("path", "lines", "code", "test")
+
+
+TREE = (
+    ("src/lib.rs", "mod a;\n#[cfg(any())]\nmod never;\n#[path = \"odd/b.rs\"]\nmod b;\nmod inner { mod deep; }\n#[cfg(test)]\nmod only;\n"),
+    ("src/a.rs", "mod sub;\n"),
+    ("src/a/sub/mod.rs", "fn f() {}\n"),
+    ("src/odd/b.rs", "\n"),
+    ("src/inner/deep.rs", "\n"),
+    ("src/only.rs", "\n"),
+    ("src/never.rs", "\n"),
+)
+
+
+@query("SELECT path, CAST(n AS BIGINT) AS n FROM (VALUES ('src/lib.rs', 2), ('src/a.rs', 2), ('src/a/sub/mod.rs', 2), ('src/odd/b.rs', 2), ('src/inner/deep.rs', 2), ('src/only.rs', 1)) t(path, n)")
+def module_graph(spark, d):
+    tree = spark.createDataFrame(TREE, "path string, text string")
+    roots = tree.where("path = 'src/lib.rs'").select("path", F.explode(F.expr(CTX)).alias("c")).select("path", "c.*")
+    return rust.reachable_files(tree, roots).groupBy("path").agg(F.count_distinct("ctx_id").alias("n"))
+
+
+CFG = "(true, true), (true, false), (false, true), (false, false)"
+
+
+@query(f"SELECT u, t, (u AND NOT (t AND false)) OR (u AND t) AS a, NOT (u OR t) AS b, true AS c, false AS d FROM {inline(CFG, 'u, t')}")
+def cfg_truth(spark, d):
+    """Predicates over all option sets: nested, negated, and the empty all and any."""
+    from linefacts.functions import rustlex
+
+    def holds(text: str, options: frozenset) -> bool:
+        return rustlex.Context(options).active(rustlex.Source(f"#[cfg({text})] fn f() {{}}").groups[0].effects)
+
+    shown = ("any(all(unix, not(all(t, any()))), all(unix, t))", "not(any(unix, t))", "all()", "any()")
+    rows = []
+    for u in (True, False):
+        for t in (True, False):
+            options = frozenset(n for n, on in (("unix", u), ("t", t)) if on)
+            rows.append((u, t, *(holds(x, options) for x in shown)))
+    return spark.createDataFrame(rows, "u boolean, t boolean, a boolean, b boolean, c boolean, d boolean")
+
+
+SOURCES = (
+    ("x.js", b"// c\n\nlet a = 1; // d\n", "JavaScript"),
+    ("run", b"#!/usr/bin/env python3\nprint(1)\n", "Python"),
+    ("p.html", b"<p>\n<!-- c -->\n</p>\n", "HTML"),
+    ("n.c", b"int a;\0\n", "C"),
+    ("u.py", b"\xff = 1\n", "Python"),
+    ("r.md", b"# t\n\ntext\n", "Markdown"),
+    ("s.c", b"/* a\n\n b */\nchar *s = \"/* no */\";\n", "C"),
+)
+
+
+@query("SELECT path, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("lines", "blanks", "comments", "code")) + " FROM (VALUES ('x.js', 3, 1, 1, 1), ('run', 2, 0, 1, 1), ('p.html', 3, 0, 1, 2), ('u.py', 1, 0, 0, 1), ('r.md', 3, 1, 2, 0), ('s.c', 4, 0, 3, 1)) t(path, lines, blanks, comments, code)")
+def lexical_counts(spark, d):
+    t = spark.createDataFrame(SOURCES, "path string, bytes binary, language string")
+    return languages.with_lexical_counts(t).select("path", "lines", "blanks", "comments", "code")
+
+
+@query()
+def tree_scan(spark, d):
+    """This package's own directory as a tree: files, bytes and lines by extension."""
+    from pathlib import Path
+
+    from linefacts.sources.tree import TreeSource
+
+    spark.dataSource.register(TreeSource)
+    tree = spark.read.format("tree").load(str(Path(__file__).resolve().parents[1]))
+    one = tree.where("NOT outside").groupBy("dev", "ino").agg(F.min("path").alias("path"), F.first("bytes").alias("bytes"))
+    ext = F.regexp_extract("path", r"\.([^./]+)$", 1)
+    n = text.physical_lines(F.decode("bytes", "ISO-8859-1"))
+    return one.groupBy(ext.alias("ext")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("bytes")).alias("bytes"), F.sum(n).alias("lines"))
+
+
+@query(f"SELECT scope, language, CAST(sum(lines) AS BIGINT) AS lines, count(*) AS files FROM {FACTS} GROUP BY scope, language")
+def incremental_refresh(spark, d):
+    """Rows by scope and language from two rounds of a stream of changed files; equal to a full count."""
+    from linefacts.streaming.refresh import refreshed
+
+    f = facts(spark, d).select("doc_id", "scope", "language", "lines")
+    return refreshed(spark, [f.where("doc_id % 2 = 0").withColumn("lines", F.lit(-1).cast("long")), f])
