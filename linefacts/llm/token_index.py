@@ -61,7 +61,7 @@ def build_mph(hashes: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _bit(hashes: np.ndarray, level: int, size: int) -> np.ndarray:
-    return (mix(hashes + U(level + 1) * U(0x9E3779B97F4A7C15)) % U(size)).astype(np.int64)
+    return (mix(hashes + U((level + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) % U(size)).astype(np.int64)
 
 
 def slot_of(mph: dict[str, np.ndarray], hashes: np.ndarray) -> np.ndarray:
