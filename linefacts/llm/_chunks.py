@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
-from linefacts.llm._shared import filesystem, new_path, written
+from linefacts.llm._shared import filesystem, new_path, trim, written
 
 CHUNK = 4 << 20
 
@@ -76,7 +76,10 @@ def into_chunks(docs: DataFrame, work: Callable, schema: str, name: str, text: s
                 if room <= 0:
                     yield from flush()
                     held, room = [], size
+                    trim()
         if held:
             yield from flush()
+        held = None
+        trim()
 
     return written(docs.mapInArrow(run, "chunk long, " + schema), name), root

@@ -10,6 +10,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch between Spark and Python while work tables are written.
+BATCH_ROWS = 2000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset (tests)."""
@@ -32,8 +35,14 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     that the rows name are whole and belong to those rows.
     """
     path = new_path(df.sparkSession, name)
+    spark, batch = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch, None)
     w = df.write.option("compression", "zstd")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    try:  # whole texts: fewer rows a batch than the default, for the sake of memory
+        spark.conf.set(batch, str(min(int(before or BATCH_ROWS), BATCH_ROWS)))
+        (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    finally:
+        spark.conf.unset(batch) if before is None else spark.conf.set(batch, before)
     return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
 
 
@@ -51,6 +60,25 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+_libc = None
+
+
+def trim() -> None:
+    """Gives memory that is free in this process back to the machine, so that an idle worker holds little."""
+    global _libc
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if _libc is None:
+        try:
+            _libc = ctypes.CDLL("libc.so.6").malloc_trim
+        except (OSError, AttributeError):
+            _libc = lambda _: None
+    _libc(0)
+
+
 _shipped: set[str] = set()
 
 

@@ -38,9 +38,10 @@ from pyspark.sql import functions as F
 
 from linefacts.llm._chunks import into_chunks, read_chunk
 from linefacts.llm._hash import U, buffer_of, lanes, mix, pair
-from linefacts.llm._shared import written
+from linefacts.llm._shared import trim, written
 
 LENGTH, Q = 200, 48
+CHUNK = 2 << 20
 HOT = 20_000
 #: Bytes of runs that one task sorts in round 3.
 TASK = 6 << 20
@@ -167,20 +168,20 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[at], start[at], np.maximum.reduceat(end, at)
 
 
-def refine(data: np.ndarray, windows: np.ndarray, length: int, q: int = 8) -> np.ndarray:
+def refine(data: np.ndarray, windows: np.ndarray, length: int, q: int = 32) -> np.ndarray:
     """Bucket-pointer refinement up to ``length``: for each of ``windows``, whether another one has the same bytes.
 
-    Buckets are ranks of 8-grams, then of pairs of the ranks there and at the
-    depth so far; only buckets with two members or more are refined again, and
-    what the others point at stays as it is.
+    Buckets are ranks of q-grams (of their identifiers), then of pairs of the
+    ranks there and at the depth so far; only buckets with two members or more
+    are sorted again, and what the others point at stays as it is.
     """
-    size = len(data)
-    last = np.zeros(size + 1, np.int64)
-    np.add.at(last, windows, 1)
-    np.add.at(last, np.minimum(windows + length, size), -1)
-    used = np.flatnonzero(np.cumsum(last[:size]) > 0)  # positions within windows
+    size, q = len(data), min(q, length)
+    reach = np.zeros(size + 1, np.int64)
+    np.add.at(reach, windows, 1)
+    np.add.at(reach, np.minimum(windows + length - q + 1, size), -1)
+    used = np.flatnonzero(np.cumsum(reach[:size]) > 0)  # whole q-grams within windows
     bucket = np.zeros(size + length, np.int64)
-    _, bucket[used] = np.unique(lanes(data)[used], return_inverse=True)
+    _, bucket[used] = np.unique(identifiers(data, q, q)[0][used], return_inverse=True)
     depth = q
     while depth < length:
         step = min(depth, length - depth)
@@ -189,11 +190,9 @@ def refine(data: np.ndarray, windows: np.ndarray, length: int, q: int = 8) -> np
         if not len(active):
             break
         top = len(n)
-        pairs = bucket[active] * (top + 1) + bucket[active + step]
-        _, rank = np.unique(pairs, return_inverse=True)
+        _, rank = np.unique(bucket[active] * (top + 1) + bucket[active + step], return_inverse=True)
         bucket[active] = rank + top  # beyond the identifiers of those that stay
         depth += step
-        _, bucket[used] = np.unique(bucket[used], return_inverse=True) if depth < length else (0, bucket[used])
     _, rank, n = np.unique(bucket[windows], return_inverse=True, return_counts=True)
     return n[rank] > 1
 
@@ -220,6 +219,8 @@ def _settle(rows: DataFrame, length: int) -> DataFrame:
         d, s, e = merged(doc, at, at + length)
         base = t.column("start").to_numpy()[d]
         yield from pa.table({"chunk": t.column("chunk").to_numpy()[d], "at": t.column("at").to_numpy()[d], "start": base + s, "end": base + e}).to_batches(max_chunksize=100_000)
+        del held, t, raws, data, doc, w, hit
+        trim()
 
     return rows.repartition(parts, "key").mapInArrow(run, "chunk long, at long, start long, end long")
 
@@ -237,7 +238,7 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, q: int =
         # The last row tells of the chunk itself.
         return {"anchor": np.append(r["anchor"][one], 0), "name": np.append(r["name"][one], 0), "n": np.append(n, 0).astype(np.int32), "tie": np.append(tie, False)}
 
-    rows, root = into_chunks(docs, survey, "anchor long, name long, n int, tie boolean", "runs", text)
+    rows, root = into_chunks(docs, survey, "anchor long, name long, n int, tie boolean", "runs", text, CHUNK)
 
     def expand(table):
         import pyarrow as pa
@@ -270,6 +271,8 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, q: int =
                 key, doc = np.concatenate([key[~h], more]), np.concatenate([doc[~h], np.repeat(doc[h], n)])
             raw = data.tobytes()
             out.append(pa.table({"chunk": np.full(len(first), chunk, np.int64), "at": doc, "start": first - edges[doc], "end": last + length - edges[doc], "key": key, "bytes": pa.array([raw[x:y] for x, y in zip(first.tolist(), (last + length).tolist())], pa.binary())}))
+        del data, r, raws, own
+        trim()
         return pa.concat_tables(out)
 
     told = written(_verdicts(rows).groupBy("chunk").applyInArrow(expand, "chunk long, at long, start long, end long, key long, bytes binary"), "open-runs")
