@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 
 from linefacts.llm._chunks import into_chunks, read_chunk
 from linefacts.llm._hash import Lookup, U, buffer_of, lanes, word_hashes, words_of
-from linefacts.llm._shared import written
+from linefacts.llm._shared import trim, written
 
 DEPTH = 4
-CHUNK = 32 << 20
-BLOCK = 4 << 20
+CHUNK = 24 << 20
+BLOCK = 2 << 20
 WORD, GRAM, TOLD = 0, 1, 2
 
 
@@ -108,12 +108,24 @@ def gram_counts(raws: list[bytes | None], train: np.ndarray, depth: int) -> tupl
     return _counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, U), np.zeros(0, np.int64))
 
 
-def word_counts(raws: list[bytes | None], train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, its document, and where a training document has it)."""
-    data, edges = buffer_of([(t or b"").lower() for t in raws])
-    s, e = words_of(data)
-    doc = np.searchsorted(edges, s, "right") - 1
-    return word_hashes(data, s, e), doc, train[doc]
+def word_blocks(raws: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash of each word, its document) for blocks of documents."""
+    at = 0
+    while at < len(raws):
+        to, size = at, 0
+        while to < len(raws) and (size < BLOCK or to == at):
+            size += len(raws[to] or b"")
+            to += 1
+        data, edges = buffer_of([(t or b"").lower() for t in raws[at:to]])
+        s, e = words_of(data)
+        yield word_hashes(data, s, e), np.searchsorted(edges, s, "right") - 1 + at
+        at = to
+
+
+def word_counts(raws: list[bytes | None], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of a chunk and how often its training documents have each."""
+    parts = [_counted(h, train[doc]) for h, doc in word_blocks(raws)]
+    return _counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, U), np.zeros(0, np.int64))
 
 
 class Nodes:
@@ -210,11 +222,10 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
     def survey(table):
         raws = table.column(text).cast("binary").to_pylist()
         train = np.array([not held_out(i, of, at) for i in table.column(key).to_pylist()])
-        h, _, w = word_counts(raws, train)
-        word, n = _counted(h, w)
+        word, n = word_counts(raws, train)
         gram, m = gram_counts(raws, train, depth)
         kind = np.concatenate([np.full(len(word), WORD), np.full(len(gram), GRAM), [TOLD]]).astype(np.int32)
-        tokens = int(w.sum()) + int(train.sum())
+        tokens = int(n.sum()) + int(train.sum())
         return {"kind": kind, "key": np.concatenate([word.view(np.int64), gram.view(np.int64), [tokens]]), "n": np.concatenate([n, m, [int(train.sum())]])}
 
     rows, root = into_chunks(docs.select(key, text), survey, "kind int, key long, n long", "counts", text, CHUNK)
@@ -269,21 +280,23 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
         raws, ids = docs.column(text).cast("binary").to_pylist(), docs.column(key).to_pylist()
         out = np.array([held_out(i, of, at) for i in ids], bool)
         kind, keys, value = (table.column(c).to_numpy() for c in ("kind", "key", "value"))
-        h, doc, w = word_counts(raws, ~out)
-        mine, back = np.unique(h, return_inverse=True)
-        c = np.bincount(back, w, len(mine))  # of this chunk alone; others have told the rest
-        k = np.searchsorted(mine, keys[kind == WORD].view(U))
-        c[k] = value[kind == WORD]
-        log = np.log10((c + 1) / (tokens + distinct + 1))
+        mine, c = word_counts(raws, ~out)  # of this chunk alone; others tell the rest
+        c = c.astype(float)
+        c[np.searchsorted(mine, keys[kind == WORD].view(U))] = value[kind == WORD]
         end = math.log10((ends + 1) / (tokens + distinct + 1))
-        n = np.bincount(doc, minlength=len(raws))
-        base = np.bincount(doc, log[back], len(raws)) + end
-        have = np.bincount(doc, c[back] > 0, len(raws)).astype(np.int64) + (ends > 0)
+        n, have, base = np.zeros(len(raws), np.int64), np.full(len(raws), int(ends > 0)), np.full(len(raws), end)
+        for h, doc in word_blocks(raws):
+            total = c[np.searchsorted(mine, h)]
+            n += np.bincount(doc, minlength=len(raws))
+            have += np.bincount(doc, total > 0, len(raws)).astype(np.int64)
+            base += np.bincount(doc, np.log10((total + 1) / (tokens + distinct + 1)), len(raws))
         found, parts = Lookup(keys[kind == GRAM].view(U), value[kind == GRAM]), []
         for grams, begin in blocks_of(raws, depth):
             parts.append(np.add.reduceat(found.get(grams), begin))
         model = np.concatenate(parts) if parts else np.zeros(0)
         size = np.array([len(t or b"") for t in raws], np.int64)
+        del found, parts
+        trim()
         return pa.table({
             "doc_id": docs.column(key).cast("int64"),
             "held_out": pa.array(out),
