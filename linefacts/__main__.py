@@ -1,32 +1,72 @@
-"""Counts a source tree: python -m linefacts [--json | --totals] [--exclude-root-files] [PATH]."""
+"""Counts a source tree: python -m linefacts [OPTIONS] [PATH]."""
 
 from __future__ import annotations
 
-import argparse
 import sys
 
 from linefacts.operators.accounting import summed
+from linefacts.plans.request import Selection, UsageError, contexts_of, parser, selection
 
 
-def main(argv: list[str] | None = None) -> int:
-    p = argparse.ArgumentParser(prog="linefacts", description="Lines of code of a source tree by scope and language.")
-    p.add_argument("path", nargs="?", default=".", help="directory to count")
-    p.add_argument("--root-files", choices=("include", "exclude"), default="include", help="files that no package owns")
-    form = p.add_mutually_exclusive_group()
-    form.add_argument("--json", action="store_true", help="a JSON document")
-    form.add_argument("--totals", action="store_true", help="sums by language")
-    args = p.parse_args(argv)
-    from pyspark.sql import SparkSession
+def counted(spark, s: Selection, metadata: str | None = None) -> str:
+    """The report of a request; packages and targets come from a captured metadata document, if there is one."""
+    import os
+
+    from pyspark.sql import functions as F
 
     from linefacts.plans import count, report
+    from linefacts.sources import cargo
+
+    packages = targets = None
+    root = os.path.realpath(s.root)
+    if metadata:
+        with open(metadata) as f:
+            doc = cargo.metadata_document(f.read())
+        inside = lambda p: os.path.relpath(p, root)
+        chosen = [p for p in doc["packages"] if not inside(p["manifest_path"]).startswith("..") and (not s.packages or p["name"] in s.packages) and p["name"] not in s.excluded]
+        packages = spark.createDataFrame([(os.path.dirname(inside(p["manifest_path"])), p["name"]) for p in chosen], "root string, pkg string")
+        rows, n = [], 0
+        for p in chosen:
+            table = p.get("features", {})
+            on = set(table) if s.all_features else cargo.closure(table, set(s.features), not s.no_default_features)
+            options = sorted(f"feature={f}" for f in on)
+            for t in p.get("targets", ()):
+                kind = cargo.target_kind(t["kind"])
+                if kind is None or set(t.get("required-features", ())) - on or kind in s.excludes or f"{kind}:{t['name']}" in s.excludes:
+                    continue
+                flags = {"test": t.get("test", kind in ("lib", "bin", "test")), "bench": t.get("bench", kind in ("lib", "bin", "bench"))}
+                for context in contexts_of(kind, s.includes, t["name"], flags):
+                    if context in s.excludes:
+                        continue
+                    test = context != "production"
+                    harness = t.get("harness", True)
+                    rows.append((inside(t["src_path"]), n, options + (["test"] if test and harness else []), test, harness))
+                    n += 1
+        # Contexts that agree are one.
+        keys = {k: i for i, k in enumerate(dict.fromkeys((tuple(r[2]), r[3], r[4]) for r in rows))}
+        rows = [(r[0], keys[(tuple(r[2]), r[3], r[4])], *r[2:]) for r in rows]
+        targets = spark.createDataFrame(rows, "path string, ctx_id int, options array<string>, test boolean, harness boolean").distinct()
+    facts = count.contributions(spark, count.scanned(spark, root), packages, targets)
+    if not s.root_files:
+        facts = facts.where(F.col("scope") != "<root>")
+    rows = summed(facts, "scope", "language")
+    if s.json:
+        return report.document(rows, {"root": root, "features": list(s.features), "all_features": s.all_features, "targets": list(s.includes), "root_files": s.root_files}, [])
+    return report.totals(rows) if s.totals else report.table(rows)
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = parser().parse_args(argv)
+    try:
+        s = selection(args)
+    except UsageError as e:
+        print(f"linefacts: {e}", file=sys.stderr)
+        return 2
+    from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("linefacts").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     try:
-        facts = count.contributions(spark, count.scanned(spark, args.path))
-        if args.root_files == "exclude":
-            facts = facts.where("scope <> '<root>'")
-        rows = summed(facts, "scope", "language")
-        out = report.document(rows, {"root": args.path, "root_files": args.root_files}, []) if args.json else report.totals(rows) if args.totals else report.table(rows)
+        out = counted(spark, s, args.metadata)
     except Exception as e:  # nothing is printed of a count that failed
         print(f"linefacts: {e}", file=sys.stderr)
         return 1
