@@ -126,8 +126,8 @@ def mined(sample: DataFrame, voters: int = VOTERS) -> tuple[list[str], float]:
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     n, all_ = a + b, ya + yb
     g2 = 2 * (part(a, n * ya / all_) + part(b, n * yb / all_) + part(ya - a, (all_ - n) * ya / all_) + part(yb - b, (all_ - n) * yb / all_))
-    # Voters must be precise as well as significant: thirty toxic rows for each clean one, at equal numbers of both.
-    best = told.where("term <> ''").withColumn("g2", g2).where((F.col("g2") > limit) & (a / ya > 30 * (b + 0.5) / yb)).orderBy(F.col("g2").desc(), "term").limit(4 * voters).collect()
+    # Voters must be precise as well as significant: a hundred toxic rows for each clean one, at equal numbers of both.
+    best = told.where("term <> ''").withColumn("g2", g2).where((F.col("g2") > limit) & (a / ya > 100 * (b + 0.5) / yb)).orderBy(F.col("g2").desc(), "term").limit(4 * voters).collect()
     kept: list[str] = []
     seen: dict[tuple, str] = {}
     for r in best:  # of terms that differ only in length and stand in the same rows, one
@@ -181,11 +181,13 @@ def label_model(n: float, both: np.ndarray, prior: float) -> dict[str, np.ndarra
 
 
 def posterior(mask: np.ndarray, model: dict[str, np.ndarray], prior: float, strict: np.ndarray) -> np.ndarray:
-    """P(toxic) of vote masks. Voters in ``strict`` count when they vote; silence of a voter tells little, as each fits few texts."""
+    """P(toxic) of vote masks by the voters in ``strict``. Silence counts for half where others vote: each voter fits few texts."""
     x = ((mask[:, None] >> np.arange(len(model["high"]))) & 1).astype(bool)
     yes = np.log(model["high"] / model["low"]) * model["weight"]
     no = np.log((1 - model["high"]) / (1 - model["low"])) * model["weight"]
-    z = math.log(prior / (1 - prior)) + np.where(x, yes, no)[:, strict].sum(axis=1)
+    x = x[:, strict]
+    share = np.where(x.any(axis=1, keepdims=True), 0.5, 1.0)
+    z = math.log(prior / (1 - prior)) + np.where(x, yes[strict], share * no[strict]).sum(axis=1)
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
