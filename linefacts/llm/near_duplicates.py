@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from linefacts.llm._chunks import into_chunks, read_chunk
 from linefacts.llm._components import components
 from linefacts.llm._hash import U, buffer_of, mix, pair, word_hashes, words_of
-from linefacts.llm._shared import written
+from linefacts.llm._shared import trim, written
 
 N, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 24, 6, 0.9999
@@ -189,6 +189,7 @@ def _verify(rows: DataFrame, threshold: float, trees: int, depth: int) -> DataFr
                 held, rows = [], 0
         if held:
             yield flush()
+        trim()
 
     return rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(run, "cls long, links long, missed double, to long")
 
