@@ -23,7 +23,7 @@ import numpy as np
 
 from linefacts.llm._hash import MASK, U, buffer_of, lanes, mix, word_hashes, words_of
 
-KNOWN = 3_000_000
+KNOWN = 2_000_000
 #: Unicode's White_Space characters, as the tokenizers' patterns see them.
 WHITE = "\x09-\x0d\x20\x85\xa0  -     　"
 ODD = re.compile(rf"[{WHITE.replace(chr(32), '')}]").search
@@ -61,10 +61,19 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """Known pieces in the order of their hashes: hash, length and first 8 bytes, and their range of the pool of ids."""
-        self.hash, self.first = np.zeros(0, U), np.zeros(0, U)
-        self.bytes, self.from_, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, "<u4")
+        """Known pieces: a row for each (hash, first 8 bytes, length, start in the pool of ids, ids), found by open addressing."""
+        self.rows, self.n = np.zeros((1 << 12, 5), U), 0
+        self.slots, self.bits = np.full(1 << 13, -1, np.int32), 13
+        self.pool, self.used = np.zeros(1 << 14, "<u4"), 0
+
+    def _place(self, rows: np.ndarray) -> None:
+        """Puts rows into the slots after their hashes' own that are free."""
+        at = (self.rows[rows, 0] >> U(64 - self.bits)).astype(np.int64)
+        while len(rows):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = rows[free]  # of several the last wins
+            left = self.slots[at] != rows
+            rows, at = rows[left], (at[left] + 1) & ((1 << self.bits) - 1)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -123,21 +132,43 @@ class Encoder:
         return [b"".join(map(known.__getitem__, c)) for c in cut]
 
     def _find(self, hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The place of each piece among the known ones, and which aren't known."""
-        at = np.searchsorted(self.hash, hashes)
-        at[at == len(self.hash)] = 0
-        if not len(self.hash):
-            return at, np.ones(len(hashes), bool)
-        return at, (self.hash[at] != hashes) | (self.first[at] != first) | (self.bytes[at] != size)
+        """The row of each piece, and which have none."""
+        out = np.zeros(len(hashes), np.int64)
+        new = np.ones(len(hashes), bool)
+        rest, at = np.arange(len(hashes)), (hashes >> U(64 - self.bits)).astype(np.int64)
+        while len(rest):
+            row = self.slots[at]
+            there = row >= 0
+            rest, at, row = rest[there], at[there], row[there]
+            own = self.rows[row, 0] == hashes[rest]
+            hit = rest[own]
+            out[hit] = row[own]
+            new[hit] = False
+            rest, at = rest[~own], (at[~own] + 1) & ((1 << self.bits) - 1)
+        known = self.rows[out]
+        new |= (known[:, 1] != first) | (known[:, 2] != size.astype(U))
+        return out, new
 
     def _learn(self, hashes, first, size, pieces) -> None:
         ids = self._encode(pieces)
         n = np.array([len(x) // 4 for x in ids], np.int64)
-        at = np.searchsorted(self.hash, hashes)
-        end = len(self.pool) + np.cumsum(n)
-        self.hash, self.first = np.insert(self.hash, at, hashes), np.insert(self.first, at, first)
-        self.bytes, self.from_, self.count = np.insert(self.bytes, at, size), np.insert(self.from_, at, end - n), np.insert(self.count, at, n)
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+        end = self.used + np.cumsum(n)
+        to = self.n + len(pieces)
+        while to > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        while len(n) and end[-1] > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        raw = b"".join(ids)
+        self.pool[self.used : self.used + len(raw) // 4] = np.frombuffer(raw, "<u4")
+        self.rows[self.n : to] = np.stack([hashes, first, size.astype(U), (end - n).astype(U), n.astype(U)], axis=1)
+        new = np.arange(self.n, to)
+        self.n, self.used = to, self.used + len(raw) // 4
+        if 2 * to > len(self.slots):
+            while 2 * to > 1 << self.bits:
+                self.bits += 1
+            self.slots = np.full(1 << self.bits, -1, np.int32)
+            new = np.arange(to)
+        self._place(new.astype(np.int32))
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each whole UTF-8 text as little-endian unsigned 32-bit integers; null: none.
@@ -167,7 +198,7 @@ class Encoder:
         lead = lanes(data)[starts] & MASK[np.minimum(size, 8)]
         at, new = self._find(hashes, lead, size)
         if new.any():
-            if len(self.hash) + int(new.sum()) > KNOWN:
+            if self.n + int(new.sum()) > KNOWN:
                 self._forget()
                 new[:] = True
             _, one = np.unique(hashes[new], return_index=True)
@@ -180,7 +211,7 @@ class Encoder:
             at, new = self._find(hashes, lead, size)
             if new.any():  # two pieces with one hash
                 odd = sorted({*odd, *doc[new].tolist()})
-        n, from_, pool = self.count[at], self.from_[at], self.pool
+        n, from_, pool = self.rows[at, 4].astype(np.int64), self.rows[at, 3].astype(np.int64), self.pool
         place = np.repeat(from_ - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         out, total = pool[place].tobytes(), np.zeros(len(texts) + 1, np.int64)
         np.cumsum(np.bincount(doc, n, len(texts)).astype(np.int64) * 4, out=total[1:])
