@@ -99,7 +99,7 @@ class TokenStore:
     def lookup(self, keys: DataFrame, key: str = "doc_id") -> DataFrame:
         """(key, shard, at, rows) of each distinct key of ``keys`` that the store has."""
         held = keys.select(F.col(key).cast("long").alias("key")).distinct().withColumn("bucket", _bucket("key", self.buckets))
-        held = held.join(F.broadcast(self.index), "bucket")  # a row for each 200,000 keys
+        held = held.join(self.index, "bucket")
 
         def find(table):
             import pyarrow as pa
@@ -119,16 +119,17 @@ class TokenStore:
 
     def read(self, found: DataFrame, with_ids: bool = False) -> DataFrame:
         """The documents that ``lookup`` found: doc_id, start, n_tokens, ids_crc32 and, if asked for, the ids' bytes."""
-        # A key's rows may go on in the next shards; such keys are few, the others take one read.
-        rows = found.withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).select("key", F.col("shard"), (F.col("at") + F.col("n")).alias("at"))
-        ends = self.shards.select(F.col("shard").alias("to"), "first_doc", "n_docs", "base", "ids_path", "off_path")
-        firsts = self.shards.select("shard", F.col("first_doc").alias("from_doc"))
-        rows = rows.join(F.broadcast(firsts), "shard").withColumn("doc", F.col("from_doc") + F.col("at"))
-        here = F.col("shard") == F.col("to")
-        inside = (F.col("doc") >= F.col("first_doc")) & (F.col("doc") < F.col("first_doc") + F.col("n_docs"))
-        same = rows.join(F.broadcast(ends), here & inside)
-        over = rows.join(F.broadcast(ends), (F.col("to") > F.col("shard")) & inside)
-        placed = same.unionByName(over).select("key", "doc", "to", "first_doc", "base", "ids_path", "off_path")
+        n = F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))
+        rows = found.withColumn("n", n).select("key", "shard", (F.col("at") + F.col("n")).alias("at")).join(self.shards, "shard")
+        rows = rows.withColumn("doc", F.col("first_doc") + F.col("at"))
+        names = ["key", "doc", F.col("shard").alias("to"), "first_doc", "base", "ids_path", "off_path"]
+        here = rows.where("at < n_docs").select(*names)
+        # Rows of a repeated key may go on in later shards; those are found by blocks of document numbers.
+        block = lambda c: F.shiftright(c, 20)
+        later = rows.where("at >= n_docs").select("key", "doc", block("doc").alias("block"))
+        spread = self.shards.where("n_docs > 0").withColumn("block", F.explode(F.sequence(block("first_doc"), block(F.col("first_doc") + F.col("n_docs") - 1))))
+        over = later.join(spread, "block").where((F.col("doc") >= F.col("first_doc")) & (F.col("doc") < F.col("first_doc") + F.col("n_docs"))).select(*names)
+        placed = here.unionByName(over)
 
         def load(batches: Iterator) -> Iterator:
             import pyarrow as pa
