@@ -114,6 +114,19 @@ def test_token_index(docs, rows, nothing):
     assert empty.read(empty.lookup(docs)).count() == 0
 
 
+def test_a_key_that_goes_on_in_other_shards(spark):
+    rows = [(i, f"t {i}") for i in range(30)] + [(15, f"again {i}") for i in range(60)]
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        store = token_index.write_store(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json"), 1)
+        assert store.shards.where("n_docs > 0").count() > 2
+        got = store.read(store.lookup(spark.createDataFrame([(15,), (3,)], "doc_id long"))).collect()
+    finally:
+        spark.conf.unset(name)
+    assert Counter(r.doc_id for r in got) == {15: 61, 3: 1} and len({r.start for r in got}) == 62
+
+
 def test_minimal_perfect_hash_is_a_bijection():
     h = token_index.key_hash(np.arange(30_000))
     m = token_index.build_mph(h)
