@@ -25,7 +25,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own for one work table or folder of files."""
-    return f"{shared_dir(spark)}/linefacts/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/linefacts/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+#: Paths given out by this driver, in order.
+_made: list[str] = []
+
+
+def made() -> list[str]:
+    return _made
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Removes work tables and folders."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -48,9 +66,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
 
 def drop_work_tables(spark: SparkSession) -> None:
     """Removes everything this application has put into the shared folder. Results read from there end too."""
-    jvm, path = spark.sparkContext._jvm, f"{shared_dir(spark)}/linefacts/{spark.sparkContext.applicationId}"
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    drop(spark, [f"{shared_dir(spark)}/linefacts/{spark.sparkContext.applicationId}"])
 
 
 def filesystem(uri: str):
