@@ -1,19 +1,23 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
-1. Voters. Labelled training rows (at most ``FIT`` of them, those with the
-   smallest hashes) name words and word beginnings that toxic rows hold far more often than
-   others, by the likelihood-ratio statistic with a bound for the number of
-   candidates; the best become lexicon voters (a word) and pattern voters
-   (words that begin so). A few fixed pattern voters look at style.
-2. Label model. Every document votes; second moments of the votes over all
-   documents are a table of fixed size. Of any three voters that are
-   independent given the label, the covariances give each one's accuracy
-   (its difference between labels); the median over triples is kept. Pairs
-   whose covariance is beyond what their accuracies explain are correlated,
-   and share their weight. The label's frequency comes from training rows.
-3. Classifier. A logistic regression of vote and density features is fitted to
-   the label model's posteriors of a bounded sample of documents (the ``FIT``
-   with the smallest hashes), and scores every document.
+1. Voters. All labelled training rows count words and word beginnings; each that
+   toxic rows hold more often, by the likelihood-ratio statistic with a bound
+   for the number of candidates and by ``RATIO`` at any size, becomes a lexicon
+   voter (a word) or a pattern voter (words that begin so). Of forms that begin
+   alike and stand in the same rows, one votes. A few fixed pattern voters look
+   at style.
+2. Label model. Every document votes. Voters are put into blocs by their first
+   letters, so that forms of a word share one; how often a voter votes, and how
+   often with each bloc, is all that is counted, over all documents. Of a voter
+   and two other blocs that are independent given the label, the covariances
+   give the voter's accuracy (its difference between labels); the median over
+   pairs of blocs is kept, but no voter counts for more than labelled training
+   rows say. In a document, voters of the same first letters count as one, the
+   strongest. A voter's silence counts only where all are silent, by blocs. The
+   label's frequency comes from training rows.
+3. Classifier. A logistic regression of evidence, density and style features is
+   fitted to the label model's posteriors of a bounded sample of documents (the
+   ``FIT`` with the smallest hashes), and scores every document.
 
 Labels are used only from rows that aren't held out; lang, source and doc_id
 are inputs of no score (doc_id's hash picks the sample).
@@ -38,9 +42,13 @@ from pyspark.sql import functions as F
 
 from linefacts.llm._shared import written
 
-#: Rows, at most, of the labelled sample and of the sample that the classifier is fitted to.
+#: Rows, at most, of the sample that the classifier is fitted to.
 FIT = 40_000
-VOTERS = 56
+#: A voter is so many times likelier in toxic rows than in clean ones, at any size.
+RATIO = 100
+BLOCS = 16
+#: Terms that a task counts before it hands them on.
+HELD = 1_000_000
 #: Lengths of word beginnings that may become patterns.
 STEMS = (4, 5, 6, 7)
 LETTERS = re.compile(r"[^\W\d_]+").findall
@@ -58,144 +66,179 @@ def terms_of(text: str | None) -> set[str]:
 
 
 class Voters:
-    """The votes of one text: bit i of the mask for voter i; and how many words voted for."""
+    """The votes of one text: the numbers of the terms that vote; bits of the style patterns; and how many words voted for."""
 
     def __init__(self, terms: list[str]):
         self.terms = terms
         self.words = {t: i for i, t in enumerate(terms) if not t.endswith("*")}
         self.stems = {t[:-1]: i for i, t in enumerate(terms) if t.endswith("*")}
         self.lengths = sorted({len(s) for s in self.stems})
-        self.names = [*terms, *STYLE]
-
-    def __call__(self, text: str | None) -> tuple[int, int, int]:
-        """(mask, hits, words)."""
+        # Terms with the same first letters are a family; families are dealt to blocs.
+        names = [t.rstrip("*")[: STEMS[0]] for t in terms]
+        number = {f: i for i, f in enumerate(dict.fromkeys(names))}
+        self.family = np.array([number[f] for f in names], np.int64)
+        self.bloc = np.array([zlib.crc32(f.encode()) % BLOCS for f in names], np.int64)
+
+    def __call__(self, text: str | None) -> tuple[list[int], int, int, int]:
+        """(votes, style, hits, words)."""
         text = text or ""
         count = Counter(LETTERS(text.lower()))
-        mask, hits = 0, 0
+        style = 0
         known, stems = self.words, self.stems
         found: set[str] = set(known.keys() & count.keys())
-        for w in found:
-            mask |= 1 << known[w]
+        votes = {known[w] for w in found}
         for n in self.lengths:
             for w in count:
                 if len(w) > n and (i := stems.get(w[:n])) is not None:
-                    mask |= 1 << i
+                    votes.add(i)
                     found.add(w)
         hits = sum(count[w] for w in found)
-        n, k = len(text), len(self.terms)
+        n = len(text)
         upper = sum(map(str.isupper, text[:: max(1, n // 2000)]))  # a spread sample of characters is a share of them all
         if n >= 20 and upper * max(1, n // 2000) > 0.5 * n:
-            mask |= 1 << k
+            style |= 1
         if text.count("!") * 50 > n > 0:
-            mask |= 1 << (k + 1)
+            style |= 2
         if sum(text.count(c) for c in "#*$%&") * 25 > n > 0:
-            mask |= 1 << (k + 2)
-        return mask, hits, sum(count.values())
+            style |= 4
+        return sorted(votes), style, hits, sum(count.values())
 
 
-def labelled(docs: DataFrame, labels: DataFrame, fit: int = FIT) -> DataFrame:
-    """(text, toxic) of the labelled training sample; the sample's ids are broadcast, at most ``fit`` of them."""
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic) of all labelled training rows."""
     training = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1
     one = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & training).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit)
-    return docs.join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    # Texts are streamed past the labels of their partition, not sorted.
+    return docs.where(training).join(one.hint("shuffle_hash"), "doc_id").select("text", "toxic")
 
 
-def mined(sample: DataFrame, voters: int = VOTERS) -> tuple[list[str], float]:
-    """(terms of the voters, share of toxic rows)."""
+def mined(rows: DataFrame, ratio: float = RATIO) -> tuple[list[str], np.ndarray, float]:
+    """(terms of the voters, the log-likelihood ratio that labelled rows bear out for each, share of toxic rows)."""
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        toxic, clean, rows = Counter(), Counter(), [0, 0]
+        def counts():
+            names = [*(toxic.keys() | clean.keys())]
+            yield from pa.table({"term": names, "toxic": pa.array([toxic[x] for x in names], pa.int64()), "clean": pa.array([clean[x] for x in names], pa.int64())}).to_batches(max_chunksize=100_000)
+
+        toxic, clean = Counter(), Counter()
         for b in batches:
             for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-                (toxic if y else clean).update(terms_of(t))
-                rows[bool(y)] += 1
-        names = [*(toxic.keys() | clean.keys()), ""]
-        toxic[""], clean[""] = rows[1], rows[0]
-        yield from pa.table({"term": names, "toxic": pa.array([toxic[x] for x in names], pa.int64()), "clean": pa.array([clean[x] for x in names], pa.int64())}).to_batches(max_chunksize=100_000)
+                (toxic if y else clean).update(terms_of(t) | {""})
+                if len(toxic) + len(clean) > HELD:
+                    yield from counts()
+                    toxic, clean = Counter(), Counter()
+        yield from counts()
 
-    told = written(sample.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")), "terms")
+    told = written(rows.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")), "terms")
     whole = told.where("term = ''").first()
     if whole is None or not whole.a or not whole.b:
-        return [], (0.5 if whole is None else whole.a / max(1, whole.a + whole.b))
+        return [], np.zeros(0), (0.5 if whole is None else whole.a / max(1, whole.a + whole.b))
     ya, yb = float(whole.a), float(whole.b)
     limit = 2 * math.log(10.0 * max(2, told.count()))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     n, all_ = a + b, ya + yb
     g2 = 2 * (part(a, n * ya / all_) + part(b, n * yb / all_) + part(ya - a, (all_ - n) * ya / all_) + part(yb - b, (all_ - n) * yb / all_))
-    # Voters must be precise as well as significant: a hundred toxic rows for each clean one, at equal numbers of both.
-    best = told.where("term <> ''").withColumn("g2", g2).where((F.col("g2") > limit) & (a / ya > 100 * (b + 0.5) / yb)).orderBy(F.col("g2").desc(), "term").limit(4 * voters).collect()
-    kept: list[str] = []
-    seen: dict[tuple, str] = {}
-    for r in best:  # of terms that differ only in length and stand in the same rows, one
-        stem = (r.term.rstrip("*")[:4], r.a, r.b)
-        if stem not in seen:
-            seen[stem] = r.term
-            kept.append(r.term)
-    return kept[:voters], ya / all_
+    # Of the logarithm of how much likelier a term is in toxic rows, two standard errors below the estimate are evidence.
+    llr = F.log(((a + 0.5) / (ya + 1)) / ((b + 0.5) / (yb + 1))) - 2 * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    best = told.where("term <> ''").where((g2 > limit) & (a / ya > ratio * (b + 0.5) / yb)).select("term", "a", "b", llr.alias("llr")).orderBy("term").toArrow().to_pylist()
+    stands = {r["term"]: (r["a"], r["b"]) for r in best}
+
+    def repeats(t: str) -> bool:
+        """A shorter beginning holds all rows of the term, so with equal counts it stands in the same."""
+        bare = t.rstrip("*")
+        return any(stands.get(bare[:n] + "*") == stands[t] for n in STEMS if n < len(bare))
+
+    kept = [r for r in best if not repeats(r["term"])]
+    return [r["term"] for r in kept], np.array([r["llr"] for r in kept]), ya / all_
+
 
+def flat(batch) -> tuple[np.ndarray, np.ndarray]:
+    """(document's row in the batch, voter) of all votes."""
+    votes = batch.column("votes")
+    return np.repeat(np.arange(batch.num_rows), votes.value_lengths().to_numpy(zero_copy_only=False)), votes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
-def moments(votes: DataFrame, m: int) -> tuple[float, np.ndarray]:
-    """(documents, how often each two voters vote together), over all documents."""
+
+def moments(votes: DataFrame, bloc: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, votes of each voter, votes of each together with each bloc, votes of each two blocs together), over all documents."""
+    m = len(bloc)
 
     def add(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        out, n = np.zeros((m, m)), 0
+        out, blocs, n = np.zeros((m, BLOCS + 1)), np.zeros((BLOCS, BLOCS)), 0
         for b in batches:
-            x = ((b.column("mask").to_numpy()[:, None] >> np.arange(m)) & 1).astype(np.float32)
-            out += x.T @ x
-            n += len(x)
-        yield pa.RecordBatch.from_pydict({"cell": np.arange(m * m + 1), "n": np.append(out.ravel(), n)})
-
-    rows = votes.select("mask").mapInArrow(add, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # a fixed number of rows
-    flat = np.zeros(m * m + 1)
-    for r in rows:
-        flat[r.cell] = r.n
-    return float(flat[-1]), flat[:-1].reshape(m, m)
-
-
-def label_model(n: float, both: np.ndarray, prior: float) -> dict[str, np.ndarray]:
-    """Each voter's rate under either label and its weight after correlations, from second moments alone."""
-    m = len(both)
-    mean = np.diag(both) / max(n, 1)
-    cov = both / max(n, 1) - np.outer(mean, mean)
-    sure = cov > 3 * np.sqrt(np.maximum(np.outer(mean, mean), 1e-12) / max(n, 1))
-    var = prior * (1 - prior)
-    delta = np.zeros(m)
-    for i in range(m):
-        js = [j for j in range(m) if j != i and sure[i, j]]
-        found = [cov[i, j] * cov[i, k] / cov[j, k] for x, j in enumerate(js) for k in js[x + 1 :] if sure[j, k]]
-        # A voter that no two others corroborate keeps what its own rate allows under the prior.
-        delta[i] = math.sqrt(max(np.median(found), 0) / var) if found else min(mean[i] / prior, 1.0) * 0.9
-    high = np.clip(mean + (1 - prior) * delta, 1e-4, 1 - 1e-4)
-    low = np.clip(mean - prior * delta, 1e-5, high)
-    excess = cov - np.outer(delta, delta) * var
-    scale = np.sqrt(np.maximum(np.outer(np.diag(cov), np.diag(cov)), 1e-12))
-    related = np.clip(excess / scale, 0, 1)
-    np.fill_diagonal(related, 1)
-    return {"high": high, "low": low, "weight": 1 / related.sum(axis=1), "delta": delta}
-
-
-def posterior(mask: np.ndarray, model: dict[str, np.ndarray], prior: float, strict: np.ndarray) -> np.ndarray:
-    """P(toxic) of vote masks by the voters in ``strict``. Silence counts for half where others vote: each voter fits few texts."""
-    x = ((mask[:, None] >> np.arange(len(model["high"]))) & 1).astype(bool)
-    yes = np.log(model["high"] / model["low"]) * model["weight"]
-    no = np.log((1 - model["high"]) / (1 - model["low"])) * model["weight"]
-    x = x[:, strict]
-    share = np.where(x.any(axis=1, keepdims=True), 0.5, 1.0)
-    z = math.log(prior / (1 - prior)) + np.where(x, yes[strict], share * no[strict]).sum(axis=1)
+            doc, voter = flat(b)
+            x = np.zeros((b.num_rows, BLOCS), np.float32)
+            x[doc, bloc[voter]] = 1
+            blocs += x.T @ x
+            out[:, BLOCS] += np.bincount(voter, minlength=m)
+            for g in range(BLOCS):
+                out[:, g] += np.bincount(voter, x[doc, g], m)
+            n += b.num_rows
+        every = np.concatenate([[n], blocs.ravel(), out.ravel()])
+        cell = np.flatnonzero(every)
+        yield from pa.table({"cell": cell, "n": every[cell]}).to_batches(max_chunksize=200_000)
+
+    rows = votes.select("votes").mapInArrow(add, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # BLOCS + 1 rows a voter
+    every = np.zeros(1 + BLOCS * BLOCS + m * (BLOCS + 1))
+    every[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    both = every[1 + BLOCS * BLOCS :].reshape(m, BLOCS + 1)
+    return float(every[0]), both[:, BLOCS], both[:, :BLOCS], every[1 : 1 + BLOCS * BLOCS].reshape(BLOCS, BLOCS)
+
+
+def label_model(n: float, count: np.ndarray, both: np.ndarray, blocs: np.ndarray, bloc: np.ndarray, llr: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """(evidence of each voter's vote, evidence of no vote at all), as log-likelihood ratios."""
+    n = max(n, 1)
+    own = np.diag(blocs) / n
+
+    def rates(mean: np.ndarray, with_: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rate under either label of what votes so often, and so often together with the blocs; ``at``: its own bloc."""
+        cov = with_ / n - np.outer(mean, own)
+        sure = cov > 3 * np.sqrt(np.maximum(np.outer(mean, own), 1e-12) / n)
+        sure[np.arange(len(mean)), at] = False
+        found = []
+        for g in range(BLOCS):
+            for h in range(g + 1, BLOCS):
+                c = blocs[g, h] / n - own[g] * own[h]
+                if c > 3 * math.sqrt(max(own[g] * own[h], 1e-12) / n):
+                    found.append(np.where(sure[:, g] & sure[:, h], cov[:, g] * cov[:, h] / c, np.nan))
+        held = np.array(found).reshape(len(found), len(mean))
+        some = ~np.isnan(held).all(axis=0) if len(held) else np.zeros(len(mean), bool)
+        # A voter that no two blocs corroborate keeps what its own rate allows under the prior.
+        delta = np.minimum(mean / prior, 1.0) * 0.9
+        if some.any():
+            delta[some] = np.sqrt(np.maximum(np.nanmedian(held[:, some], axis=0), 0) / (prior * (1 - prior)))
+        high = np.clip(mean + (1 - prior) * delta, 1e-9, 1 - 1e-4)
+        return high, np.clip(mean - prior * delta, 1e-9, high)
+
+    high, low = rates(count / n, both, bloc)
+    yes = np.minimum(np.log(high / low), llr)
+    high, low = rates(own, blocs, np.arange(BLOCS))
+    return yes, float(np.log((1 - high) / (1 - low)).sum())
+
+
+def evidence(batch, yes: np.ndarray, family: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(summed evidence, families that vote) of each document; of a family, its strongest voter counts."""
+    doc, voter = flat(batch)
+    key, back = np.unique(doc * (len(yes) + 1) + family[voter], return_inverse=True)
+    most = np.zeros(len(key))
+    np.maximum.at(most, back, yes[voter])
+    at = key // (len(yes) + 1)
+    return np.bincount(at, most, batch.num_rows), np.bincount(at, minlength=batch.num_rows)
+
+
+def posterior(told: np.ndarray, families: np.ndarray, silent: float, prior: float) -> np.ndarray:
+    """P(toxic). Silence counts where nothing votes: each voter fits few texts."""
+    z = math.log(prior / (1 - prior)) + np.where(families > 0, told, silent)
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def features(mask: np.ndarray, hits: np.ndarray, words: np.ndarray, m: int) -> np.ndarray:
-    x = ((mask[:, None] >> np.arange(m)) & 1).astype(float)
-    terms = x[:, : m - len(STYLE)].sum(axis=1)
-    more = np.stack([terms > 0, np.log1p(hits), np.log1p(1000 * hits / np.maximum(words, 1)), np.ones(len(x))], axis=1)
-    return np.concatenate([x, more], axis=1)
+def features(told: np.ndarray, families: np.ndarray, style: np.ndarray, hits: np.ndarray, words: np.ndarray) -> np.ndarray:
+    x = [np.minimum(told, 30) / 10, families > 0, np.log1p(families), np.log1p(hits), np.log1p(1000 * hits / np.maximum(words, 1))]
+    return np.stack([*x, *((style >> i) & 1 for i in range(len(STYLE))), np.ones(len(told))], axis=1).astype(float)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -215,37 +258,41 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit: int = FIT) -> DataFrame:
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    sample = labelled(docs, labels, fit)
-    terms, prior = mined(sample)
+    terms, llr, prior = mined(labelled(docs, labels))
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     voters = Voters(terms)
-    m = len(voters.names)
 
     def vote(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            cols = list(zip(*map(voters, b.column("text").to_pylist()))) or [(), (), ()]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "held_out": [held_out(i) for i in ids], "mask": pa.array(cols[0], pa.int64()), "hits": pa.array(cols[1], pa.int64()), "words": pa.array(cols[2], pa.int64())})
+            cols = list(zip(*map(voters, b.column("text").to_pylist()))) or [(), (), (), ()]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "held_out": [held_out(i) for i in ids], "votes": pa.array(cols[0], pa.list_(pa.int32())), "style": pa.array(cols[1], pa.int32()), "hits": pa.array(cols[2], pa.int64()), "words": pa.array(cols[3], pa.int64())})
 
-    votes = written(docs.mapInArrow(vote, "doc_id long, held_out boolean, mask long, hits long, words long"), "votes")
-    n, both = moments(votes, m)
-    model = label_model(n, both, prior)
-    strict = np.array([i for i in range(m) if i < len(terms)], int)
+    votes = written(docs.mapInArrow(vote, "doc_id long, held_out boolean, votes array<int>, style int, hits long, words long"), "votes")
     if len(terms):
-        fitted = votes.where("NOT held_out").orderBy(F.xxhash64("doc_id"), "doc_id").select("mask", "hits", "words").limit(fit).toPandas()
-        x = features(*(fitted[c].to_numpy() for c in ("mask", "hits", "words")), m)
-        w = fit_logistic(x, posterior(fitted["mask"].to_numpy(), model, prior, strict))
+        yes, silent = label_model(*moments(votes, voters.bloc), voters.bloc, llr, prior)
+        fitted = votes.where("NOT held_out").orderBy(F.xxhash64("doc_id"), "doc_id").select("votes", "style", "hits", "words").limit(fit).toArrow().combine_chunks().to_batches()
+    else:
+        yes, silent, fitted = np.zeros(0), 0.0, []
+    family = voters.family
+
+    def read(batch) -> tuple[np.ndarray, ...]:
+        return *evidence(batch, yes, family), *(batch.column(c).to_numpy() for c in ("style", "hits", "words"))
+
+    if fitted:
+        seen = read(fitted[0])
+        w = fit_logistic(features(*seen), posterior(*seen[:2], silent, prior))
     else:
-        w = np.zeros(m + 4)
+        w = np.zeros(6 + len(STYLE))
         w[-1] = math.log(prior / (1 - prior))
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            z = features(*(b.column(c).to_numpy() for c in ("mask", "hits", "words")), m) @ w
+            z = features(*read(b)) @ w
             p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "score": p, "predicted": (p >= 0.7).astype(np.int32)})
 

@@ -496,3 +496,13 @@ def test_toxicity(spark, docs, nothing):
     assert odd.count() == docs.count()
     assert toxicity.toxicity(docs, lab.where("false")).count() == docs.count()
     assert toxicity.toxicity(nothing, lab).count() == 0
+
+
+def test_every_significant_word_votes_whatever_the_sample(spark):
+    r = random.Random(8)
+    bad = ["".join(r.choices("bcdfgkmpz", k=7)) for _ in range(80)]
+    rows = [(i, prose(r, 30) + (" " + bad[i // 3 % 80] if i % 3 == 0 else "")) for i in range(14400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = df.selectExpr("doc_id", "1 AS quality", "CAST(doc_id % 3 = 0 AS INT) AS toxic")
+    got = toxicity.toxicity(df, lab, fit=300).collect()
+    assert len(got) == 14400 and all(x.predicted == (x.doc_id % 3 == 0) for x in got)
