@@ -94,8 +94,8 @@ class Voters:
                     found.add(w)
         hits = sum(count[w] for w in found)
         n = len(text)
-        upper = sum(map(str.isupper, text[:: max(1, n // 2000)]))  # a spread sample of characters is a share of them all
-        if n >= 20 and upper * max(1, n // 2000) > 0.5 * n:
+        upper = sum(map(str.isupper, text))
+        if n >= 20 and upper * 2 > n:
             style |= 1
         if text.count("!") * 50 > n > 0:
             style |= 2

@@ -506,3 +506,8 @@ def test_every_significant_word_votes_whatever_the_sample(spark):
     lab = df.selectExpr("doc_id", "1 AS quality", "CAST(doc_id % 3 = 0 AS INT) AS toxic")
     got = toxicity.toxicity(df, lab, fit=300).collect()
     assert len(got) == 14400 and all(x.predicted == (x.doc_id % 3 == 0) for x in got)
+
+
+def test_capitals_are_counted_over_the_whole_text():
+    assert toxicity.Voters([])("Ba" * 2500)[1] & 1 == 0
+    assert toxicity.Voters([])("BaB" * 2500)[1] & 1 == 1
