@@ -8,6 +8,16 @@ from linefacts.operators.accounting import summed
 from linefacts.plans.request import Selection, UsageError, contexts_of, parser, selection
 
 
+def linked_outside(root: str) -> list[tuple[str, str]]:
+    """A warning for each Rust source that is a link out of the root."""
+    import os
+
+    from linefacts.sources.tree import walk
+
+    real = [(path, os.path.realpath(os.path.join(root, path))) for path, link in walk(root) if link and path.endswith(".rs")]
+    return [("source-symlink-outside-root", f"skipped Rust source symlink `{path}` because canonical target `{to}` is outside the Root") for path, to in real if os.path.commonpath([root, to]) != root]
+
+
 def counted(spark, s: Selection, metadata: str | None = None) -> str:
     """The report of a request; packages and targets come from a captured metadata document, if there is one."""
     import os
@@ -19,6 +29,7 @@ def counted(spark, s: Selection, metadata: str | None = None) -> str:
 
     packages = targets = None
     root = os.path.realpath(s.root)
+    warnings, excluded = linked_outside(root), set()
     if metadata:
         with open(metadata) as f:
             doc = cargo.metadata_document(f.read())
@@ -32,11 +43,14 @@ def counted(spark, s: Selection, metadata: str | None = None) -> str:
             options = sorted(f"feature={f}" for f in on)
             for t in p.get("targets", ()):
                 kind = cargo.target_kind(t["kind"])
-                if kind is None or set(t.get("required-features", ())) - on or kind in s.excludes or f"{kind}:{t['name']}" in s.excludes:
+                out = {kind, f"{kind}:{t['name']}"} & set(s.excludes)
+                excluded |= out
+                if kind is None or set(t.get("required-features", ())) - on or out:
                     continue
                 flags = {"test": t.get("test", kind in ("lib", "bin", "test")), "bench": t.get("bench", kind in ("lib", "bin", "bench"))}
                 for context in contexts_of(kind, s.includes, t["name"], flags):
                     if context in s.excludes:
+                        excluded.add(context)
                         continue
                     test = context != "production"
                     harness = t.get("harness", True)
@@ -46,12 +60,15 @@ def counted(spark, s: Selection, metadata: str | None = None) -> str:
         keys = {k: i for i, k in enumerate(dict.fromkeys((tuple(r[2]), r[3], r[4]) for r in rows))}
         rows = [(r[0], keys[(tuple(r[2]), r[3], r[4])], *r[2:]) for r in rows]
         targets = spark.createDataFrame(rows, "path string, ctx_id int, options array<string>, test boolean, harness boolean").distinct()
+    warnings += [("unmatched-target-exclusion", f"target exclusion `{x}` matched nothing") for x in dict.fromkeys(s.excludes) if x not in excluded]
     facts = count.contributions(spark, count.scanned(spark, root), packages, targets)
     if not s.root_files:
         facts = facts.where(F.col("scope") != "<root>")
     rows = summed(facts, "scope", "language")
     if s.json:
-        return report.document(rows, {"root": root, "features": list(s.features), "all_features": s.all_features, "targets": list(s.includes), "root_files": s.root_files}, [])
+        return report.document(rows, {"root": root, "features": list(s.features), "all_features": s.all_features, "targets": list(s.includes), "root_files": s.root_files}, warnings)
+    for code, message in sorted(warnings):
+        print(f"warning[{code}]: {message}", file=sys.stderr)
     return report.totals(rows) if s.totals else report.table(rows)
 
 

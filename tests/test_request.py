@@ -78,3 +78,15 @@ def test_a_package_by_its_metadata(spark, tmp_path, capsys):
     assert (rows[("p", "Rust")]["files"], rows[("p", "Rust")]["code"], rows[("p", "Rust")]["test"]) == (2, 2, 3) and ("<root>", "Python") in rows
     less = json.loads(cli.counted(spark, asked("--json", "--no-default-features", "-p", "p", "--exclude-target", "test", str(root)), str(tmp_path / "m.json")))
     assert {(r["scope"], r["language"]): r["counts"]["code"] for r in less["rows"]} == {("p", "Rust"): 0, ("p", "Rust (unconfigured)"): 1, ("p", "TOML"): 1}
+
+
+def test_warnings_are_told(spark, tmp_path, capsys):
+    (tmp_path / "w").mkdir()
+    (tmp_path / "far.rs").write_text("fn f() {}\n")
+    (tmp_path / "w/near.rs").symlink_to(tmp_path / "far.rs")
+    (tmp_path / "w/o.py").write_text("1\n")
+    out = json.loads(cli.counted(spark, asked("--json", "--exclude-target", "bench", str(tmp_path / "w"))))
+    assert [w["code"] for w in out["warnings"]] == ["source-symlink-outside-root", "unmatched-target-exclusion"]
+    assert "warning[" not in capsys.readouterr().err
+    cli.counted(spark, asked("--exclude-target", "bench", str(tmp_path / "w")))
+    assert "warning[unmatched-target-exclusion]: target exclusion `bench` matched nothing\n" in capsys.readouterr().err
