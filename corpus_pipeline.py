@@ -61,8 +61,8 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @partial(stage, after="repeated_strings")
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixed(docs)
+    """Documents as often as the mix takes them, shard after shard, shuffled within each."""
+    return mixed(docs).select(*docs.columns)
 
 
 @partial(stage, after="source_mix")
