@@ -353,17 +353,58 @@ def test_mix(docs, rows, nothing):
     got = {r.source: (r.source_size, r.target) for r in sources.collect()}
     assert {s: v[0] for s, v in got.items()} == dict(size)
     assert all(math.isclose(got[s][1], want[s], abs_tol=1e-6) for s in size)
-    taken = Counter()
-    per = Counter()
+    taken, per = Counter(), Counter()
     for r in drawn.collect():
-        taken[r.source] += r.size
-        per[(r.doc_id, r.source, r.h, r.copy)] += 1
+        taken[r.source] += r.size * r.k
+        for c in range(r.k):
+            per[(r.doc_id, r.source, r.h, c)] += 1
     # Documents are taken whole: the longest one has 4,000 words.
     assert max(per.values()) <= 2 and all(abs(taken[s] - want[s]) <= 2000 for s in size)
     again = mixing.mix(docs)[2]
     assert sorted(map(str, drawn.collect())) == sorted(map(str, again.collect()))
     assert mixing.mix(nothing)[2].count() == 0
-    assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs).count() == sum(per.values())
+    out = mixing.mixed(docs)
+    assert set(out.columns) == {*docs.columns, "shard", "place"} and out.count() == sum(per.values())
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    r = random.Random(12)
+    return spark.createDataFrame([(i, "w " * r.randint(1, 40), f"s{i % 5}") for i in range(2000)], "doc_id long, text string, source string").persist()
+
+
+def test_shards_hold_what_the_tree_deals_them(many):
+    shards, share = 6, 1.5
+    rows, sources, draws, _ = mixing.plan(many, "doc_id", "text", "source", (3.0, 1.0, 2.0), share, 2.0, 7, shards)
+    got = Counter((r.sid, r.part, r.shard) for r in draws.collect())
+    assert len({(r.sid, r.block, r["pass"]) for r in draws.collect()}) == sum(got.values())
+    for part, of in (((0, 1), lambda s, p: 2 * s + p), ((2,), lambda s, p: s)):
+        sums = Counter()
+        for (s, p, _), n in got.items():
+            if p in part:
+                sums[of(s, p)] += n
+        names = sorted({2 * r.sid + p for r in sources.collect() for p in (0, 1)}) if part == (0, 1) else sorted(sums)
+        quotas = many.sparkSession.createDataFrame([([sums[k] for k in names],)], "quotas array<long>")
+        tree = {r.shard: dict(zip(names, r.quotas)) for r in mixing.splitting_tree(quotas, shards, 7 if part == (0, 1) else 10).collect()}
+        assert {k: v for k, v in got.items() if k[1] in part} == {(s, p, h): n for h, q in tree.items() for s in range(5) for p in part if (n := q.get(of(s, p), 0))}
+
+
+def test_the_draw_decides_what_is_taken(many, monkeypatch):
+    taken = lambda: {(r.doc_id, r["pass"]) for r in mixing.mix(many, shards=6)[2].collect()}
+    one = taken()
+    monkeypatch.setattr(mixing, "hypergeometric", lambda n, k, of, u: mixing.F.greatest(mixing.F.lit(0).cast("long"), n - (of - k)))
+    assert one != taken()
+
+
+def test_one_row_that_is_a_third_of_all(spark):
+    rows = [(1, "a b c d e", "s")] * 600 + [(i, "a b c " * (i % 7), f"t{i % 2}") for i in range(2, 1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    _, sources, drawn = mixing.mix(docs)
+    goal = {r.source: r.target for r in sources.collect()}
+    took = Counter()
+    for r in drawn.collect():
+        took[r.source] += r.k * r.size
+    assert all(abs(took[s] - goal[s]) < 20 for s in goal) and mixing.mixed(docs).count() == sum(r.k for r in drawn.collect())
 
 
 def test_splitting_tree_is_exact_and_hypergeometric(spark):
