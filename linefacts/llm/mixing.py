@@ -51,7 +51,7 @@ PICK = 8
 #: Output shards, at least; more if one would hold more than so many words.
 SHARDS, SHARD_WORDS = 64, 20_000_000
 #: Levels of the tree that one task grows; those below are grown by many.
-ALONE = 10
+ALONE = 3
 
 
 def word_count(text: Column) -> Column:
@@ -122,7 +122,7 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     depth = max(0, (shards - 1).bit_length())
     for level in range(depth):
         if level == ALONE:
-            node = node.repartition(1 << ALONE, "shard")
+            node = node.repartition(min(shards, 1024), "shard")
         total = F.aggregate("quotas", F.lit(0).cast("long"), lambda a, x: a + x)
         left_width = (F.col("width") / 2).cast("int")
         first = F.struct(F.floor(total * left_width / F.col("width")).cast("long").alias("n"), total.alias("of"), F.array().cast("array<bigint>").alias("out"))
