@@ -76,6 +76,13 @@ def resolver_version(explicit: Column, edition: Column) -> Column:
     return F.coalesce(explicit, F.when(edition == "2024", 3).when(edition == "2021", 2).otherwise(1)).cast("int")
 
 
+def normalized(path: Column) -> Column:
+    """An absolute path without ``.`` and empty components, and with ``..`` applied; above the root there is nothing."""
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(F.split(path, "/"), none, lambda a, x: F.when(x.isin("", "."), a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
 def ancestors(path: Column) -> Column:
     """Every directory above a path, the path itself included: keys for an equi-join on containment."""
     parts = F.split(path, "/")

@@ -16,16 +16,38 @@ def summed(facts: DataFrame, *keys: str) -> DataFrame:
     return facts.groupBy(*keys).agg(*sums) if keys else facts.agg(*(F.coalesce(F.sum(m), F.lit(0)).cast("long").alias(m) for m in MEASURES), sums[-1])
 
 
+def package_rows(rust: DataFrame, lexical: DataFrame) -> DataFrame:
+    """Report rows of counts that are a package's already: (scope, measures, test) of Rust, and (scope, language, measures) of the rest, whose test is unavailable."""
+    one = rust.withColumn("language", F.lit("Rust")).select("scope", "language", *MEASURES, "test")
+    rest = lexical.withColumn("test", F.lit(None).cast("long")).select("scope", "language", *MEASURES, "test")
+    return summed(one.unionByName(rest), "scope", "language")
+
+
+def percentiles(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, p50, p95, peak, n) by nearest rank."""
+    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
+    return rows.groupBy(key).agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.max(value).alias("peak"), F.count(F.lit(1)).alias("n"))
+
+
+def united(*warnings: DataFrame) -> DataFrame:
+    """Warnings (code, message) of all phases, in order."""
+    out = warnings[0]
+    for w in warnings[1:]:
+        out = out.unionByName(w)
+    return out.orderBy("code", "message")
+
+
 def with_scope_totals(rows: DataFrame) -> DataFrame:
     return rows.withColumn("scope_lines", F.sum("lines").over(Window.partitionBy("scope")))
 
 
 def report_order(rows: DataFrame) -> DataFrame:
-    """Largest scope first; within a scope the most lines first; ties by language key in byte order. ``pos`` counts from 1.
+    """Largest scope first; within a scope the most lines first; ties by language key in byte order: Rust's key is in lower case. ``pos`` counts from 1.
 
     Report rows are few (scopes times languages), whatever the corpus.
     """
-    order = [F.col("scope_lines").desc(), F.col("scope"), F.col("lines").desc(), F.col("language")]
+    key = F.when(F.col("language") == "Rust", "rust").when(F.col("language") == "Rust (unconfigured)", "rust-unconfigured").otherwise(F.col("language"))
+    order = [F.col("scope_lines").desc(), F.col("scope"), F.col("lines").desc(), key]
     out = with_scope_totals(rows)
     return out.withColumn("pos", F.row_number().over(Window.orderBy(*order)))
 

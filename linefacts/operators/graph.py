@@ -2,33 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linefacts.sources.workdir import drop, written
 
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    path = f"{at}/linefacts/{spark.sparkContext.applicationId}/reach-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rounds after which the tables of what is seen become one.
+ROUNDS = 8
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(root, node): what each (root, node) seed reaches over (src, dst) edges, cycles included.
 
     A semi-naive fixpoint: each round joins only the frontier, and what is new
-    is written to the shared folder, so rounds don't pile up lineage.
+    is written to the shared folder, so rounds don't pile up lineage; edges are
+    distinct once, and after ``ROUNDS`` rounds what is seen is one table again.
     """
-    edges = edges.select("src", "dst").distinct()
-    seen = frontier = _written(seeds.select("root", "node").distinct())
+    edges = written(edges.select("src", "dst").distinct(), "reach-edges")
+    seen = frontier = written(seeds.select("root", "node").distinct(), "reach")
+    old: list[str] = []
+    n = 0
     while frontier.limit(1).count():
         step = frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        frontier = _written(step.join(seen, ["root", "node"], "left_anti"))
-        seen = seen.unionByName(frontier)
+        frontier = written(step.join(seen, ["root", "node"], "left_anti"), "reach")
+        seen, n = seen.unionByName(frontier), n + 1
+        if n % ROUNDS == 0:
+            before, seen = seen, written(seen, "reach-seen")
+            frontier = written(frontier, "reach")  # of a table of its own, so that the old ones can go
+            old = sorted({f.rsplit("/", 1)[0] for f in before.inputFiles()})
+            drop(seeds.sparkSession, old)
     return seen
 
 

@@ -27,3 +27,21 @@ def fingerprint(files: DataFrame, path: str, content: str, *more: str) -> DataFr
 def reusable(cache: DataFrame, now: DataFrame) -> DataFrame:
     """Cached results whose digest is still that of the input."""
     return cache.join(now, ["path", "digest"], "left_semi")
+
+
+def dependencies(*sets: DataFrame) -> DataFrame:
+    """The union of the paths that several results depend on."""
+    out = sets[0]
+    for s in sets[1:]:
+        out = out.unionByName(s)
+    return out.distinct()
+
+
+def swept(cache: DataFrame, now: DataFrame, compute, *key: str) -> DataFrame:
+    """The results of ``now``, which is the next cache too: marked are the keys that ``now`` asks for, what isn't is swept; only keys that the cache lacks are computed.
+
+    Equal keys are computed once. ``compute`` gives a row for each distinct key.
+    """
+    asked = now.dropDuplicates(list(key))
+    kept = cache.join(asked.select(*key), list(key), "left_semi")
+    return kept.unionByName(compute(asked.join(cache.select(*key), list(key), "left_anti")).select(*cache.columns))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linefacts.functions.text import ancestors
+from linefacts.functions.text import ancestors, sanitized
 
 
-def dedup(files: DataFrame, identity: str = "identity", path: str = "path", *carried: str) -> DataFrame:
-    """(identity, rep_path, aliases, n_aliases, carried...): aliases are merged before anything costly; the smallest path represents them."""
-    best = [F.min_by(c, path).alias(c) for c in carried]
+def dedup(files: DataFrame, identity: str = "identity", path: str = "path", *carried: str, least: tuple[str, ...] = ()) -> DataFrame:
+    """(identity, rep_path, aliases, n_aliases, carried...): aliases are merged before anything costly; the smallest path represents them. Of ``least`` each column's smallest value stays."""
+    best = [F.min_by(c, path).alias(c) for c in carried] + [F.min(c).alias(c) for c in least]
     return files.groupBy(identity).agg(F.min(path).alias("rep_path"), F.array_sort(F.collect_set(path)).alias("aliases"), F.count(F.lit(1)).alias("n_aliases"), *best)
 
 
@@ -25,10 +25,10 @@ def reconcile(ledger: DataFrame, claims: DataFrame) -> DataFrame:
 def containing(files: DataFrame, roots: DataFrame, path: str = "path", root: str = "root") -> DataFrame:
     """Every (file, root above it), as an equi-join on exploded ancestors: no nested loop, whatever the number of roots.
 
-    A root's depth is its number of components.
+    A root's depth is its number of components; the empty path is above all.
     """
-    up = files.withColumn("up__", F.explode(ancestors(F.col(path))))
-    return up.join(roots, F.col("up__") == F.col(root)).withColumn("depth", F.size(F.split(root, "/"))).drop("up__")
+    up = files.withColumn("up__", F.explode(F.concat(F.array(F.lit("")), ancestors(F.col(path)))))
+    return up.join(roots, F.col("up__") == F.col(root)).withColumn("depth", F.when(F.col(root) == "", 0).otherwise(F.size(F.split(root, "/")))).drop("up__")
 
 
 def deepest_owner(files: DataFrame, roots: DataFrame, key: str, path: str = "path", root: str = "root", pkg: str = "pkg") -> DataFrame:
@@ -72,5 +72,14 @@ def qualified_labels(scopes: DataFrame) -> DataFrame:
     ids = F.size(F.collect_set("id").over(named))
     label = F.when(ids > 1, F.concat("name", F.lit(" ("), F.coalesce(F.nullif(F.col("qualifier"), F.lit("")), "id"), F.lit(")"))).otherwise(F.col("name"))
     out = scopes.withColumn("label", label)
-    alike = F.size(F.collect_set("id").over(Window.partitionBy("label")))
-    return out.withColumn("label", F.when(alike > 1, F.concat("label", F.lit(" [scope:package:"), F.hex(F.col("id")), F.lit("]"))).otherwise(F.col("label")))
+    seen = out.withColumn("shown", sanitized(F.col("label")))
+    alike = F.size(F.collect_set("id").over(Window.partitionBy("shown")))
+    return seen.withColumn("label", F.when(alike > 1, F.concat("shown", F.lit(" [scope:package:"), F.hex(F.col("id")), F.lit("]"))).otherwise(F.col("label"))).drop("shown")
+
+
+def package_projection(files: DataFrame, packages: DataFrame, manifests: DataFrame) -> DataFrame:
+    """(path, owner) of files that aren't Rust: the deepest package (root, pkg) above, unless a folder between it and the file has a manifest (folder) of its own."""
+    held = containing(files.where(~F.col("path").endswith(".rs")), packages)
+    owned = held.groupBy("path").agg(F.min(F.struct((-F.col("depth")).alias("d"), F.col("pkg").alias("p"))).alias("b"))
+    nested = containing(owned, manifests.select(F.col("folder").alias("root"))).where(F.col("depth") > -F.col("b.d"))
+    return owned.join(nested.select("path"), "path", "left_anti").select("path", F.col("b.p").alias("owner"))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from linefacts.functions.text import lines_of
 
+#: Offsets in a bin of the overlap join.
+BIN = 64
+
 
 def exploded(files: DataFrame, text: str = "text") -> DataFrame:
     """A row for each physical line: line_no from 1, line."""
@@ -14,15 +17,24 @@ def exploded(files: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_offsets(files: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, line_no, start, end) in bytes; the end leaves out the line feed. A fold over the file's own lines: no shuffle."""
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
+    """(key, line_no, start, end) in bytes; the end leaves out the line feed. Lengths of lines summed within the file: texts don't move."""
+    rows = files.withColumn("file__", F.monotonically_increasing_id()).select(key, "file__", F.posexplode(lines_of(F.col(text))).alias("at__", "line__"))
+    rows = rows.select(key, "file__", (F.col("at__") + 1).alias("line_no"), F.octet_length("line__").cast("long").alias("n__"))
+    ahead = Window.partitionBy("file__").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("n__") + 1).over(ahead), F.lit(0)).cast("long")
+    return rows.withColumn("start", start).select(key, "line_no", "start", (F.col("start") + F.col("n__")).alias("end"))
+
+
+def classified(line: Column, opener: str) -> Column:
+    """blank, comment or code of one line, by what it begins with."""
+    return F.when(F.trim(line) == "", "blank").when(F.ltrim(line).startswith(opener), "comment").otherwise("code")
 
-    def step(t: Column, line: Column) -> Column:
-        end = t["at"] + F.octet_length(line)
-        return F.struct((end + 1).alias("at"), F.concat(t["out"], F.array(F.struct(t["at"].alias("start"), end.cast("long").alias("end")))).alias("out"))
 
-    spans = F.aggregate(lines_of(F.col(text)), first, step)["out"]
-    return files.select(key, F.posexplode(spans).alias("at__", "s")).select(key, (F.col("at__") + 1).alias("line_no"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+def context_bits(rows: DataFrame, key: str, ctx: str, of: Column | None = None) -> DataFrame:
+    """(key, word, any, none) of the contexts in the rows, as bits: 63 contexts a word, any number of words; ``any``: those that some row has, ``none``: those of the mask ``of`` that no row has."""
+    word, bit = F.floor(F.col(ctx) / 63), F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST({ctx} % 63 AS INT))")
+    mask = F.lit((1 << 63) - 1) if of is None else of
+    return rows.groupBy(key, word.alias("word")).agg(F.bit_or(bit).alias("any"), F.bit_and(mask.cast("long") - bit).alias("none"))
 
 
 def production_wins(flags: DataFrame, *key: str) -> DataFrame:
@@ -44,8 +56,9 @@ def counted(lines: DataFrame, *key: str) -> DataFrame:
 def active_spans(inactive: DataFrame, files: DataFrame, key: str) -> DataFrame:
     """Maximal spans of each (key, ctx) outside its inactive ranges [start, end) of a file of ``size`` bytes: a sweep over +1/-1 events."""
     part = [key, "ctx"]
-    marks = files.select(*part, F.lit(0).cast("long").alias("off"), F.lit(0).alias("d")).unionByName(files.select(*part, F.col("size").cast("long").alias("off"), F.lit(0).alias("d")))
-    events = inactive.select(*part, F.col("start").cast("long").alias("off"), F.lit(1).alias("d")).unionByName(inactive.select(*part, F.col("end").cast("long").alias("off"), F.lit(-1).alias("d"))).unionByName(marks)
+    marks = files.select(*part, F.inline(F.array(F.struct(F.lit(0).cast("long").alias("off"), F.lit(0).alias("d")), F.struct(F.col("size").cast("long").alias("off"), F.lit(0).alias("d")))))
+    ends = F.array(F.struct(F.col("start").cast("long").alias("off"), F.lit(1).alias("d")), F.struct(F.col("end").cast("long").alias("off"), F.lit(-1).alias("d")))
+    events = inactive.select(*part, F.inline(ends)).unionByName(marks)
     w = Window.partitionBy(*part).orderBy("off")
     swept = events.groupBy(*part, "off").agg(F.sum("d").alias("d")).withColumn("depth", F.sum("d").over(w)).withColumn("end", F.lead("off").over(w))
     open_ = swept.where(F.col("end").isNotNull() & (F.col("end") > F.col("off")) & (F.col("depth") == 0))
@@ -56,10 +69,11 @@ def active_spans(inactive: DataFrame, files: DataFrame, key: str) -> DataFrame:
 
 
 def overlaps(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str) -> DataFrame:
-    """Pairs of spans of one key that overlap: an equi-join on the key, ranges as a residue."""
-    on = (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l.start") < F.col("r.end")) & (F.col("r.start") < F.col("l.end"))
+    """Pairs of spans of one key that overlap: an equi-join on the key and on bins of ``BIN`` offsets that both touch; a pair is told in the bin where its overlap begins."""
+    binned = lambda df: df.where(F.col("start") < F.col("end")).withColumn("bin__", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor((F.col("end") - 1) / BIN))))
     start, end = F.greatest("l.start", "r.start"), F.least("l.end", "r.end")
-    return left.alias("l").join(right.alias("r"), on).select(F.col(f"l.{key}").alias(key), F.col(f"l.{left_id}").alias(left_id), F.col(f"r.{right_id}").alias(right_id), start.alias("start"), end.alias("end"))
+    on = (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l.bin__") == F.col("r.bin__")) & (F.col("l.start") < F.col("r.end")) & (F.col("r.start") < F.col("l.end")) & (F.floor(start / BIN) == F.col("l.bin__"))
+    return binned(left).alias("l").join(binned(right).alias("r"), on).select(F.col(f"l.{key}").alias(key), F.col(f"l.{left_id}").alias(left_id), F.col(f"r.{right_id}").alias(right_id), start.alias("start"), end.alias("end"))
 
 
 def touched_lines(spans: DataFrame, first: str = "first_line", last: str = "last_line") -> DataFrame:

@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 
 def glob_pattern(glob: str) -> str:
     """A regular expression for a target-name glob with * and ? and [...]."""
-    out = ""
+    out, inside = "", False
     for c in glob:
-        out += {"*": ".*", "?": "."}.get(c, c if c in "[]-!" else "\\" + c if not c.isalnum() and c != "_" else c)
+        if inside:
+            out += "\\" + c if c in "\\[&~" else c
+            inside = c != "]"
+        elif c == "[":
+            out, inside = out + c, True
+        else:
+            out += {"*": ".*", "?": "."}.get(c, c if c.isalnum() or c == "_" else "\\" + c)
     return "^" + out.replace("[!", "[^") + "$"
 
 
@@ -19,6 +25,16 @@ def selected(packages: DataFrame, wanted: DataFrame, excluded: DataFrame) -> Dat
     return packages.select("id").union(wanted.select("id")).distinct().join(excluded, "id", "left_anti")
 
 
+def members(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """The rows whose id is among ``ids``."""
+    return rows.join(ids, on, "left_semi")
+
+
+def with_contexts(targets: DataFrame, contexts_: DataFrame, *on: str) -> DataFrame:
+    """Targets with the contexts that agree on the given columns."""
+    return targets.join(contexts_, list(on))
+
+
 def unmatched(requests: DataFrame, known: DataFrame, on: str) -> DataFrame:
     """Requests that nothing matches."""
     return requests.join(known, on, "left_anti")

@@ -66,15 +66,35 @@ def _drawn(head: list[str], body: list[list[str]], groups: list) -> str:
     return out
 
 
-def document(rows: DataFrame, configuration: dict, warnings: list[tuple[str, str]]) -> str:
-    """JSON with configuration, rows, total and warnings; an unavailable test count is null."""
+def lossless(path: str) -> str:
+    """The path itself; one that isn't UTF-8 raises, since JSON couldn't tell it."""
+    try:
+        path.encode()
+    except UnicodeEncodeError as e:
+        raise ValueError(f"path {path!r} isn't UTF-8 and can't be told in JSON") from e
+    return path
+
+
+def scope_object(r: dict) -> dict:
+    if r["scope_id"] == "<root>":
+        return {"kind": "root", "path": "."}
+    return {"kind": "package", "name": r["name"], "package_id": r["scope_id"], "project_root": lossless(r["project_root"]), "manifest_path": lossless(r["manifest_path"])}
+
+
+def document(rows: DataFrame, root: str, configuration: dict, warnings: list[tuple[str, str]]) -> str:
+    """JSON with configuration, rows, total and warnings; an unavailable test count is null.
+
+    rows have, besides those of the tables, scope_id, name, project_root,
+    manifest_path, engine and precision.
+    """
     held = [r.asDict() for r in report_order(rows).orderBy("pos").collect()]
     counts = lambda r: {m: r[m] for m in (*MEASURES, "test")}
     doc = {
-        "version": 3,
+        "schema_version": 3,
+        "root": lossless(root),
         "configuration": configuration,
-        "rows": [{"scope": r["scope"], "language": r["language"], "counts": counts(r)} for r in held],
+        "rows": [{"scope": scope_object(r), "language": r["language"], "accounting_engine": r["engine"], "accounting_precision": r["precision"], **counts(r)} for r in held],
         "total": counts(summed(rows).first().asDict()),
-        "warnings": [{"code": c, "message": m} for c, m in sorted(warnings)],
+        "warnings": [{"code": c, "message": m} for c, m in sorted(set(warnings))],
     }
     return json.dumps(doc, indent=2, ensure_ascii=False) + "\n"

@@ -63,7 +63,9 @@ def parser() -> argparse.ArgumentParser:
     form = p.add_mutually_exclusive_group()
     form.add_argument("--json", action="store_true")
     form.add_argument("--totals", action="store_true")
-    p.add_argument("--metadata", help="a captured metadata document, for packages and targets")
+    p.add_argument("--metadata", help="a capture of what the build tool and the compiler say, instead of asking them")
+    p.add_argument("--cache", help="a folder for snapshots of reports, preparations and results")
+    p.add_argument("-V", "--version", action="version", version="linefacts 2")
     return p
 
 
@@ -73,7 +75,8 @@ def selection(a: argparse.Namespace) -> Selection:
         raise UsageError("--exclude goes with --workspace")
     includes = {"lib"} if a.lib else set()
     for kind in ("bin", "example", "test", "bench"):
-        includes |= {f"{kind}:{n}" for n in getattr(a, kind)} | ({kind} if getattr(a, f"all_{kind}") else set())
+        plural = f"{kind}s" if kind != "bench" else "benches"
+        includes |= {f"{kind}:{n}" for n in getattr(a, kind)} | ({plural} if getattr(a, f"all_{kind}") else set())
     if a.all_targets or not includes:
         includes.add("all-targets")
     asked = a.features is not None or a.all_features or a.no_default_features
@@ -92,19 +95,3 @@ def selection(a: argparse.Namespace) -> Selection:
         a.json,
         a.totals,
     )
-
-
-def contexts_of(kind: str, includes: tuple[str, ...], name: str, flags: dict[str, bool]) -> list[str]:
-    """The contexts in which a target takes part: production for what is built, test and bench as the manifest says."""
-    import fnmatch
-
-    everything = "all-targets" in includes
-    own = everything or kind in includes or any(i.startswith(kind + ":") and fnmatch.fnmatchcase(name, i.partition(":")[2]) for i in includes)
-    out = []
-    if own and kind not in ("test", "bench"):
-        out.append("production")
-    if (everything or "test" in includes) and flags.get("test", False) and kind != "build-script" or own and kind == "test":
-        out.append("test")
-    if (everything or "bench" in includes) and flags.get("bench", False) and kind != "build-script" or own and kind == "bench":
-        out.append("bench")
-    return out

@@ -1,7 +1,9 @@
 """A source tree as a Spark data source, with ignore files honoured.
 
 One sorted walk on the driver lists paths (ignore rules depend on the
-directories above); executors read the bytes. Directories named in STRUCTURAL
+directories above); executors read the bytes. Ignored files with the suffix in
+``KEPT`` are listed too, and marked: modules may lead to them. What can't be
+read or identified, or leads out of the root, has no bytes but a ``problem``. Directories named in STRUCTURAL
 are pruned below the root; dot-files are visible; symlinked directories aren't
 followed; empty files are files. The tree must be reachable from every
 executor, as any file path.
@@ -19,7 +21,9 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Directories that are never part of a source tree.
-STRUCTURAL = {"target", ".git", ".hg", ".svn"}
+STRUCTURAL = {"target", ".git", ".hg", ".svn", ".linefacts"}
+#: Files that are listed although they are ignored.
+KEPT = ".rs"
 IGNORE_FILES = (".gitignore", ".ignore")
 #: Bytes, or files, of one read task.
 TASK_BYTES, TASK_FILES = 32 << 20, 2000
@@ -78,11 +82,16 @@ def _glob(g: str) -> str:
 
 def walk(root: str) -> Iterator[tuple[str, bool]]:
     """(path relative to the root, is it a symlink) of the files of a tree, in order."""
+    return ((path, link) for path, link, ignored in listed(root) if not ignored)
+
+
+def listed(root: str, kept: str | None = None) -> Iterator[tuple[str, bool, bool]]:
+    """(path, is it a symlink, is it ignored); ignored files only with the suffix ``kept``."""
     root = os.path.realpath(root)
     if not os.path.isdir(root):
         raise NotADirectoryError(root)
 
-    def visit(folder: str, above: list[tuple[str, Rules]]) -> Iterator[tuple[str, bool]]:
+    def visit(folder: str, above: list[tuple[str, Rules]], gone: bool) -> Iterator[tuple[str, bool, bool]]:
         held = list(above)
         for name in IGNORE_FILES:
             p = os.path.join(root, folder, name)
@@ -92,14 +101,15 @@ def walk(root: str) -> Iterator[tuple[str, bool]]:
         for e in sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name):
             path = f"{folder}/{e.name}" if folder else e.name
             is_dir = e.is_dir(follow_symlinks=False)
-            if is_dir and e.name in STRUCTURAL or _ignored(path, is_dir, held):
+            ignored = gone or _ignored(path, is_dir, held)
+            if is_dir and e.name in STRUCTURAL or ignored and kept is None:
                 continue
             if is_dir:
-                yield from visit(path, held)
-            elif e.is_file():
-                yield path, e.is_symlink()
+                yield from visit(path, held, ignored)
+            elif e.is_file() and (not ignored or e.name.endswith(kept)):
+                yield path, e.is_symlink(), ignored
 
-    yield from visit("", [])
+    yield from visit("", [], False)
 
 
 def _ignored(path: str, is_dir: bool, held: list[tuple[str, Rules]]) -> bool:
@@ -118,7 +128,7 @@ def manifests(root: str) -> list[str]:
 
 
 class _Files(InputPartition):
-    def __init__(self, paths: list[tuple[str, bool]]):
+    def __init__(self, paths: list[tuple[str, bool, bool]]):
         self.paths = paths
 
 
@@ -128,8 +138,8 @@ class TreeReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out, held, size = [], [], 0
-        for path, link in walk(self.root):
-            held.append((path, link))
+        for path, link, ignored in listed(self.root, KEPT):
+            held.append((path, link, ignored))
             size += os.stat(os.path.join(self.root, path)).st_size
             if size > TASK_BYTES or len(held) >= TASK_FILES:
                 out.append(_Files(held))
@@ -137,24 +147,36 @@ class TreeReader(DataSourceReader):
         return [*out, _Files(held)] if held or not out else out
 
     def read(self, partition: _Files) -> Iterator[tuple]:
-        for path, link in partition.paths:
+        for path, link, ignored in partition.paths:
             full = os.path.join(self.root, path)
-            real = os.path.realpath(full)
+            try:
+                real = os.path.realpath(full, strict=True)
+                s = os.stat(full)
+            except OSError as e:
+                yield path, None, None, link, ignored, False, None, None, b"", "source-identity", f"could not establish physical identity: {e.strerror}"
+                continue
             outside = os.path.commonpath([self.root, real]) != self.root
-            s = os.stat(full)
-            with open(full, "rb") as f:
-                yield path, s.st_dev, s.st_ino, link, outside, s.st_size, int(s.st_mtime_ns), b"" if outside else f.read()
+            raw, problem, detail = b"", None, None
+            if outside:
+                problem, detail = "source-outside-root", f"canonical target `{real}` is outside the Root"
+            else:
+                try:
+                    with open(full, "rb") as f:
+                        raw = f.read()
+                except OSError as e:
+                    problem, detail = "source-unreadable", f"could not read it: {e.strerror}"
+            yield path, s.st_dev, s.st_ino, link, ignored, outside, s.st_size, int(s.st_mtime_ns), raw, problem, detail
 
 
 class TreeSource(DataSource):
-    """(path, dev, ino, is_symlink, outside, size, mtime_ns, bytes); ``outside``: a link that leads out of the root."""
+    """(path, dev, ino, is_symlink, ignored, outside, size, mtime_ns, bytes, problem, detail); ``outside``: a link that leads out of the root."""
 
     @classmethod
     def name(cls) -> str:
         return "tree"
 
     def schema(self) -> str:
-        return "path string, dev bigint, ino bigint, is_symlink boolean, outside boolean, size bigint, mtime_ns bigint, bytes binary"
+        return "path string, dev bigint, ino bigint, is_symlink boolean, ignored boolean, outside boolean, size bigint, mtime_ns bigint, bytes binary, problem string, detail string"
 
     def reader(self, schema) -> TreeReader:
         return TreeReader(self.options["path"])

@@ -6,17 +6,15 @@ The facts of all rounds are an append-only table read as a stream with
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linefacts.sources.workdir import new_path
+
 
 def refreshed(spark: SparkSession, rounds: list[DataFrame]) -> DataFrame:
     """(scope, language, lines, files) after all rounds of (doc_id, scope, language, lines)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
-    root = f"{at}/linefacts/{spark.sparkContext.applicationId}/refresh-{uuid.uuid4().hex}"
+    root = new_path(spark, "refresh")
     for n, r in enumerate(rounds):
         r.withColumn("round", F.lit(n)).write.mode("append").parquet(f"{root}/in")
         stream = spark.readStream.schema("doc_id long, scope string, language string, lines long, round int").parquet(f"{root}/in")

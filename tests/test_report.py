@@ -3,7 +3,11 @@
 import json
 import os
 
-from linefacts.operators import ledger
+import pytest
+
+from pyspark.sql import functions as F
+
+from linefacts.operators import ledger, rust
 from linefacts.operators.accounting import summed
 from linefacts.plans import count, report
 
@@ -32,9 +36,14 @@ def test_a_tree_with_a_package(spark, tmp_path):
     os.link(tmp_path / "run", tmp_path / "run2")
     files = count.scanned(spark, str(tmp_path))
     packages = spark.createDataFrame([("p", "pkg-p"), ("p/q", "pkg-q")], "root string, pkg string")
-    ctx = [("p/src/lib.rs", 0, [], False, True), ("p/src/lib.rs", 1, ["test"], True, True)]
-    targets = spark.createDataFrame(ctx, "path string, ctx_id int, options array<string>, test boolean, harness boolean")
-    facts = count.contributions(spark, files, packages, targets)
+    ctx = [("p/src/lib.rs", "pkg-p", 0, [], False, True), ("p/src/lib.rs", "pkg-p", 1, ["test"], True, True)]
+    targets = spark.createDataFrame(ctx, count.TARGETS)
+    tree = files.where("path LIKE '%.rs'").selectExpr("path", "decode(bytes, 'UTF-8') AS text")
+    reached = rust.reachable_files(tree, targets).select("path", "ctx_id").distinct().join(targets.select("ctx_id", "options", "test", "harness"), "ctx_id")
+    contexts = reached.selectExpr("path", "struct(ctx_id, options, test, harness) AS c").groupBy("path").agg(F.array_sort(F.collect_list("c")).alias("contexts"))
+    book = files.groupBy("identity").agg(F.min("path").alias("path"), F.collect_set("path").alias("aliases"), F.first("bytes").alias("bytes"))
+    scopes = ledger.resolve_scope(book, ledger.deepest_owner(files, packages, "identity"), book.where("false").selectExpr("identity", "path AS pkg"))
+    facts, _ = count.contributions(book.join(scopes, "identity").join(contexts, "path", "left"))
     got = {(r.scope, r.language): tuple(r)[2:] for r in summed(facts, "scope", "language").collect()}
     assert got == {
         ("pkg-p", "Rust"): (2, 6, 1, 1, 2, 2),
@@ -54,8 +63,12 @@ def test_tables_and_json(spark):
     assert [x.split()[0] for x in lines if "-" * 9 not in x] == ["Package", "b\\tx", "Rust", "a", "Total"]
     assert sum(set(x) == {"-"} for x in lines) == 3 and lines[-1].split() == ["Total", "All", "4", "8", "1", "1", "6", "n/a"]
     assert report.totals(rows).splitlines()[2].split()[0] == "TOML"
-    doc = json.loads(report.document(rows, {"root": "."}, [("b", "2"), ("a", "1")]))
-    assert doc["rows"][0]["counts"]["test"] is None and doc["total"]["lines"] == 8 and doc["warnings"][0]["code"] == "a"
+    more = rows.selectExpr("*", "'id' AS scope_id", "scope AS name", "'/p' AS project_root", "'/p/Cargo.toml' AS manifest_path", "'rust' AS engine", "'lexical' AS precision")
+    doc = json.loads(report.document(more, "/", {}, [("b", "2"), ("a", "1"), ("a", "1")]))
+    assert doc["rows"][0]["test"] is None and doc["total"]["lines"] == 8 and [w["code"] for w in doc["warnings"]] == ["a", "b"]
+    assert doc["rows"][0]["scope"] == {"kind": "package", "name": "b\tx", "package_id": "id", "project_root": "/p", "manifest_path": "/p/Cargo.toml"}
+    with pytest.raises(ValueError):
+        report.document(more, "/\udcff", {}, [])
     none = report.table(rows.where("false")).splitlines()
     assert none[-1].split() == ["Total", "All", *["0"] * 6]
     assert report.sanitize("a\x1bb|\\") == "a\\u{001B}b|\\"

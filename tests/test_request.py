@@ -7,7 +7,9 @@ import pytest
 
 from linefacts import __main__ as cli
 from linefacts.plans import snapshot
-from linefacts.plans.request import Selection, UsageError, contexts_of, exclusion, parser, selection
+from linefacts.plans.discover import contexts_asked, less, names
+from linefacts.plans.request import Selection, UsageError, exclusion, parser, selection
+from linefacts.sources.toolchain import Captured
 
 
 def asked(*argv):
@@ -35,10 +37,13 @@ def test_usage_errors_exit_with_two(capsys):
 
 
 def test_contexts():
-    flags = {"test": True, "bench": True}
-    assert contexts_of("lib", ("all-targets",), "l", flags) == ["production", "test", "bench"]
-    assert contexts_of("test", ("all-targets",), "t", {"test": True}) == ["test"] and contexts_of("bin", ("bin:m*",), "main", {}) == ["production"]
-    assert contexts_of("build-script", ("all-targets",), "b", flags) == ["production"] and contexts_of("bin", ("lib",), "m", flags) == []
+    everything, lib, named = Selection(), Selection(includes=("lib",)), Selection(includes=("bin:m*", "test:[ab]?"))
+    assert contexts_asked(everything, "lib", "l", True, True) == ({"production", "test", "bench"}, set())
+    assert contexts_asked(everything, "test", "t", True, False) == ({"test"}, set()) and contexts_asked(everything, "build-script", "b", True, True) == ({"production"}, set())
+    assert contexts_asked(named, "bin", "main", True, True) == ({"production"}, {"bin:m*"}) and contexts_asked(named, "test", "b1", True, False) == ({"test"}, {"test:[ab]?"})
+    assert contexts_asked(lib, "bin", "m", True, True) == (set(), set()) and contexts_asked(asked("--tests"), "bin", "m", True, True) == ({"test"}, set())
+    assert less({"production", "test", "bench"}, ("test", "bin:x"), "bin", "y") == ({"production", "bench"}, {"test"}) and less({"production"}, ("bin",), "bin", "y") == (set(), {"bin"})
+    assert less({"test"}, ("test:t.1",), "test", "t.1") == (set(), {"test:t.1"}) and not names("test:t.1", "test", "tx1")
 
 
 def test_snapshots_are_whole_or_not_there(tmp_path):
@@ -72,12 +77,12 @@ def test_a_package_by_its_metadata(spark, tmp_path, capsys):
         os.makedirs((root / path).parent, exist_ok=True)
         (root / path).write_text(text)
     doc = {"packages": [{"id": "p", "name": "p", "manifest_path": str(root / "p/Cargo.toml"), "features": {"x": []}, "targets": [{"name": "p", "kind": ["lib"], "src_path": str(root / "p/src/lib.rs")}, {"name": "i", "kind": ["test"], "src_path": str(root / "p/tests/i.rs")}]}], "workspace_members": ["p"]}
-    (tmp_path / "m.json").write_text(json.dumps(doc))
-    out = json.loads(cli.counted(spark, asked("--json", str(root)), str(tmp_path / "m.json")))
-    rows = {(r["scope"], r["language"]): r["counts"] for r in out["rows"]}
+    name = lambda r: r["scope"].get("name", "<root>")
+    out = json.loads(cli.counted(spark, asked("--json", str(root)), Captured(doc))[0])
+    rows = {(name(r), r["language"]): r for r in out["rows"]}
     assert (rows[("p", "Rust")]["files"], rows[("p", "Rust")]["code"], rows[("p", "Rust")]["test"]) == (2, 2, 3) and ("<root>", "Python") in rows
-    less = json.loads(cli.counted(spark, asked("--json", "--no-default-features", "-p", "p", "--exclude-target", "test", str(root)), str(tmp_path / "m.json")))
-    assert {(r["scope"], r["language"]): r["counts"]["code"] for r in less["rows"]} == {("p", "Rust"): 0, ("p", "Rust (unconfigured)"): 1, ("p", "TOML"): 1}
+    less = json.loads(cli.counted(spark, asked("--json", "--no-default-features", "-p", "p", "--exclude-target", "test", str(root)), Captured(doc))[0])
+    assert {(name(r), r["language"]): r["code"] for r in less["rows"]} == {("p", "Rust"): 0, ("p", "Rust (unconfigured)"): 1, ("p", "TOML"): 1}
 
 
 def test_warnings_are_told(spark, tmp_path, capsys):
@@ -85,8 +90,7 @@ def test_warnings_are_told(spark, tmp_path, capsys):
     (tmp_path / "far.rs").write_text("fn f() {}\n")
     (tmp_path / "w/near.rs").symlink_to(tmp_path / "far.rs")
     (tmp_path / "w/o.py").write_text("1\n")
-    out = json.loads(cli.counted(spark, asked("--json", "--exclude-target", "bench", str(tmp_path / "w"))))
-    assert [w["code"] for w in out["warnings"]] == ["source-symlink-outside-root", "unmatched-target-exclusion"]
-    assert "warning[" not in capsys.readouterr().err
-    cli.counted(spark, asked("--exclude-target", "bench", str(tmp_path / "w")))
-    assert "warning[unmatched-target-exclusion]: target exclusion `bench` matched nothing\n" in capsys.readouterr().err
+    text, told = cli.counted(spark, asked("--json", "--exclude-target", "bench", str(tmp_path / "w")))
+    assert [w["code"] for w in json.loads(text)["warnings"]] == ["source-outside-root", "unmatched-target-exclusion"] and told == ""
+    _, told = cli.counted(spark, asked("--exclude-target", "bench", str(tmp_path / "w")))
+    assert told.endswith("warning[unmatched-target-exclusion]: target exclusion `bench` matched nothing\n")

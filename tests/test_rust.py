@@ -101,7 +101,9 @@ def test_module_paths():
     text = "mod r#a; mod i { #[path = \"x.rs\"] mod p; mod q; } #[cfg_attr(all(), path = \"y/z.rs\")] mod s;"
     got = rust.declared_modules(text, "src/lib.rs", "src", PROD)
     assert got == [("a", "src", None), ("p", "src/i", "src/i/x.rs"), ("q", "src/i", None), ("s", "src", "src/y/z.rs")]
-    assert rust.unknown_options("#[cfg(all(foo, unix))] fn f() {}", {"unix"}) == {"foo"}
+    known = frozenset({"unix", "feature"}), frozenset({("target_os", "linux")}), frozenset({"f"})
+    text = "#[cfg(all(foo, unix, feature = \"f\", feature = \"g\"))] fn f() { #[cfg(never)] fn g() {} } #[cfg_attr(any(), cfg(no))] #[cfg(not(target_os = \"plan9\"))] fn h() {}"
+    assert rust.unknown_options(text, [PROD], *known) == {"foo", 'feature = "g"', 'target_os = "plan9"'}
 
 
 def test_missing_and_ambiguous_modules_raise(spark):
