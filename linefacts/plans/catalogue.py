@@ -75,7 +75,7 @@ POISON = "CASE WHEN bool_or(test IS NULL) THEN NULL ELSE CAST(coalesce(sum(test)
 
 @query(f"SELECT identity, min(path) AS rep_path, count(*) AS n_aliases, min(scope) AS scope FROM {FILES} GROUP BY identity")
 def ledger_dedup(spark, d):
-    return ledger.dedup(files(spark, d).withColumn("s", F.col("scope")), "identity", "path").select("identity", "rep_path", "n_aliases").join(files(spark, d).groupBy("identity").agg(F.min("scope").alias("scope")), "identity")
+    return ledger.dedup(files(spark, d), least=("scope",)).select("identity", "rep_path", "n_aliases", "scope")
 
 
 @query(f"SELECT identity, array_to_string(list_sort(list(DISTINCT path)), ',') AS aliases, count(*) AS n_aliases FROM {FILES} GROUP BY identity HAVING count(*) > 1")
@@ -112,8 +112,7 @@ def line_offsets(spark, d):
  FROM (SELECT unnest(string_split(html, chr(10))) AS line FROM pages) GROUP BY 1""")
 def line_classify(spark, d):
     each = table(spark, d, "pages").select(F.explode(F.split("html", "\n")).alias("line"))
-    kind = F.when(F.trim("line") == "", "blank").when(F.ltrim("line").startswith("<!--"), "comment").otherwise("code")
-    return each.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy(lines.classified(F.col("line"), "<!--").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 CLAMP = "(1, 10, 2, 3, 5), (2, 10, 4, 8, 9), (3, 3, 5, 1, 1), (4, 10, 0, 12, 4), (5, 10, 1, 0, 0), (6, 0, 1, 1, 1)"
@@ -132,36 +131,47 @@ def category_clamp(spark, d):
 
 # --- languages ---------------------------------------------------------------
 
-NAMES = "('a/BUILD'), ('Makefile'), ('x/CMakeLists.txt'), ('meson.build'), ('rakefile'), ('Snakefile'), ('none'), ('PKGBUILD'), ('nuget.config'), ('Dockerfile')"
+#: Names of files, dealt to customers' folders; what each says of its language is a table on the SQL's side.
+NAMES = ("BUILD", "Makefile", "CMakeLists.txt", "meson.build", "rakefile", "Snakefile", "none", "PKGBUILD", "nuget.config", "Dockerfile", "a.py", "b.js", "x.h", "x.m", "x.inc", "x.scm", "x.s", "x.S", "x.rs", "x.toml", ".py", "x.unknown", "lib.rs", "mod.rs", "GNUmakefile", "Justfile", "SConstruct")
+LANGUAGES = "('build', 'Bazel'), ('makefile', 'Makefile'), ('gnumakefile', 'Makefile'), ('cmakelists.txt', 'CMake'), ('meson.build', 'Meson'), ('rakefile', 'Rakefile'), ('snakefile', 'Snakemake'), ('pkgbuild', 'Pacman Makepkg'), ('nuget.config', 'NuGet Config'), ('dockerfile', 'Dockerfile'), ('justfile', 'Just'), ('sconstruct', 'SCons')"
+EXTENSIONS = "('py', 'Python'), ('js', 'JavaScript'), ('h', 'C Header'), ('m', 'Objective-C'), ('inc', 'Bitbake'), ('scm', 'Scheme'), ('s', 'GNU Style Assembly'), ('toml', 'TOML')"
+NAMED = f"(SELECT c_custkey AS id, 'd' || CAST(c_custkey % 9 AS VARCHAR) || '/' || CAST(c_custkey AS VARCHAR) || '/' || list_extract({list(NAMES)}, CAST(c_custkey % {len(NAMES)} + 1 AS BIGINT)) AS path FROM customer)"
 
 
-@query(f"""SELECT path, CASE lower(regexp_extract(path, '[^/]*$')) WHEN 'build' THEN 'Bazel' WHEN 'makefile' THEN 'Makefile' WHEN 'cmakelists.txt' THEN 'CMake' WHEN 'meson.build' THEN 'Meson' WHEN 'rakefile' THEN 'Rakefile'
- WHEN 'snakefile' THEN 'Snakemake' WHEN 'pkgbuild' THEN 'Pacman Makepkg' WHEN 'nuget.config' THEN 'NuGet Config' WHEN 'dockerfile' THEN 'Dockerfile' END AS language FROM {inline(NAMES, 'path')}""")
-def special_names(spark, d):
-    return values(spark, NAMES, "path").select("path", languages.language_of(F.col("path"), F.lit("")).alias("language"))
+def named_paths(spark, d):
+    c = table(spark, d, "customer")
+    name = F.get(F.array(*map(F.lit, NAMES)), (F.col("c_custkey") % len(NAMES)).cast("int"))
+    return c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("d"), (F.col("c_custkey") % 9).cast("string"), F.lit("/"), F.col("c_custkey").cast("string"), F.lit("/"), name).alias("path"))
 
 
-EXTS = "('a.py'), ('a/b.js'), ('x.h'), ('x.m'), ('x.inc'), ('x.scm'), ('x.s'), ('x.S'), ('x.rs'), ('x.toml'), ('.py'), ('x.unknown')"
+@query(f"SELECT id, l.language FROM {NAMED} p JOIN {inline(LANGUAGES, 'name, language')} l ON lower(regexp_extract(p.path, '[^/]*$')) = l.name")
+def special_names(spark, d):
+    found = named_paths(spark, d).withColumn("language", languages.language_of(F.col("path"), F.lit("")))
+    return found.where(~F.element_at(F.split("path", "/"), -1).rlike(r"\.(py|js|h|m|inc|scm|s|toml)$")).where("language IS NOT NULL").select("id", "language")
 
 
-@query(f"""SELECT path, CASE path WHEN 'a.py' THEN 'Python' WHEN 'a/b.js' THEN 'JavaScript' WHEN 'x.h' THEN 'C Header' WHEN 'x.m' THEN 'Objective-C' WHEN 'x.inc' THEN 'Bitbake' WHEN 'x.scm' THEN 'Scheme'
- WHEN 'x.s' THEN 'GNU Style Assembly' WHEN 'x.toml' THEN 'TOML' END AS language FROM {inline(EXTS, 'path')}""")
+@query(f"SELECT id, l.language FROM {NAMED} p LEFT JOIN {inline(EXTENSIONS, 'ext, language')} l ON regexp_extract(p.path, '[^/]\\.([^./]*)$', 1) = l.ext WHERE regexp_matches(p.path, '/[a-z]\\.[^./]*$')")
 def extension_lang(spark, d):
-    return values(spark, EXTS, "path").select("path", languages.language_of(F.col("path"), F.lit("")).alias("language"))
+    return named_paths(spark, d).where(F.col("path").rlike(r"/[a-z]\.[^./]*$")).select("id", languages.language_of(F.col("path"), F.lit("")).alias("language"))
 
 
-BANGS = "('#!/bin/bash'), ('#!/usr/bin/bash'), ('#!/usr/bin/env python3'), ('#!/usr/bin/env -S python'), ('#!/bin/awk -f'), ('#!/bin/awk'), ('#!/usr/bin/env perl6'), ('#!/bin/sh -e'), ('no'), ('#!/usr/bin/perl')"
+#: (what interprets, its language): exact first words, and beginnings of the word after env.
+EXACT = "('#!/bin/bash', 'BASH'), ('#!/bin/sh', 'Shell'), ('#!/usr/bin/perl', 'Perl'), ('#!/bin/awk -f', 'AWK')"
+ENV = "('python', 'Python'), ('perl', 'Perl'), ('perl6', 'Raku'), ('bash', 'BASH')"
+BANGS = ("#!/bin/bash", "#!/usr/bin/bash", "#!/usr/bin/env python3", "#!/bin/awk -f", "#!/bin/awk", "#!/usr/bin/env perl6", "#!/bin/sh -e", "no", "#!/usr/bin/perl", "#!/bin/bash -x")
+HEADS = f"(SELECT p_partkey AS id, list_extract({list(BANGS)}, CAST(p_partkey % {len(BANGS)} + 1 AS BIGINT)) AS head FROM part)"
 
 
-@query(f"""SELECT head, CASE head WHEN '#!/bin/bash' THEN 'BASH' WHEN '#!/usr/bin/env python3' THEN 'Python' WHEN '#!/bin/awk -f' THEN 'AWK' WHEN '#!/usr/bin/env perl6' THEN 'Raku' WHEN '#!/bin/sh -e' THEN 'Shell'
- WHEN '#!/usr/bin/perl' THEN 'Perl' END AS language FROM {inline(BANGS, 'head')}""")
+@query(f"""SELECT id, coalesce(x.language, (SELECT e.language FROM {inline(ENV, 'word, language')} e WHERE starts_with(h.head, '#!/usr/bin/env ' || e.word) ORDER BY length(e.word) DESC LIMIT 1)) AS language
+ FROM {HEADS} h LEFT JOIN {inline(EXACT, 'words, language')} x ON h.head = x.words OR starts_with(h.head, x.words || ' ')""")
 def shebang_lang(spark, d):
-    return values(spark, BANGS, "head").select("head", languages.shebang_language(F.col("head")).alias("language"))
+    head = F.get(F.array(*map(F.lit, BANGS)), (F.col("p_partkey") % len(BANGS)).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), languages.shebang_language(head).alias("language"))
 
 
 @query("SELECT page_id FROM pages WHERE regexp_matches(url, '\\.(html|js|css|json|xml|md|txt)$')")
 def candidate_filter(spark, d):
-    return table(spark, d, "pages").where(F.col("url").rlike(r"\.(html|js|css|json|xml|md|txt)$")).select("page_id")
+    return table(spark, d, "pages").where(languages.is_candidate(F.col("url"))).select("page_id")
 
 
 NULS = "(1, 'abc'), (2, 'a?c'), (3, '')"
@@ -213,22 +223,28 @@ def single_claimant(spark, d):
     return ledger.resolve_scope(claims.select("identity").distinct(), owners, strings)
 
 
-@query("""SELECT coalesce(d.doc_id, l.doc_id) AS identity, CAST(d.doc_id IS NULL AS BOOLEAN) AS added, CAST(l.doc_id IS NOT NULL AS BOOLEAN) AS claimed
- FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0) d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id""")
+#: Claims of files that no scan lists.
+IGNORED = "(CAST(-1 AS BIGINT)), (CAST(-2 AS BIGINT))"
+
+
+@query(f"""SELECT coalesce(d.doc_id, l.doc_id) AS identity, CAST(d.doc_id IS NULL AS BOOLEAN) AS added, CAST(l.doc_id IS NOT NULL AS BOOLEAN) AS claimed
+ FROM documents d FULL OUTER JOIN (SELECT doc_id FROM labels UNION ALL SELECT * FROM {inline(IGNORED, 'doc_id')}) l ON d.doc_id = l.doc_id""")
 def claims_full_outer(spark, d):
-    held = table(spark, d, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("identity"), F.array(F.col("doc_id").cast("string")).alias("aliases"))
-    claims = table(spark, d, "labels").select(F.col("doc_id").alias("identity"), F.lit("x").alias("path"), F.lit("p").alias("pkg"))
+    held = table(spark, d, "documents").select(F.col("doc_id").alias("identity"), F.array(F.col("doc_id").cast("string")).alias("aliases"))
+    claims = table(spark, d, "labels").select("doc_id").unionByName(values(spark, IGNORED, "doc_id")).select(F.col("doc_id").alias("identity"), F.lit("x").alias("path"), F.lit("p").alias("pkg"))
     return ledger.reconcile(held, claims).select("identity", "added", (F.size("pkgs") > 0).alias("claimed"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def selected_semi(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    ids = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return selection.members(table(spark, d, "customer"), ids, "c_custkey").select("c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def unselected_anti(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    ids = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return selection.unmatched(table(spark, d, "customer"), ids, "c_custkey").select("c_custkey")
 
 
 @query("SELECT l_partkey AS identity, count(DISTINCT l_suppkey) AS n_pkgs FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1")
@@ -332,10 +348,14 @@ def span_lines(spark, d):
     return lines.touched_lines(values(spark, SPANS, "id, first_line, last_line")).select("id", "line_no")
 
 
-@query("SELECT l_orderkey, CAST(bit_or(CAST(1 AS BIGINT) << l_linenumber) AS BIGINT) AS any_ctx, CAST(bit_and(CAST(255 AS BIGINT) - (CAST(1 AS BIGINT) << l_linenumber)) AS BIGINT) AS none_ctx FROM lineitem GROUP BY l_orderkey")
+#: Contexts beyond one word of 63 bits.
+CTX_NO = "CAST(l_linenumber * 20 + l_suppkey % 7 AS BIGINT)"
+
+
+@query(f"""SELECT l_orderkey, c // 63 AS word, CAST(bit_or(CAST(1 AS BIGINT) << CAST(c % 63 AS INTEGER)) AS BIGINT) AS "any", CAST(bit_and(9223372036854775807 - (CAST(1 AS BIGINT) << CAST(c % 63 AS INTEGER))) AS BIGINT) AS "none"
+ FROM (SELECT l_orderkey, {CTX_NO} AS c FROM lineitem) GROUP BY l_orderkey, c // 63""")
 def bitset_ops(spark, d):
-    bit = F.expr("shiftleft(CAST(1 AS BIGINT), l_linenumber)")
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bit_or(bit).alias("any_ctx"), F.bit_and(F.lit(255).cast("long") - bit).alias("none_ctx"))
+    return lines.context_bits(table(spark, d, "lineitem").withColumn("c", F.expr(CTX_NO)), "l_orderkey", "c")
 
 
 # --- accounting and report ---------------------------------------------------
@@ -388,12 +408,23 @@ def sanitize_cells(spark, d):
     return values(spark, CELLS, "id, cell").select("id", text.sanitized(F.col("cell")).alias("cell"))
 
 
-@query()
+@query(f"SELECT CAST(to_json({{'scope': scope, 'language': language, 'counts': {{'files': files, 'lines': lines, 'blanks': blanks, 'comments': comments, 'code': code, 'test': test}}}}) AS VARCHAR) AS row FROM (SELECT scope, language, {SUMS}, {POISON} FROM {FACTS} GROUP BY scope, language)")
 def json_rows(spark, d):
     rows = accounting.summed(facts(spark, d), "scope", "language")
     return rows.select(F.to_json(F.struct("scope", "language", F.struct(*accounting.MEASURES, "test").alias("counts")), {"ignoreNullFields": "false"}).alias("row"))
 
 
+PART_ROWS = "SELECT scope, {lang} AS language, " + SUMS + ", {test} FROM " + FACTS + " WHERE language {op} 'en' GROUP BY scope, {lang}"
+
+
+@query(PART_ROWS.format(lang="'Rust'", op="=", test=POISON).replace("GROUP BY scope, 'Rust'", "GROUP BY scope") + " UNION ALL " + PART_ROWS.format(lang="language", op="<>", test="CAST(NULL AS BIGINT) AS test"))
+def package_rows(spark, d):
+    """Rows of counts by package: one language's with test counts, the others' without."""
+    f = facts(spark, d)
+    rust_ = accounting.summed(f.where("language = 'en'"), "scope")
+    return accounting.package_rows(rust_, accounting.summed(f.where("language <> 'en'"), "scope", "language").drop("test"))
+
+
 # --- selection ---------------------------------------------------------------
 
 FEATS = "('serde'), ('p1/simd'), ('p2/simd'), ('none')"
@@ -427,7 +458,8 @@ def context_cross(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def target_context_join(spark, d):
-    return table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderstatus")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    return selection.with_contexts(table(spark, d, "lineitem"), orders, "l_orderkey").select("l_orderkey", "l_linenumber", "o_orderstatus")
 
 
 @query("SELECT DISTINCT conv_id, role, CAST(dense_rank() OVER (PARTITION BY conv_id ORDER BY role) - 1 AS INTEGER) AS ctx_id FROM conversations")
@@ -441,14 +473,20 @@ def selection_setops(spark, d):
     return selection.selected(c.where("id % 2 = 0"), c.where("id % 3 = 0"), c.where("id % 5 = 0"))
 
 
-TARGETS = "('a', 'lib', 'production,test'), ('b', 'bin', 'production'), ('c', 'test', 'test'), ('d', 'example', 'production'), ('e', 'bin', 'bench')"
-RULES = "('test', CAST(NULL AS VARCHAR(9))), ('example', CAST(NULL AS VARCHAR(9))), ('bin', 'b')"
+#: Kinds of targets, dealt to customers, and their contexts.
+KIND_OF = "list_extract(['lib', 'bin', 'test', 'example', 'bench'], CAST(c_custkey % 5 + 1 AS BIGINT))"
+TARGETS = f"(SELECT c_custkey AS id, 't' || CAST(c_custkey % 11 AS VARCHAR) AS target, {KIND_OF} AS kind, CASE {KIND_OF} WHEN 'test' THEN ['test'] WHEN 'bench' THEN ['bench'] ELSE ['production', 'test', 'bench'] END AS contexts FROM customer)"
+RULES = "('test', CAST(NULL AS VARCHAR(9))), ('example', CAST(NULL AS VARCHAR(9))), ('bin', 't3')"
 
 
-@query("SELECT * FROM (VALUES ('a', 'lib', 'production'), ('e', 'bin', 'bench')) t(target, kind, contexts)")
+@query(f"""SELECT id, kind, array_to_string(list_filter(contexts, lambda x: x <> 'test'), ',') AS contexts FROM {TARGETS}
+ WHERE kind <> 'example' AND NOT (kind = 'bin' AND target = 't3') AND len(list_filter(contexts, lambda x: x <> 'test')) > 0""")
 def target_exclusions(spark, d):
-    t = values(spark, TARGETS, "target, kind, cs").select("target", "kind", F.split("cs", ",").alias("contexts"))
-    return selection.less_exclusions(t, values(spark, RULES, "kind, name")).select("target", "kind", F.array_join("contexts", ",").alias("contexts"))
+    c = table(spark, d, "customer")
+    kind = F.get(F.array(*map(F.lit, ("lib", "bin", "test", "example", "bench"))), (F.col("c_custkey") % 5).cast("int"))
+    all_ = F.array(F.lit("production"), F.lit("test"), F.lit("bench"))
+    t = c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("t"), (F.col("c_custkey") % 11).cast("string")).alias("target"), kind.alias("kind")).withColumn("contexts", F.when(F.col("kind").isin("test", "bench"), F.array("kind")).otherwise(all_))
+    return selection.less_exclusions(t, values(spark, RULES, "kind, name")).select("id", "kind", F.array_join("contexts", ",").alias("contexts"))
 
 
 REQ = "(1, 'a,b', 'a'), (2, 'a', 'a,b'), (3, '', ''), (4, 'x,y', 'z')"
@@ -473,7 +511,7 @@ WARN_A, WARN_B = "('unknown-cfg', 'x'), ('unmodeled-rustflags', 'y')", "('source
 
 @query(f"SELECT * FROM {inline(WARN_A, 'code, message')} UNION ALL SELECT * FROM {inline(WARN_B, 'code, message')}")
 def warnings_union(spark, d):
-    return values(spark, WARN_A, "code, message").unionByName(values(spark, WARN_B, "code, message")).orderBy("code", "message")
+    return accounting.united(values(spark, WARN_A, "code, message"), values(spark, WARN_B, "code, message"))
 
 
 RES = "(1, CAST(NULL AS INTEGER), '2024'), (2, CAST(NULL AS INTEGER), '2021'), (3, CAST(NULL AS INTEGER), '2018'), (4, 1, '2024'), (5, CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR(9)))"
@@ -484,37 +522,92 @@ def resolver_default(spark, d):
     return values(spark, RES, "id, explicit, edition").select("id", text.resolver_version(F.col("explicit"), F.col("edition")).alias("resolver"))
 
 
-@query("SELECT * FROM (VALUES ('feature', 'x', 'feature = \"x\"'), ('unix', NULL, 'unix')) t(name, value, shown)")
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'n' || CAST(p_partkey AS VARCHAR) ELSE 'feature = "' || replace(replace(p_name || chr(92) || '"', chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"' END AS shown FROM part""")
 def cfg_format(spark, d):
-    return values(spark, "('feature', 'x'), ('unix', CAST(NULL AS STRING))", "name, value").withColumn("shown", text.cfg_text(F.col("name"), F.col("value")))
+    even = F.col("p_partkey") % 2 == 0
+    name = F.when(even, F.concat(F.lit("n"), F.col("p_partkey").cast("string"))).otherwise("feature")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.cfg_text(name, F.when(~even, F.concat("p_name", F.lit('\\"')))).alias("shown"))
 
 
-BASES = "('src/lib.rs'), ('src/a/mod.rs'), ('src/a.rs'), ('x/y.rs')"
+@query(f"SELECT id, CASE WHEN regexp_matches(path, '/mod\\.rs$') THEN regexp_replace(path, '/mod\\.rs$', '') ELSE regexp_replace(path, '\\.[^./]*$', '') END AS base FROM {NAMED} WHERE regexp_matches(path, '\\.rs$')")
+def child_bases(spark, d):
+    return named_paths(spark, d).where(F.col("path").endswith(".rs")).select("id", text.child_base(F.col("path")).alias("base"))
 
 
-@query(f"SELECT path, CASE path WHEN 'src/lib.rs' THEN 'src/lib' WHEN 'src/a/mod.rs' THEN 'src/a' WHEN 'src/a.rs' THEN 'src/a' ELSE 'x/y' END AS base FROM {inline(BASES, 'path')}")
-def child_bases(spark, d):
-    return values(spark, BASES, "path").withColumn("base", text.child_base(F.col("path")))
+@query("SELECT c_custkey AS id, '/a/' || CASE c_custkey % 4 WHEN 0 THEN 'x' || CAST(c_custkey AS VARCHAR) WHEN 1 THEN CAST(c_custkey AS VARCHAR) WHEN 2 THEN 'x' ELSE 'x/z' END AS path FROM customer")
+def normalized_paths(spark, d):
+    """Paths with ``.``, ``..`` and empty parts."""
+    k = F.col("c_custkey").cast("string")
+    c = F.col("c_custkey") % 4
+    path = F.when(c == 0, F.concat(F.lit("/a/./x"), k)).when(c == 1, F.concat(F.lit("/../a//y/../"), k)).when(c == 2, F.concat(F.lit("/a/x/"), k, F.lit("/.."))).otherwise(F.concat(F.lit("/b/../a/x/"), k, F.lit("/../z/")))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.normalized(path).alias("path"))
+
+
+@query("SELECT p_partkey AS id, 'n' || CAST(p_partkey AS VARCHAR) AS name FROM part")
+def plain_identifiers(spark, d):
+    raw = F.concat(F.when(F.col("p_partkey") % 2 == 0, "r#n").otherwise("n"), F.col("p_partkey").cast("string"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.plain_identifier(raw).alias("name"))
+
+
+@query(f"SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'bin' WHEN 1 THEN 'cdylib' ELSE 'lib' END AS crate_type FROM customer")
+def crate_types(spark, d):
+    c = F.col("c_custkey") % 3
+    types = F.when(c == 1, F.array(F.lit("cdylib"), F.lit("rlib"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.crate_type(F.when(c == 0, "build-script").otherwise("lib"), types).alias("crate_type"))
+
+
+@query("SELECT l_partkey AS path FROM lineitem UNION SELECT ps FROM (SELECT l_suppkey AS ps FROM lineitem) UNION SELECT o_orderkey FROM orders")
+def dependency_union(spark, d):
+    t = table(spark, d, "lineitem")
+    return incremental.dependencies(t.select(F.col("l_partkey").cast("long").alias("path")), t.select(F.col("l_suppkey").cast("long").alias("path")), table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("path")))
+
+
+@query("SELECT md5(text) AS key, CAST(length(text) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL GROUP BY text")
+def results_swept(spark, d):
+    """Results by content: those of some languages are in the cache already, with others that nothing asks for."""
+    t = table(spark, d, "documents").where("text IS NOT NULL").select(F.md5(F.col("text").cast("binary")).alias("key"), "text", "lang")
+    count = lambda rows: rows.select("key", F.length("text").cast("long").alias("n"))
+    cache = count(t.where("lang = 'en'").dropDuplicates(["key"])).unionByName(values(spark, "('gone', CAST(1 AS BIGINT))", "key, n"))
+    return incremental.swept(cache, t, count, "key")
+
+
+@query(f"""WITH f AS (SELECT id, path || CASE WHEN id % 4 = 0 THEN '.rs' ELSE '.txt' END AS path, r_name, n_name FROM {PATHS}), n AS (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0)
+ SELECT path, r_name AS owner FROM f WHERE id % 4 <> 0 AND n_name NOT IN (SELECT n_name FROM n) AND r_name IN (SELECT r_name FROM region WHERE r_regionkey % 2 = 0)""")
+def package_projection(spark, d):
+    """Files of the packages at every other region; every other nation's folder has a manifest of its own, in no package."""
+    rs = F.when(F.col("id") % 4 == 0, ".rs").otherwise(".txt")
+    f = paths(spark, d).select(F.concat("path", rs).alias("path"))
+    packages = table(spark, d, "region").where("r_regionkey % 2 = 0").select(F.col("r_name").alias("root"), F.col("r_name").alias("pkg"))
+    manifests = nations(spark, d).where("n_nationkey % 2 = 0").select(F.concat_ws("/", "r_name", "n_name").alias("folder")).unionByName(packages.select(F.col("root").alias("folder")))
+    return ledger.package_projection(f, packages, manifests)
 
 
 # --- graph -------------------------------------------------------------------
 
-GRAPH = "(SELECT DISTINCT l_partkey % 200 AS src, l_suppkey % 200 AS dst FROM lineitem WHERE l_linenumber = 1)"
+GRAPH = "(SELECT DISTINCT CAST(l_partkey AS BIGINT) AS src, CAST(l_suppkey AS BIGINT) AS dst FROM lineitem)"
 
 
-@query(f"WITH RECURSIVE e AS {GRAPH}, r AS (SELECT CAST(0 AS BIGINT) AS root, CAST(0 AS BIGINT) AS node UNION SELECT r.root, e.dst FROM r JOIN e ON r.node = e.src) SELECT root, node FROM r")
+@query(f"WITH RECURSIVE e AS {GRAPH}, r AS (SELECT CAST(l_partkey AS BIGINT) AS root, CAST(l_partkey AS BIGINT) AS node FROM lineitem WHERE l_orderkey = 1 UNION SELECT r.root, e.dst FROM r JOIN e ON r.node = e.src) SELECT root, node FROM r")
 def reachability(spark, d):
-    e = table(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_partkey") % 200).alias("src"), (F.col("l_suppkey") % 200).alias("dst"))
-    return graph.reachable(e, spark.range(1).select(F.col("id").alias("root"), F.col("id").alias("node")))
+    """What the parts of the first order reach over all lineitems, part to supplier; a supplier's key is a part's key too."""
+    t = table(spark, d, "lineitem")
+    e = t.select(F.col("l_partkey").cast("long").alias("src"), F.col("l_suppkey").cast("long").alias("dst"))
+    first = t.where("l_orderkey = 1").select(F.col("l_partkey").cast("long").alias("root"), F.col("l_partkey").cast("long").alias("node"))
+    return graph.reachable(e, first)
 
 
-DECL = "(1, 'src', 'a', CAST(NULL AS VARCHAR(9))), (2, 'src', 'b', CAST(NULL AS VARCHAR(9))), (3, 'src', 'c', CAST(NULL AS VARCHAR(9))), (4, 'src', 'd', 'o/d.rs'), (5, 'src', 'e', CAST(NULL AS VARCHAR(9)))"
-HAVE = "('src/a.rs'), ('src/b/mod.rs'), ('src/c.rs'), ('src/c/mod.rs'), ('o/d.rs')"
+#: Every part is a module that some files may hold; a seventh has an explicit path.
+FOUND = "(SELECT p_partkey AS id, p_partkey % 7 = 0 AS own, p_partkey % 2 = 0 OR p_partkey % 7 = 0 AS plain, p_partkey % 3 = 0 AND p_partkey % 7 <> 0 AS nested FROM part)"
 
 
-@query("SELECT * FROM (VALUES (1, 'src/a.rs', NULL), (2, 'src/b/mod.rs', NULL), (3, NULL, 'ambiguous'), (4, 'o/d.rs', NULL), (5, NULL, 'not-found')) t(id, path, problem)")
+@query(f"""SELECT id, CASE WHEN own THEN 'o/' || CAST(id AS VARCHAR) || '.rs' WHEN plain AND nested OR NOT plain AND NOT nested THEN NULL WHEN plain THEN 'src/m' || CAST(id AS VARCHAR) || '.rs' ELSE 'src/m' || CAST(id AS VARCHAR) || '/mod.rs' END AS path,
+ CASE WHEN own THEN NULL WHEN plain AND nested THEN 'ambiguous' WHEN NOT plain AND NOT nested THEN 'not-found' END AS problem FROM {FOUND}""")
 def module_resolution(spark, d):
-    return graph.module_files(values(spark, DECL, "id, base, name, explicit"), values(spark, HAVE, "path"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("k"))
+    own = F.col("id") % 7 == 0
+    declared = p.select("id", F.lit("src").alias("base"), F.concat(F.lit("m"), "k").alias("name"), F.when(own, F.concat(F.lit("o/"), "k", F.lit(".rs"))).alias("explicit"))
+    have = [p.where(own).select(F.concat(F.lit("o/"), "k", F.lit(".rs")).alias("path")), p.where("id % 2 = 0 OR id % 7 = 0").select(F.concat(F.lit("src/m"), "k", F.lit(".rs")).alias("path")), p.where("id % 3 = 0").select(F.concat(F.lit("src/m"), "k", F.lit("/mod.rs")).alias("path"))]
+    return graph.module_files(declared, have[0].unionByName(have[1]).unionByName(have[2]))
 
 
 # --- incremental -------------------------------------------------------------
@@ -530,18 +623,21 @@ def manifest_diff(spark, d):
     return incremental.manifest_diff(stamp(e.where("event_id % 2 = 0")), stamp(e.where("event_id % 2 = 1 OR path % 3 = 0")))
 
 
-@query()
+PRINTED = """WITH f AS (SELECT sha256(CAST(length(path) AS VARCHAR) || chr(0) || path || chr(0) || sha256(coalesce(text, ''))) AS d FROM FILES_)
+SELECT sha256('POLICY_' || '|' || CAST(count(*) AS VARCHAR) || '|' || PARTS_) AS fingerprint FROM f"""
+
+
+@query(PRINTED.replace("FILES_", FILES).replace("POLICY_", incremental.POLICY).replace("PARTS_", " || '|' || ".join(f"CAST(sum(CAST(CAST('0x' || substr(d, {1 + 15 * i}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)" for i in range(4))))
 def fingerprint(spark, d):
     return incremental.fingerprint(files(spark, d), "path", "text")
 
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS peak, count(*) AS n FROM events GROUP BY event_type")
 def phase_percentiles(spark, d):
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
-    return table(spark, d, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.max("value").alias("peak"), F.count(F.lit(1)).alias("n"))
+    return accounting.percentiles(table(spark, d, "events"), "event_type", "value")
 
 
-# --- Rust and lexical sources; the SQL holds the counts worked out by hand ----
+# --- Rust and lexical sources: goldens, whose SQL holds counts worked out by hand, and sources made of the documents, whose counts SQL works out
 
 from linefacts.operators import rust  # noqa: E402
 
@@ -562,17 +658,17 @@ def rust_files(spark):
 
 
 @query("SELECT path, files, lines, blanks, comments, code, test FROM (VALUES ('a.rs', 1, 7, 1, 1, 1, 4), ('b.rs', 1, 3, 0, 1, 3, 0), ('c.rs', 1, 6, 0, 3, 3, 0), ('d.rs', 1, 0, 0, 0, 0, 0), ('e.rs', 1, 0, 0, 0, 0, 0), ('f.rs', 1, 5, 0, 0, 5, 0)) t(path, files, lines, blanks, comments, code, test)".replace("SELECT path, files, lines, blanks, comments, code, test", "SELECT path, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("files", "lines", "blanks", "comments", "code", "test"))))
-def rust_line_counts(spark, d):
+def rust_goldens(spark, d):
     return rust.with_counts(rust_files(spark))
 
 
 @query("SELECT path, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("files", "lines", "blanks", "comments", "code", "test")) + " FROM (VALUES ('a.rs', 1, 9, 1, 1, 7, NULL), ('b.rs', 1, 5, 0, 1, 5, NULL), ('c.rs', 1, 6, 0, 3, 3, NULL), ('d.rs', 1, 2, 0, 0, 2, NULL), ('e.rs', 1, 0, 0, 0, 0, NULL), ('f.rs', 1, 7, 0, 0, 7, NULL)) t(path, files, lines, blanks, comments, code, test)")
-def rust_unconfigured(spark, d):
+def rust_unconfigured_goldens(spark, d):
     return rust.with_counts(rust_files(spark).withColumn("contexts", F.lit(None).cast(rust.CONTEXTS)))
 
 
 @query("SELECT path, CAST(lines AS BIGINT) AS lines, CAST(code AS BIGINT) AS code, CAST(test AS BIGINT) AS test FROM (VALUES ('a.rs', 7, 1, 4), ('b.rs', 3, 3, 0), ('c.rs', 6, 3, 0), ('f.rs', 5, 5, 0)) t(path, lines, code, test)")
-def rust_lines_by_context(spark, d):
+def rust_context_goldens(spark, d):
     """The same counts by the relational way: line flags of every context, joined by line."""
     return lines.counted(lines.production_wins(rust.line_flags(rust_files(spark)), "path", "line_no"), "path").select("path", "lines", "code", "test")
 
@@ -589,30 +685,77 @@ TREE = (
 
 
 @query("SELECT path, CAST(n AS BIGINT) AS n FROM (VALUES ('src/lib.rs', 2), ('src/a.rs', 2), ('src/a/sub/mod.rs', 2), ('src/odd/b.rs', 2), ('src/inner/deep.rs', 2), ('src/only.rs', 1)) t(path, n)")
-def module_graph(spark, d):
+def module_goldens(spark, d):
     tree = spark.createDataFrame(TREE, "path string, text string")
     roots = tree.where("path = 'src/lib.rs'").select("path", F.explode(F.expr(CTX)).alias("c")).select("path", "c.*")
     return rust.reachable_files(tree, roots).groupBy("path").agg(F.count_distinct("ctx_id").alias("n"))
 
 
-CFG = "(true, true), (true, false), (false, true), (false, false)"
+#: Every document as a Rust file: its lines as comments, a blank line, a function, and by its id a test and a function that never is.
+MADE = (("3", "#[cfg(test)]\nfn t() {}\n"), ("5", "#[cfg(any())]\nfn gone() {}\n"))
+FEEDS = "CAST(1 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS BIGINT)"
 
 
-@query(f"SELECT u, t, (u AND NOT (t AND false)) OR (u AND t) AS a, NOT (u OR t) AS b, true AS c, false AS d FROM {inline(CFG, 'u, t')}")
+def made_rust(spark, d):
+    t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    more = [F.when(F.col("doc_id") % int(m) == 0, x).otherwise("") for m, x in MADE]
+    return t.select("path", F.concat(F.lit("// "), F.replace("body", F.lit("\n"), F.lit("\n// ")), F.lit("\n\nfn p() {}\n"), *more).alias("text"), F.expr(CTX).alias("contexts"))
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS path, CAST(1 AS BIGINT) AS files, {FEEDS} + 2 + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS lines, CAST(1 AS BIGINT) AS blanks, {FEEDS} AS comments, CAST(1 AS BIGINT) AS code, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS BIGINT) AS test FROM documents")
+def rust_line_counts(spark, d):
+    return rust.with_counts(made_rust(spark, d))
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS path, CAST(1 AS BIGINT) AS files, {FEEDS} + 2 + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS lines, CAST(1 AS BIGINT) AS blanks, {FEEDS} AS comments, CAST(1 + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS BIGINT) AS code, CAST(NULL AS BIGINT) AS test FROM documents")
+def rust_unconfigured(spark, d):
+    return rust.with_counts(made_rust(spark, d).withColumn("contexts", F.lit(None).cast(rust.CONTEXTS)))
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS path, {FEEDS} + 2 + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS lines, CAST(1 AS BIGINT) AS code, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS BIGINT) AS test FROM documents")
+def rust_lines_by_context(spark, d):
+    """The same counts by the relational way: line flags of every context, joined by line."""
+    return lines.counted(lines.production_wins(rust.line_flags(made_rust(spark, d)), "path", "line_no"), "path").select("path", "lines", "code", "test")
+
+
+@query("""SELECT 'src/lib.rs' AS path, CAST(2 AS BIGINT) AS n UNION ALL SELECT 'src/n' || CAST(n_nationkey AS VARCHAR) || '.rs', CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END FROM nation
+ UNION ALL SELECT 'src/n' || CAST(c_nationkey AS VARCHAR) || '/c' || CAST(c_custkey AS VARCHAR) || CASE WHEN c_custkey % 3 = 0 THEN '/mod.rs' ELSE '.rs' END, CASE WHEN c_nationkey % 2 = 0 THEN 2 ELSE 1 END FROM customer WHERE c_custkey % 5 <> 0""")
+def module_graph(spark, d):
+    """A tree of modules: nations under a library, every other one for tests alone, and customers under nations, every fifth of them never."""
+    n, c = table(spark, d, "nation").select("n_nationkey"), table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    joined = lambda x, by: F.array_join(F.array_sort(F.collect_list(x)), "\n").alias("text")
+    top = n.agg(joined(F.concat(F.when(F.col("n_nationkey") % 2 == 1, "#[cfg(test)] mod n").otherwise("mod n"), F.col("n_nationkey").cast("string"), F.lit(";")), None)).select(F.lit("src/lib.rs").alias("path"), "text")
+    declared = F.concat(F.when(F.col("c_custkey") % 5 == 0, "#[cfg(any())] mod c").otherwise("mod c"), F.col("c_custkey").cast("string"), F.lit(";"))
+    mid = n.join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").groupBy("n_nationkey").agg(joined(declared, None)).select(F.concat(F.lit("src/n"), F.col("n_nationkey").cast("string"), F.lit(".rs")).alias("path"), "text")
+    low = c.select(F.concat(F.lit("src/n"), F.col("c_nationkey").cast("string"), F.lit("/c"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 3 == 0, "/mod.rs").otherwise(".rs")).alias("path"), F.lit("fn f() {}\n").alias("text"))
+    tree = top.unionByName(mid).unionByName(low)
+    roots = spark.range(1).select(F.lit("src/lib.rs").alias("path"), F.explode(F.expr(CTX)).alias("c")).select("path", "c.*")
+    return rust.reachable_files(tree, roots).groupBy("path").agg(F.count_distinct("ctx_id").alias("n"))
+
+
+#: Predicates, dealt to orders by key; an order's options are its status and whether it is urgent.
+ASKED = ("any(all(f, not(all(urgent, any()))), all(f, urgent))", "not(any(f, urgent))", "all()", "any()", 'all(status = "O", not(urgent))')
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN f AND (NOT (u AND false)) OR f AND u WHEN 1 THEN NOT (f OR u) WHEN 2 THEN true WHEN 3 THEN false ELSE o_orderstatus = 'O' AND NOT u END AS holds
+ FROM (SELECT *, o_orderstatus = 'F' AS f, o_orderkey % 3 = 0 AS u FROM orders)""")
 def cfg_truth(spark, d):
-    """Predicates over all option sets: nested, negated, and the empty all and any."""
-    from linefacts.functions import rustlex
+    """Predicates over option sets: nested, negated, key-value, and the empty all and any."""
+    p = F.get(F.array(*map(F.lit, ASKED)), (F.col("o_orderkey") % len(ASKED)).cast("int"))
+    options = F.filter(F.array(F.when(F.col("o_orderstatus") == "F", "f"), F.when(F.col("o_orderkey") % 3 == 0, "urgent"), F.concat(F.lit("status="), "o_orderstatus")), lambda x: x.isNotNull())
+    rows = table(spark, d, "orders").select("o_orderkey", p.alias("p"), options.alias("options"))
+    return rust.held_predicates(rows, "p", "options", "holds").select("o_orderkey", "holds")
 
-    def holds(text: str, options: frozenset) -> bool:
-        return rustlex.Context(options).active(rustlex.Source(f"#[cfg({text})] fn f() {{}}").groups[0].effects)
 
-    shown = ("any(all(unix, not(all(t, any()))), all(unix, t))", "not(any(unix, t))", "all()", "any()")
-    rows = []
-    for u in (True, False):
-        for t in (True, False):
-            options = frozenset(n for n, on in (("unix", u), ("t", t)) if on)
-            rows.append((u, t, *(holds(x, options) for x in shown)))
-    return spark.createDataFrame(rows, "u boolean, t boolean, a boolean, b boolean, c boolean, d boolean")
+@query("SELECT 'p' || CAST(n_regionkey AS VARCHAR) AS pkg, 'n' || CAST(n_nationkey AS VARCHAR) AS predicate FROM nation WHERE n_nationkey % 2 = 0")
+def unknown_cfgs(spark, d):
+    """Every nation asks for an option; odd ones are known, and features are declared."""
+    n = table(spark, d, "nation")
+    k = F.col("n_nationkey").cast("string")
+    text_ = F.concat(F.lit('#[cfg(any(unix, feature = "f", n'), k, F.lit(", not(target_os = \"linux\")))]\nfn f() {}\n#[cfg(any())]\nmod gone { #[cfg(never)] fn g() {} }\n"))
+    rows = n.select(F.concat(F.lit("p"), F.col("n_regionkey").cast("string")).alias("pkg"), k.alias("path"), text_.alias("text"), F.expr(CTX).alias("contexts"))
+    known = frozenset({"unix", *(f"n{i}" for i in range(1, 99, 2))}), frozenset({("target_os", "linux")}), frozenset({"f"})
+    return rust.unknown_cfgs(rows, {f"p{r.n_regionkey}": known for r in n.select("n_regionkey").distinct().collect()})  # five regions
 
 
 SOURCES = (
@@ -627,24 +770,57 @@ SOURCES = (
 
 
 @query("SELECT path, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("lines", "blanks", "comments", "code")) + " FROM (VALUES ('x.js', 3, 1, 1, 1), ('run', 2, 0, 1, 1), ('p.html', 3, 0, 1, 2), ('u.py', 1, 0, 0, 1), ('r.md', 3, 1, 2, 0), ('s.c', 4, 0, 3, 1)) t(path, lines, blanks, comments, code)")
-def lexical_counts(spark, d):
+def lexical_goldens(spark, d):
     t = spark.createDataFrame(SOURCES, "path string, bytes binary, language string")
     return languages.with_lexical_counts(t).select("path", "lines", "blanks", "comments", "code")
 
 
-@query()
-def tree_scan(spark, d):
-    """This package's own directory as a tree: files, bytes and lines by extension."""
-    from pathlib import Path
+#: Every document as a source of one of these languages: (language, what begins a comment).
+MARKS = (("Python", "# "), ("JavaScript", "// "), ("SQL", "-- "))
+
+
+@query(f"SELECT doc_id, {FEEDS} + 2 AS lines, CAST(1 AS BIGINT) AS blanks, {FEEDS} AS comments, CAST(1 AS BIGINT) AS code FROM documents")
+def lexical_counts(spark, d):
+    pick = lambda k: F.get(F.array(*(F.lit(m[k]) for m in MARKS)), (F.col("doc_id") % len(MARKS)).cast("int"))
+    t = table(spark, d, "documents").withColumn("mark", pick(1))
+    body = F.concat("mark", F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.concat(F.lit("\n"), "mark")), F.lit("\n\nx\n"))
+    return languages.with_lexical_counts(t.select("doc_id", body.cast("binary").alias("bytes"), pick(0).alias("language"))).select("doc_id", "lines", "blanks", "comments", "code")
+
 
+@query(f"SELECT scope, language, count(*) AS files, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS bytes, CAST(sum({LINES}) AS BIGINT) AS lines FROM {FILES} GROUP BY scope, language")
+def tree_scan(spark, d):
+    """A tree with a file for every document, some that ignore files hide and some in folders that are never part of a tree."""
+    from linefacts.sources import workdir
     from linefacts.sources.tree import TreeSource
 
+    workdir.ship(spark)
+    root = workdir.new_path(spark, "made-tree").removeprefix("file://").removeprefix("file:")
+    if "://" in root:
+        raise workdir.NoSharedFolder("a source tree is in a file system that all machines mount; spark.checkpoint.dir is elsewhere")
+
+    def put(batches):
+        import os
+
+        import pyarrow as pa
+
+        for b in batches:
+            for r in b.to_pylist():
+                for path in (f"{r['scope']}/{r['language']}/{r['doc_id']}.txt", *((f"target/{r['doc_id']}", f"{r['scope']}/{r['doc_id']}.log") if r["doc_id"] % 100 == 0 else ())):
+                    os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+                    with open(f"{root}/{path}", "wb") as f:
+                        f.write((r["text"] or "").encode())
+            with open(f"{root}/.ignore", "w") as f:
+                f.write("*.log\n")
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    files(spark, d).select("doc_id", "scope", "language", "text").mapInArrow(put, "n long").agg(F.sum("n")).collect()
     spark.dataSource.register(TreeSource)
-    tree = spark.read.format("tree").load(str(Path(__file__).resolve().parents[1]))
-    one = tree.where("NOT outside").groupBy("dev", "ino").agg(F.min("path").alias("path"), F.first("bytes").alias("bytes"))
-    ext = F.regexp_extract("path", r"\.([^./]+)$", 1)
+    tree = spark.read.format("tree").load(root).where("NOT outside AND NOT ignored AND path <> '.ignore'")
+    # Files are told apart by device and inode; each has a path here.
+    one = tree.groupBy("dev", "ino").agg(F.min("path").alias("path"), F.first("bytes").alias("bytes"))
+    part = F.split("path", "/")
     n = text.physical_lines(F.decode("bytes", "ISO-8859-1"))
-    return one.groupBy(ext.alias("ext")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("bytes")).alias("bytes"), F.sum(n).alias("lines"))
+    return one.groupBy(part[0].alias("scope"), part[1].alias("language")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("bytes")).alias("bytes"), F.sum(n).alias("lines"))
 
 
 @query(f"SELECT scope, language, CAST(sum(lines) AS BIGINT) AS lines, count(*) AS files FROM {FACTS} GROUP BY scope, language")
