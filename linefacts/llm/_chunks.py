@@ -15,7 +15,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import functions as F
 
 from linefacts.llm._shared import filesystem, new_path, trim, written
 
@@ -34,6 +35,16 @@ def read_chunk(root: str, chunk: int, columns: list[str] | None = None):
         return pq.read_table(f, columns=columns)
 
 
+def chunk_count(rows: DataFrame) -> int:
+    """About how many chunks the rows name."""
+    return max(1, rows.agg(F.approx_count_distinct("chunk").alias("n")).first().n)
+
+
+def by_chunk(rows: DataFrame, chunks: int) -> GroupedData:
+    """Rows grouped by chunk, with a task for each chunk or few: the rows are small and the work is not, so their size says nothing."""
+    return rows.repartition(chunks, "chunk").groupBy("chunk")
+
+
 def into_chunks(docs: DataFrame, work: Callable, schema: str, name: str, text: str = "text", size: int = CHUNK) -> tuple[DataFrame, str]:
     """(rows, root): what ``work`` says of each chunk's table, with the chunk's number in ``chunk``.
 

@@ -2,30 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch between Spark and Python while work tables are written.
-BATCH_ROWS = 2000
+from linefacts.sources import workdir
+from linefacts.sources.workdir import drop, ship
 
+__all__ = ["drop", "drop_work_tables", "filesystem", "made", "new_path", "ship", "trim", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset (tests)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.gettempdir()}/linefacts-shared-{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+#: Rows of an Arrow batch between Spark and Python while work tables are written.
+BATCH_ROWS = 2000
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own for one work table or folder of files."""
-    path = f"{shared_dir(spark)}/linefacts/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = workdir.new_path(spark, name)
     _made.append(path)
     return path
 
@@ -38,14 +28,6 @@ def made() -> list[str]:
     return _made
 
 
-def drop(spark: SparkSession, paths: list[str]) -> None:
-    """Removes work tables and folders."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-
-
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes ``df`` as a Parquet work table and reads it again: lineage ends here, and lost executors cost nothing.
 
@@ -66,7 +48,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
 
 def drop_work_tables(spark: SparkSession) -> None:
     """Removes everything this application has put into the shared folder. Results read from there end too."""
-    drop(spark, [f"{shared_dir(spark)}/linefacts/{spark.sparkContext.applicationId}"])
+    drop(spark, [workdir.own_dir(spark)])
 
 
 def filesystem(uri: str):
@@ -93,17 +75,3 @@ def trim() -> None:
         except (OSError, AttributeError):
             _libc = lambda _: None
     _libc(0)
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, unless PYTHONPATH leads them to it."""
-    top = Path(__file__).resolve().parents[2]
-    app = spark.sparkContext.applicationId
-    if app in _shipped or any(p and Path(p).resolve() == top for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)):
-        return
-    _shipped.add(app)
-    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "linefacts-llm"), "zip", top, "linefacts")
-    spark.sparkContext.addPyFile(made)

@@ -8,10 +8,12 @@ right, so a URL may hold spaces, and trusts nothing but the declared length.
 
 For each record it synthesises what WARC asks for: an identifier (a name-based
 UUID of the archive's name and the record's place, so that reruns agree), a
-timestamp from the fourteen digits, a type, and SHA-256 digests. Of records
-with equal payloads of at least ``least`` bytes, the one with the smallest page
-id (then archive, then place) stays a response; the others become revisits
-that refer to it.
+timestamp from the fourteen digits, a type, and SHA-256 digests. The version
+block becomes a warcinfo record, an HTTP message a response, and anything else
+(a DNS answer, a file) a resource with its own content type. Of responses with
+equal payloads of at least ``least`` bytes, the one with the smallest page id
+(then archive, then place) stays a response; the others become revisits that
+refer to it. Every record is a gzip member of its own.
 
 Cases: null html is an empty payload. A null page id sorts last and comes back
 as null. Null or odd URLs are percent-encoded. Rows that repeat a page id are
@@ -22,10 +24,10 @@ ValueError. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from urllib.parse import quote
 
 from pyspark import TaskContext
@@ -70,18 +72,27 @@ def arc_head(version: int, name: str) -> bytes:
     return f"{line}{len(body)}\n".encode() + body + b"\n"
 
 
-def arc_record(version: int, url: str | None, page_id: int | None, payload: bytes, name: str, at: int) -> bytes:
+def stamp_after(seconds: int) -> str:
+    return (datetime.strptime(STAMP, "%Y%m%d%H%M%S") + timedelta(seconds=seconds)).strftime("%Y%m%d%H%M%S")
+
+
+def arc_block(version: int, url: str, content_type: str, block: bytes, name: str, at: int, stamp: str = STAMP) -> bytes:
+    """A record of any block, HTTP or not."""
+    more = "" if version == 1 else f"200 - - {at} {name} "
+    return f"{url} 0.0.0.0 {stamp} {content_type} {more}{len(block)}\n".encode() + block + b"\n"
+
+
+def arc_record(version: int, url: str | None, page_id: int | None, payload: bytes, name: str, at: int, stamp: str = STAMP) -> bytes:
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if page_id is not None:
         head += f"X-Page-Id: {page_id}\r\n".encode()
     block = head + f"Content-Length: {len(payload)}\r\n\r\n".encode() + payload
     safe = quote(url or "unknown:", safe=":/?#[]@!$&'()*+,;=%~-._")
-    more = "" if version == 1 else f"200 - - {at} {name} "
-    return f"{safe} 0.0.0.0 {STAMP} text/html {more}{len(block)}\n".encode() + block + b"\n"
+    return arc_block(version, safe, "text/html", block, name, at, stamp)
 
 
 def parse_arc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields by name, block) of each record after the version block."""
+    """(fields by name, block) of each record; the version block comes first, with the fields that every version has."""
     at, names = 0, FIELDS[1].split()
     first = True
     while at < len(raw):
@@ -91,11 +102,12 @@ def parse_arc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         end = raw.index(b"\n", at)
         line = raw[at:end].rstrip(b"\r").decode("utf-8", "replace")
         if first:  # the version block has its own version's fields, which its body names
-            size, body = int(line.rsplit(" ", 1)[1]), raw[end + 1 :]
+            (url, address, date, kind), size, body = line.split(" ")[:4], int(line.rsplit(" ", 1)[1]), raw[end + 1 :]
             if len(body) < size:
                 raise ValueError("version block cut short")
             told = body[:size].decode("utf-8", "replace").splitlines()
             names = FIELDS[int(told[0].split()[0])].split() if len(told) < 2 or "Archive-length" not in told[1] else told[1].split()
+            yield {"URL": url, "IP-address": address, "Archive-date": date, "Content-type": kind, "Archive-length": str(size)}, body[:size]
             at, first = end + 1 + size, False
             continue
         values = line.rsplit(" ", len(names) - 1)
@@ -109,6 +121,18 @@ def parse_arc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 1 + size
 
 
+def kind_of(fields: dict[str, str], block: bytes) -> str:
+    """What a record becomes: warcinfo of a version block, response of an HTTP message, resource of anything else (a DNS answer, a file)."""
+    if fields["URL"].startswith("filedesc:"):
+        return "warcinfo"
+    return "response" if fields["URL"].partition(":")[0].lower() not in ("dns", "ftp", "whois") and block.startswith(b"HTTP/") else "resource"
+
+
+def payload_of(kind: str, block: bytes) -> tuple[dict[str, str], bytes, bytes]:
+    """(HTTP headers, HTTP head, payload): all of the block where there is no HTTP message."""
+    return http_parts(block) if kind in ("response", "revisit") else ({}, b"", block)
+
+
 def http_parts(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
     """(headers by lower-case name, head with its blank line, payload)."""
     head, mark, payload = block.partition(b"\r\n\r\n")
@@ -129,16 +153,16 @@ def date_of(digits: str) -> str:
 
 
 def warc_record(kind: str, ident: str, fields: dict[str, str], block: bytes, payload_digest: str, more: list[tuple[str, str]] = ()) -> bytes:
+    info, url = kind == "warcinfo", fields["URL"]
     lines = [
         ("WARC-Type", kind),
         ("WARC-Record-ID", f"<{ident}>"),
         ("WARC-Date", date_of(fields["Archive-date"])),
-        ("WARC-Target-URI", fields["URL"]),
-        ("WARC-IP-Address", fields["IP-address"]),
+        *([("WARC-Filename", url.partition("://")[2])] if info else [("WARC-Target-URI", url), ("WARC-IP-Address", fields["IP-address"])]),
         ("WARC-Block-Digest", "sha256:" + hashlib.sha256(block).hexdigest()),
         ("WARC-Payload-Digest", "sha256:" + payload_digest),
         *more,
-        ("Content-Type", "application/http; msgtype=response"),
+        ("Content-Type", "application/warc-fields" if info else "application/http; msgtype=response" if kind != "resource" else fields["Content-type"]),
         ("Content-Length", str(len(block))),
     ]
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines) + "\r\n").encode() + block + b"\r\n\r\n"
@@ -164,11 +188,11 @@ def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 class _Writer:
-    """Files of about ``FILE`` bytes of records; one gzip member for each 64 records or so."""
+    """Files of about ``FILE`` bytes of records; a gzip member for each record, so that one can be read by its offset."""
 
     def __init__(self, root: str, ending: str):
         self.root, self.ending, self.mark, self.n = root, ending, uuid.uuid4().hex[:12], 0
-        self.out, self.path, self.held, self.bytes = None, "", io.BytesIO(), 0
+        self.out, self.path, self.bytes = None, "", 0
 
     def open(self) -> str:
         self.path = f"{self.root}/{TaskContext.get().partitionId():06d}-{self.n:04d}-{self.mark}{self.ending}"
@@ -179,19 +203,11 @@ class _Writer:
         return self.path
 
     def put(self, raw: bytes) -> None:
-        self.held.write(raw)
+        self.out.write(_member(raw))
         self.bytes += len(raw)
-        if self.held.tell() > 1 << 20:
-            self.flush()
-
-    def flush(self) -> None:
-        if self.held.tell():
-            self.out.write(_member(self.held.getvalue()))
-            self.held = io.BytesIO()
 
     def close(self) -> None:
         if self.out is not None:
-            self.flush()
             self.out.close()
             self.out = None
 
@@ -219,7 +235,7 @@ def write_arcs(pages: DataFrame, root: str, id_col: str = "page_id", url: str =
                     name, n = w.open().rpartition("/")[2], 0
                     version = 1 + (TaskContext.get().partitionId() + w.n) % 2
                     w.put(arc_head(version, name))
-                w.put(arc_record(version, u, i, h or b"", name, w.bytes))
+                w.put(arc_record(version, u, i, h or b"", name, w.bytes, stamp_after(n)))
                 n += 1
         if w.out is not None:
             w.close()
@@ -241,19 +257,20 @@ def convert(arcs: DataFrame, root: str, least: int = LEAST) -> DataFrame:
         for b in batches:
             for path in b.column("arc_path").to_pylist():
                 rows = []
-                for seq, (_, block) in enumerate(parse_arc(_read(path))):
-                    head, _, payload = http_parts(block)
+                for seq, (fields, block) in enumerate(parse_arc(_read(path))):
+                    kind = kind_of(fields, block)
+                    head, _, payload = payload_of(kind, block)
                     page = head.get("x-page-id")
-                    rows.append((int(page) if page is not None else None, len(payload), hashlib.sha256(payload).digest()))
-                ids, sizes, digests = zip(*rows) if rows else ((), (), ())
-                yield pa.RecordBatch.from_pydict({"arc_path": [path] * len(rows), "seq": pa.array(range(len(rows)), pa.int64()), "page_id": pa.array(ids, pa.int64()), "payload_bytes": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.binary())})
+                    rows.append((seq, kind, int(page) if page is not None else None, len(payload), hashlib.sha256(payload).digest()))
+                seqs, kinds, ids, sizes, digests = zip(*rows) if rows else ((), (), (), (), ())
+                yield pa.RecordBatch.from_pydict({"arc_path": [path] * len(rows), "seq": pa.array(seqs, pa.int64()), "kind": pa.array(kinds, pa.string()), "page_id": pa.array(ids, pa.int64()), "payload_bytes": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.binary())})
 
     files = max(1, arcs.count())
     each = arcs.select("arc_path").repartition(files, "arc_path")  # a task for each file or few
-    found = written(each.mapInArrow(survey, "arc_path string, seq long, page_id long, payload_bytes long, digest binary"), "arc-records")
+    found = written(each.mapInArrow(survey, "arc_path string, seq long, kind string, page_id long, payload_bytes long, digest binary"), "arc-records")
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "arc_path", "seq")
-    first = found.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    told = found.join(first, "digest", "left").select("arc_path", "seq", "digest", "first.page_id", F.col("first.arc_path").alias("ref_path"), F.col("first.seq").alias("ref_seq"), (F.col("payload_bytes") >= least).alias("long_enough"))
+    first = found.where((F.col("payload_bytes") >= least) & (F.col("kind") == "response")).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    told = found.join(first, "digest", "left").select("arc_path", "seq", "digest", "first.page_id", F.col("first.arc_path").alias("ref_path"), F.col("first.seq").alias("ref_seq"), ((F.col("payload_bytes") >= least) & (F.col("kind") == "response")).alias("long_enough"))
 
     def turn(table):
         import pyarrow as pa
@@ -266,19 +283,20 @@ def convert(arcs: DataFrame, root: str, least: int = LEAST) -> DataFrame:
         cols = [table.column(c).to_pylist() for c in ("digest", "page_id", "ref_path", "ref_seq", "long_enough")]
         n = 0
         for seq, ((fields, block), digest, ref_page, ref_path, ref_seq, long_enough) in enumerate(zip(parse_arc(_read(path)), *cols, strict=True)):
-            ident = record_id(archive, seq)
+            ident, kind = record_id(archive, seq), kind_of(fields, block)
             if long_enough and ref_path is not None and (ref_path, ref_seq) != (path, seq):
                 more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{record_id(ref_path.rpartition('/')[2], ref_seq)}>")]
                 if ref_page is not None:
                     more.append(("X-Refers-To-Page", str(ref_page)))
                 w.put(warc_record("revisit", ident, fields, http_parts(block)[1], digest.hex(), more))
             else:
-                w.put(warc_record("response", ident, fields, block, digest.hex()))
-            n += 1
+                w.put(warc_record(kind, ident, fields, block, digest.hex()))
+            n += kind != "warcinfo"
         w.close()
         return pa.table({"warc_path": [w.path], "records": pa.array([n], pa.int64())})
 
-    return written(told.groupBy("arc_path").applyInArrow(turn, "warc_path string, records long"), "warcs")
+    # Few small rows and much work each: a task for each file or few, whatever their size.
+    return written(told.repartition(files, "arc_path").groupBy("arc_path").applyInArrow(turn, "warc_path string, records long"), "warcs")
 
 
 def read_warcs(warcs: DataFrame) -> DataFrame:
@@ -291,12 +309,14 @@ def read_warcs(warcs: DataFrame) -> DataFrame:
             for path in b.column("warc_path").to_pylist():
                 rows = []
                 for f, block in parse_warc(_read(path)):
-                    head, _, payload = http_parts(block)
+                    if f["WARC-Type"] == "warcinfo":
+                        continue
+                    head, _, payload = payload_of(f["WARC-Type"], block)
                     digest = f["WARC-Payload-Digest"].removeprefix("sha256:")
-                    if f["WARC-Type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
+                    if f["WARC-Type"] != "revisit" and hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"payload digest differs in {path}")
                     page, ref = head.get("x-page-id"), f.get("X-Refers-To-Page")
-                    rows.append((None if page is None else int(page), int(head["content-length"]), digest, f["WARC-Type"], None if ref is None else int(ref), f["WARC-Record-ID"], f["WARC-Date"], f["WARC-Target-URI"]))
+                    rows.append((None if page is None else int(page), int(head.get("content-length", len(payload))), digest, f["WARC-Type"], None if ref is None else int(ref), f["WARC-Record-ID"], f["WARC-Date"], f["WARC-Target-URI"]))
                 c = list(zip(*rows)) or [()] * 8
                 yield pa.RecordBatch.from_pydict({"page_id": pa.array(c[0], pa.int64()), "payload_bytes": pa.array(c[1], pa.int64()), "payload_digest": pa.array(c[2], pa.string()), "record_type": pa.array(c[3], pa.string()), "refers_to": pa.array(c[4], pa.int64()), "record_id": pa.array(c[5], pa.string()), "warc_date": pa.array(c[6], pa.string()), "target_uri": pa.array(c[7], pa.string())})
 

@@ -429,6 +429,7 @@ def test_archives(spark):
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest) for r in got) == Counter((i, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest()) for i, _, h in rows)
     kinds = Counter((r.page_id, r.record_type, r.refers_to) for r in got)
     assert kinds == Counter([(1, "response", None), (3, "revisit", 1), (None, "revisit", 1), (2, "response", None), (4, "response", None), (5, "response", None), (6, "response", None), (6, "revisit", 6)])
+    assert archives.read_warcs(archives.convert(archives.write_arcs(pages.withColumn("digest", archives.F.lit(1)).withColumn("arc_path", archives.F.lit("x")), root), root)).count() == len(rows)
     none = archives.convert(archives.write_arcs(pages.where("false"), root), root)
     assert archives.read_warcs(none).count() == 0
 
@@ -436,13 +437,32 @@ def test_archives(spark):
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_header_lines(version):
     raw = archives.arc_head(version, "f.arc") + archives.arc_record(version, "http://x/a b", 9, b"body", "f.arc", 0)
-    ((fields, block),) = archives.parse_arc(raw)
+    (info, told), (fields, block) = archives.parse_arc(raw)
+    assert archives.kind_of(info, told) == "warcinfo" and info["Content-type"] == "text/plain" and told.startswith(b"%d 0 " % version)
     assert fields["URL"] == "http://x/a%20b" and int(fields["Archive-length"]) == len(block) and archives.http_parts(block)[2] == b"body"
     assert archives.date_of(fields["Archive-date"]) == "2001-02-03T04:05:06Z"
     with pytest.raises(ValueError):
         list(archives.parse_arc(raw[:-4]))
 
 
+def test_what_is_not_http_becomes_a_resource(spark, tmp_path):
+    answer, odd = b"20010203040506\nexample.org. 60 IN A 192.0.2.1\n", b"HTTP-like but not, " * 9
+    page = lambda v, i: archives.arc_record(v, f"http://x/{i}", i, b"p" * 150, "f", 0, archives.stamp_after(i))
+    for v in (1, 2):
+        records = [archives.arc_head(v, f"{v}.arc"), archives.arc_block(v, "dns:example.org", "text/dns", answer, "f", 0), page(v, v), archives.arc_block(v, "http://x/raw", "application/x", odd, "f", 0), archives.arc_block(v, "http://x/raw", "application/x", odd, "f", 0)]
+        (tmp_path / f"{v}.arc.gz").write_bytes(b"".join(map(archives._member, records)))
+    arcs = spark.createDataFrame([(f"file://{tmp_path}/{v}.arc.gz", v, 4) for v in (1, 2)], "arc_path string, version int, records long")
+    warcs = archives.convert(arcs, f"file://{tmp_path}")
+    got = archives.read_warcs(warcs).collect()
+    assert Counter((r.record_type, r.target_uri) for r in got) == Counter({("resource", "dns:example.org"): 2, ("resource", "http://x/raw"): 4, ("response", "http://x/1"): 1, ("revisit", "http://x/2"): 1})
+    assert {r.warc_date for r in got if r.target_uri == "http://x/2"} == {"2001-02-03T04:05:08Z"} and len({r.record_id for r in got}) == 8
+    assert {r.payload_digest for r in got if r.target_uri.startswith("dns")} == {hashlib.sha256(answer).hexdigest()}
+    # Every record is a member of its own, and the first one tells of the file.
+    raw = open(warcs.first().warc_path.removeprefix("file://"), "rb").read()
+    one = [dict(archives.parse_warc(m).__next__()[0]) for m in archives.members(raw)]
+    assert len(one) == 5 and one[0]["WARC-Type"] == "warcinfo" and one[0]["Content-Type"] == "application/warc-fields" and one[1]["Content-Type"] == "text/dns"
+
+
 # --- 9 ---
 
 
