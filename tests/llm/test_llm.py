@@ -300,7 +300,7 @@ def test_near_duplicates(docs, rows, nothing):
     for i, g in enumerate(group):
         named[g].append(rows[i][0])
     want = Counter((rows[i][0], min((x for x in named[g] if x is not None), default=None), sum(map(bool, link[i]))) for i, g in enumerate(group))
-    got, _ = near_duplicates.near_duplicates(docs)
+    got = near_duplicates.near_duplicates(docs)[0]
     got = got.collect()
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == want
     assert sum(r["first"] for r in got) == len(named)
@@ -324,6 +324,37 @@ def test_a_large_group_in_blocks(spark, monkeypatch):
     assert {x.doc_id: x.n_links for x in got} == want and len({x.class_id for x in got}) < 70
 
 
+def brute_links(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(WORD.findall, texts)]
+    return {i: {j for j, b in enumerate(sets) if i != j and 5 * len(a & b) >= 4 * len(a | b)} for i, a in enumerate(sets)}
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_a_chain_is_verified_bucket_by_bucket_and_a_dense_group_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    r = random.Random(14)
+    w = [f"v{r.randrange(10**6)}" for _ in range(460)]
+    chain = [" ".join(w[3 * i : 3 * i + 60]) for i in range(130)]  # each like its next ones alone, all in one component
+    base = [f"u{r.randrange(10**6)}" for _ in range(300)]
+    dense = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(120)]
+    texts = chain + dense
+    want = brute_links(texts)
+    got = {x.doc_id: x for x in near_duplicates.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))[0].collect()}
+    assert {i: x.n_links for i, x in got.items()} == {i: len(x) for i, x in want.items()}
+    assert {x.class_id for x in got.values()} == {0, 130}
+
+
+def test_classes_with_many_near_links_close_early(spark, monkeypatch):
+    seen = []
+    keep = near_duplicates._groups_of
+    monkeypatch.setattr(near_duplicates, "_groups_of", lambda comps, classes, closed, *a: seen.append(closed and closed.count()) or keep(comps, classes, closed, *a))
+    r = random.Random(15)
+    base = [f"u{r.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(40)] + [prose(r, 80) for _ in range(20)]
+    near_duplicates.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))[0].count()
+    assert seen == [None, 40]
+
+
 def test_prefix_is_shortened_to_the_recall():
     assert near_duplicates.depth_for(0.8, 24, 6, 0.9999) == 5 and near_duplicates.depth_for(0.8, 24, 6, 0.5) == 6
 
