@@ -9,11 +9,15 @@ estimate and half the product of its children's, and the share of its own half
 is its weight when it predicts. A context that training never saw adds nothing.
 
 Work is divided like this. Chunks of documents count their own (depth + 1)-grams
-of bytes; totals add up all training documents. Longer contexts live with their
-two nearest bytes in one partition; what those add up to for contexts of one
-byte and none is at most 65,280 rows, which the driver weighs and gives back.
-Each chunk then gets the log-probability of each of its grams and sums up its
-documents. Nothing is sampled, and no table of the corpus is broadcast.
+of bytes; totals add up all training documents. Grams are dealt by their three
+nearest bytes and sorted by them; a task streams them, and holds some such
+triples at a time. What contexts of three bytes add up to for those of two is a
+partial sum for each triple, so a very common pair of bytes is dealt to as many
+tasks as it has triples; the pairs' nodes go back to each of their triples. What
+pairs add up to for contexts of one byte and none is at most 65,280 rows, which
+the driver weighs and gives back. Each chunk then gets the log-probability of
+each of its grams and sums up its documents. Nothing is sampled, and no table
+of the corpus is broadcast.
 
 The base score counts words: add-one estimates of all training tokens.
 
@@ -33,13 +37,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linefacts.llm._chunks import into_chunks, read_chunk
+from linefacts.llm._chunks import by_chunk, chunk_count, into_chunks, read_chunk
 from linefacts.llm._hash import Lookup, U, buffer_of, lanes, word_hashes, words_of
 from linefacts.llm._shared import trim, written
 
-DEPTH = 4
+DEPTH = 5
 CHUNK = 24 << 20
 BLOCK = 2 << 20
+#: Contexts of so many bytes and more are weighed where their triple is; grams that a task weighs at a time.
+LOW, GRAMS = 3, 1 << 18
 WORD, GRAM, TOLD = 0, 1, 2
 
 
@@ -153,9 +159,9 @@ class Nodes:
 
 
 def tree(grams: np.ndarray, n: np.ndarray, depth: int) -> list[tuple[Nodes, np.ndarray, np.ndarray]]:
-    """(nodes, log weighted probability, share) of the contexts of 2 to ``depth`` bytes; the longest first."""
+    """(nodes, log weighted probability, share) of the contexts of ``LOW`` to ``depth`` bytes; the longest first."""
     out, below = [], None
-    for d in range(depth, 1, -1):
+    for d in range(depth, LOW - 1, -1):
         nodes = Nodes(grams, n, d, depth)
         if below is None:
             logs = log_kt(nodes.n0, nodes.n1)
@@ -172,8 +178,8 @@ def _kt(n0, n1, bit):
     return (np.where(bit, n1, n0) + 0.5) / (n0 + n1 + 1.0)
 
 
-def gram_logs(grams: np.ndarray, n: np.ndarray, top: dict[str, np.ndarray], depth: int) -> np.ndarray:
-    """log10 of the probability of each gram's last byte after its others."""
+def gram_logs(grams: np.ndarray, n: np.ndarray, own: np.ndarray, pairs: np.ndarray, top: dict[str, np.ndarray], depth: int) -> np.ndarray:
+    """log10 of the probability of each gram's last byte after its others. pairs: (n0, n1, share) of 256 nodes for some pairs of bytes; ``own``: which of them a gram has."""
     p = seen = None
     for nodes, _, share in tree(grams, n, depth):
         n0, n1 = nodes.n0[nodes.node], nodes.n1[nodes.node]
@@ -185,7 +191,7 @@ def gram_logs(grams: np.ndarray, n: np.ndarray, top: dict[str, np.ndarray], dept
     x = ((grams >> U(8 * depth)) & U(255)).astype(np.int64)
     near = ((grams >> U(8 * (depth - 1))) & U(255)).astype(np.int64)
     node = np.stack([(1 << j) | (x >> (8 - j)) for j in range(8)])
-    for n0, n1, w in ((top["n0"][near, node], top["n1"][near, node], top["share"][near, node]), (top["r0"][node], top["r1"][node], top["root"][node])):
+    for n0, n1, w in ((pairs[0][own, node], pairs[1][own, node], pairs[2][own, node]), (top["n0"][near, node], top["n1"][near, node], top["share"][near, node]), (top["r0"][node], top["r1"][node], top["root"][node])):
         kt = _kt(n0, n1, bit)
         p = np.where(seen, w * kt + (1 - w) * p, kt)
         seen = n0 + n1 > 0
@@ -199,6 +205,30 @@ def _table(batches: Iterator):
     return pa.Table.from_batches(held).combine_chunks() if held else None
 
 
+def _streamed(batches: Iterator, by: str, size: int) -> Iterator:
+    """Tables of whole runs of equal ``by``, of about ``size`` rows; runs come one after another."""
+    import pyarrow as pa
+
+    held, rows = [], 0
+    for b in batches:
+        at = 0
+        if rows + b.num_rows > size and b.num_rows:
+            key = b.column(by).to_numpy()
+            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+            if held and held[-1].column(by)[-1].as_py() != key[0].item():
+                cuts = np.append(0, cuts)
+            for c in cuts.tolist():
+                if rows + c - at >= size or c == cuts[-1]:
+                    held.append(b.slice(at, c - at))
+                    if (t := pa.Table.from_batches(held)).num_rows:
+                        yield t.combine_chunks()
+                    held, rows, at = [], 0, c
+        held.append(b.slice(at))
+        rows += b.num_rows - at
+    if held and rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _totals(rows: DataFrame) -> DataFrame:
     """For each word that more than one chunk has: its total, for each such chunk. And, with chunk -1, how many training words a partition has."""
 
@@ -230,29 +260,52 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
 
     rows, root = into_chunks(docs.select(key, text), survey, "kind int, key long, n long", "counts", text, CHUNK)
     told = rows.where(F.col("kind") == TOLD).agg(F.sum("key"), F.sum("n")).first()
-    tokens, ends = int(told[0] or 0), int(told[1] or 0)
+    tokens, ends, chunks = int(told[0] or 0), int(told[1] or 0), chunk_count(rows.where(F.col("kind") == TOLD))
 
     words = written(_totals(rows.where(F.col("kind") == WORD)), "words")
     distinct = int(words.where("chunk = -1").agg(F.sum("value")).first()[0] or 0) + (ends > 0)
 
     grams = written(rows.where(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    near = F.shiftright("key", 8 * (depth - 2)).bitwiseAND(F.lit(0xFFFF))
+    triple = F.shiftright("key", 8 * (depth - LOW)).bitwiseAND(F.lit(0xFFFFFF)).cast("int")
 
     def upward(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        t = _table(batches)
-        if t is None:
-            return
-        g, n = t.column("key").to_numpy().view(U), t.column("n").to_numpy()
-        nodes, logs, _ = tree(g, n, depth)[-1]
-        # (the nearest byte, node) of each node of two-byte contexts
-        node, first = (nodes.keys & U(255)).astype(np.int64), ((nodes.keys >> U(16)) & U(255)).astype(np.int64)
-        to, back = np.unique(first * 256 + node, return_inverse=True)
-        yield from pa.table({"node": to, "logs": np.bincount(back, logs), "n0": np.bincount(back, nodes.n0), "n1": np.bincount(back, nodes.n1)}).to_batches()
-
-    placed = grams.repartition(near)
-    up = placed.mapInArrow(upward, "node long, logs double, n0 double, n1 double").groupBy("node").agg(F.sum("logs"), F.sum("n0"), F.sum("n1")).collect()  # 65,280 rows at most
+        held, found = [], 0
+
+        def told():
+            to, back = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            sums = [np.bincount(back, np.concatenate([h[k] for h in held])) for k in (1, 2, 3)]
+            return pa.RecordBatch.from_pydict(dict(zip(("node", "logs", "n0", "n1"), (to, *sums))))
+
+        for t in _streamed(batches, "triple", GRAMS):
+            nodes, logs, _ = tree(t.column("key").to_numpy().view(U), t.column("n").to_numpy(), depth)[-1]
+            # (the two nearest bytes, node) of each node of three-byte contexts
+            node, pair_ = (nodes.keys & U(255)).astype(np.int64), (nodes.keys >> U(16)).astype(np.int64)
+            to, back = np.unique(pair_ * 256 + node, return_inverse=True)
+            held.append((to, np.bincount(back, logs), np.bincount(back, nodes.n0), np.bincount(back, nodes.n1)))
+            found += len(to)
+            if found > GRAMS:
+                yield told()
+                held, found = [], 0
+        if held:
+            yield told()
+
+    placed = grams.withColumn("triple", triple)
+    sums = placed.repartition("triple").sortWithinPartitions("triple").mapInArrow(upward, "node long, logs double, n0 double, n1 double").groupBy("node").agg(*(F.sum(c).alias(c) for c in ("logs", "n0", "n1")))
+
+    def weighed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            n0, n1 = b.column("n0").to_numpy(), b.column("n1").to_numpy()
+            logs, share = weigh(n0, n1, b.column("logs").to_numpy())
+            node = b.column("node").to_numpy()
+            yield pa.RecordBatch.from_pydict({"pair": (node >> 8).astype(np.int32), "node": node & 255, "logs": logs, "n0": n0, "n1": n1, "share": share})
+
+    pairs = written(sums.mapInArrow(weighed, "pair int, node long, logs double, n0 double, n1 double, share double"), "pairs")
+    first = (F.shiftright("pair", 8) * 256 + F.col("node")).alias("node")
+    up = pairs.groupBy(first).agg(F.sum("logs"), F.sum("n0"), F.sum("n1")).collect()  # 65,280 rows at most
     top = {k: np.zeros((256, 256)) for k in ("logs", "n0", "n1")}
     for node, logs, n0, n1 in up:
         top["logs"].flat[node], top["n0"].flat[node], top["n1"].flat[node] = logs, n0, n1
@@ -260,15 +313,30 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
     top["r0"], top["r1"] = top["n0"].sum(axis=0), top["n1"].sum(axis=0)
     _, top["root"] = weigh(top["r0"], top["r1"], one.sum(axis=0))
 
+    # A pair's nodes, 255 at most, for each of its triples: the first row of the triple.
+    told = pairs.groupBy("pair").agg(F.flatten(F.collect_list(F.array(F.col("node").cast("double"), "n0", "n1", "share"))).alias("nodes"))
+    heads = placed.select("triple").distinct().withColumn("pair", F.shiftright("triple", 8)).join(told, "pair")
+    both = placed.select("triple", "key", "n", F.lit(None).cast("int").alias("pair"), F.lit(None).cast("array<double>").alias("nodes")).unionByName(heads.select("triple", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("n"), "pair", "nodes"))
+
     def downward(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        t = _table(batches)
-        if t is not None:
-            g = t.column("key").to_numpy().view(U)
-            yield from pa.table({"key": t.column("key"), "value": gram_logs(g, t.column("n").to_numpy(), top, depth)}).to_batches(max_chunksize=200_000)
-
-    model = placed.mapInArrow(downward, "key long, value double")
+        for t in _streamed(batches, "triple", GRAMS):
+            own, head = t.column("triple").to_numpy(), t.column("nodes").is_valid().to_numpy()
+            seen = np.unique(own[head] >> 8)
+            pairs = np.zeros((3, len(seen), 256))
+            done: set[int] = set()
+            for p, nodes in zip((own[head] >> 8).tolist(), t.column("nodes").filter(t.column("nodes").is_valid())):
+                if p not in done:
+                    done.add(p)
+                    x = nodes.values.to_numpy().reshape(-1, 4)
+                    pairs[:, np.searchsorted(seen, p), x[:, 0].astype(np.int64)] = x[:, 1:].T
+            g = t.column("key").to_numpy()[~head]
+            n = t.column("n").to_numpy()[~head]
+            value = gram_logs(g.view(U), n, np.searchsorted(seen, own[~head] >> 8), pairs, top, depth)
+            yield from pa.table({"key": g, "value": value}).to_batches(max_chunksize=200_000)
+
+    model = both.repartition("triple").sortWithinPartitions("triple").mapInArrow(downward, "key long, value double")
     asked = rows.where(F.col("kind") == GRAM).select("chunk", "key").join(model, "key").select("chunk", F.lit(GRAM).alias("kind"), "key", "value")
     known = words.where("chunk <> -1").select("chunk", F.lit(WORD).alias("kind"), "key", "value")
     every = rows.where(F.col("kind") == TOLD).select("chunk", F.lit(TOLD).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("value"))
@@ -309,7 +377,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return asked.unionByName(known).unionByName(every).groupBy("chunk").applyInArrow(score, schema)
+    return by_chunk(asked.unionByName(known).unionByName(every), chunks).applyInArrow(score, schema)
 
 
 def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
