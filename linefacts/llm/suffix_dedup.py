@@ -19,8 +19,14 @@ buckets are refined in three rounds, each of which drops what has become alone:
    members. Windows that share a bucket at the end repeat.
 
 Texts stay in chunk files. A row stands for all equal runs of a chunk, so a
-passage that very many documents share is a row a chunk. A bucket with more
-than ``HOT`` different runs is dealt out by window instead of by anchor.
+passage that very many documents share is a row a chunk, and those meet in
+partial sums. A bucket with more than ``HOT`` different runs is dealt out by
+window instead of by anchor, so a task of round 3 holds at most about ``TASK``
+bytes and one bucket. Anchors and names are 64-bit hashes: windows count as
+settled if two such names agree (128 bits), and runs at edges are compared
+byte by byte. Pointers are renewed between the passes of a refinement, not
+inside one: a pointer that had run ahead of its pass would stand for more bytes
+than a window has, and tell equal windows apart.
 
 Cases: null text is empty. Matches don't cross documents; repeated rows are
 documents of their own (and so repeat each other). Texts shorter than a window
@@ -36,7 +42,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linefacts.llm._chunks import into_chunks, read_chunk
+from linefacts.llm._chunks import by_chunk, chunk_count, into_chunks, read_chunk
 from linefacts.llm._hash import U, buffer_of, lanes, mix, pair
 from linefacts.llm._shared import trim, written
 
@@ -117,41 +123,21 @@ SETTLED, OPEN, SAMPLE = 1, 2, 3
 
 
 def _verdicts(rows: DataFrame) -> DataFrame:
-    """(chunk, anchor, name, verdict, hot) of the runs that aren't alone."""
+    """(chunk, anchor, name, verdict, hot) of the runs that aren't alone.
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        held = list(batches)
-        if not held:
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
-        r = {c: t.column(c).to_numpy() for c in ("chunk", "anchor", "name", "n", "tie")}
-        order, begin = _sorted_runs(r)
-        if not len(order):
-            return
-        sub = np.zeros(len(order), np.int64)
-        sub[begin] = 1
-        sub = np.cumsum(sub) - 1  # the sub-bucket of each row in order
-        a = r["anchor"][order]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = a[1:] != a[:-1]
-        bucket = np.cumsum(fresh) - 1
-        n, tie = r["n"][order].astype(np.int64), r["tie"][order]
-        sub_n = np.bincount(sub, n)
-        of = bucket[begin]  # a sub-bucket's bucket
-        settled = sub_n >= 2
-        any_tie = np.bincount(bucket, tie) > 0
-        alive = (np.bincount(bucket, n) >= 2) | any_tie
-        open_ = np.bincount(of, ~settled) > 0
-        hot = np.bincount(of) > HOT
-        first = np.zeros(len(order), bool)
-        first[begin] = True
-        verdict = np.where(settled[sub], np.where(first & open_[bucket], SAMPLE, SETTLED), OPEN)
-        keep = alive[bucket]
-        yield from pa.table({"chunk": r["chunk"][order][keep], "anchor": a[keep], "name": r["name"][order][keep], "verdict": verdict[keep].astype(np.int32), "hot": hot[bucket][keep]}).to_batches(max_chunksize=100_000)
-
-    return rows.where("n > 0").repartition("anchor").mapInArrow(run, "chunk long, anchor long, name long, verdict int, hot boolean")
+    In two stages of partial sums, so that no task holds a bucket: anchors that
+    occur twice; then their sub-buckets, whatever the number of chunks that have
+    each; then what a bucket's sub-buckets say together.
+    """
+    runs = rows.where("n > 0")
+    alive = runs.groupBy("anchor").agg(F.sum("n").alias("n"), F.bool_or("tie").alias("tie")).where("n > 1 OR tie")
+    held = written(runs.join(written(alive.select("anchor"), "anchors"), "anchor").select("chunk", "anchor", "name", "n"), "runs")
+    subs = written(held.groupBy("anchor", "name").agg(F.sum("n").alias("n"), F.min("chunk").alias("first")), "sub-buckets")
+    buckets = subs.groupBy("anchor").agg(F.bool_or(F.col("n") < 2).alias("open"), (F.count(F.lit(1)) > HOT).alias("hot"))
+    told = subs.join(buckets, "anchor").select("anchor", "name", "first", (F.col("n") >= 2).alias("settled"), "open", "hot")
+    sample = F.col("open") & (F.col("chunk") == F.col("first"))
+    verdict = F.when(F.col("settled"), F.when(sample, SAMPLE).otherwise(SETTLED)).otherwise(OPEN)
+    return held.join(told, ["anchor", "name"]).select("chunk", "anchor", "name", verdict.cast("int").alias("verdict"), "hot")
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,8 +211,8 @@ def _settle(rows: DataFrame, length: int) -> DataFrame:
     return rows.repartition(parts, "key").mapInArrow(run, "chunk long, at long, start long, end long")
 
 
-def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, q: int = Q) -> tuple[DataFrame, str]:
-    """(ranges, root of the chunks): chunk, at, start, end of what repeats, and one row with ``at`` -1 for each chunk."""
+def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, q: int = Q) -> tuple[DataFrame, str, int]:
+    """(ranges, root of the chunks, about how many): chunk, at, start, end of what repeats, and one row with ``at`` -1 for each chunk."""
 
     def survey(table):
         data, edges = buffer_of(table.column(text).cast("binary").to_pylist())
@@ -275,10 +261,11 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, q: int =
         trim()
         return pa.concat_tables(out)
 
-    told = written(_verdicts(rows).groupBy("chunk").applyInArrow(expand, "chunk long, at long, start long, end long, key long, bytes binary"), "open-runs")
+    chunks = chunk_count(rows)
+    told = written(by_chunk(_verdicts(rows), chunks).applyInArrow(expand, "chunk long, at long, start long, end long, key long, bytes binary"), "open-runs")
     found = told.where("bytes IS NULL").select("chunk", "at", "start", "end").unionByName(_settle(told.where("bytes IS NOT NULL"), length))
-    chunks = rows.where("n = 0").select("chunk", F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
-    return found.unionByName(chunks), root
+    every = rows.where("n = 0").select("chunk", F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
+    return found.unionByName(every), root, chunks
 
 
 def _cut(table, root: str, columns: list[str] | None, text: str):
@@ -305,7 +292,7 @@ def without(raw: bytes, ranges: list[tuple[int, int]]) -> bytes:
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """What is removed from each document, with the ranges."""
-    found, root = repeats(docs, text, **how)
+    found, root, chunks = repeats(docs, text, **how)
 
     def tell(table):
         import pyarrow as pa
@@ -320,12 +307,12 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
             "spans": pa.array([[y for x in r for y in x] for r in ranges], pa.list_(pa.int64())),
         })
 
-    return found.groupBy("chunk").applyInArrow(tell, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    return by_chunk(found, chunks).applyInArrow(tell, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """The documents without what repeats, with all their columns; half characters at a cut go too. n_chars follows the text."""
-    found, root = repeats(docs, text, **how)
+    found, root, chunks = repeats(docs, text, **how)
     names, schema = docs.columns, docs.schema
 
     def cut(table):
@@ -338,7 +325,7 @@ def deduplicated(docs: DataFrame, text: str = "text", **how) -> DataFrame:
             out["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
         return pa.table(out)
 
-    return found.groupBy("chunk").applyInArrow(cut, schema)
+    return by_chunk(found, chunks).applyInArrow(cut, schema)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
