@@ -41,6 +41,10 @@ BUCKET = 200_000
 #: Bits for each key on a level.
 GAMMA = 2.0
 BATCH = 1024
+#: Bytes after which a shard ends and the next begins; shards of one task at most (far beyond what one writes).
+SHARD, ROLLS = 256 << 20, 1 << 20
+#: Documents with gaps of at most so many bytes are read at once, up to so many bytes.
+GAP, SPAN = 64 << 10, 4 << 20
 
 
 def build_mph(hashes: np.ndarray) -> dict[str, np.ndarray]:
@@ -147,8 +151,8 @@ class TokenStore:
                     f, off = files[path]
                     at = sub.column("doc").to_numpy() - sub.column("first_doc").to_numpy()
                     crc, ids = [], []
-                    for a, z in zip(off[at].tolist(), off[at + 1].tolist()):
-                        raw = np.frombuffer(f.read_at((z - a) * width, a * width), f"<u{width}").astype("<u4").tobytes()
+                    for raw in _ranges(f, off[at], off[at + 1], width):
+                        raw = np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes()
                         crc.append(zlib.crc32(raw))
                         if with_ids:
                             ids.append(raw)
@@ -160,6 +164,19 @@ class TokenStore:
         return near.mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
+def _ranges(f, start: np.ndarray, end: np.ndarray, width: int) -> Iterator[bytes]:
+    """The bytes of each range of ids, in their order; ranges that lie close together are one read."""
+    at = 0
+    while at < len(start):
+        a, z, to = int(start[at]), int(end[at]), at + 1
+        while to < len(start) and a <= int(start[to]) <= z + GAP // width and (int(end[to]) - a) * width <= SPAN:
+            z, to = max(z, int(end[to])), to + 1
+        raw = f.read_at((z - a) * width, a * width)
+        for x, y in zip(start[at:to].tolist(), end[at:to].tolist()):
+            yield raw[(x - a) * width : (y - a) * width]
+        at = to
+
+
 def _by_path(batch):
     import pyarrow as pa
 
@@ -202,15 +219,19 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_i
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        shard, mark = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
-        names = f"{root}/ids-{shard:06d}-{mark}.bin", f"{root}/off-{shard:06d}-{mark}.bin"
+        shard, mark = TaskContext.get().partitionId() * ROLLS, uuid.uuid4().hex[:12]
+        path = lambda what: f"{root}/{what}-{shard:012d}-{mark}.bin"
         encode, end, out, at, place, offsets = encoder(vocabulary), np.array([end_id], f"<u{width}").tobytes(), None, 0, 0, [np.zeros(1, "<u8")]
         for b in batches:
             for i in range(0, b.num_rows, BATCH):
                 part = b.slice(i, BATCH)
                 ids = encode(part.column("text").cast("binary").to_pylist())
+                if at * width >= SHARD:  # the range goes on in the next shard
+                    out.close()
+                    _save(path("off"), np.concatenate(offsets).tobytes())
+                    shard, out, at, place, offsets = shard + 1, None, 0, 0, [np.zeros(1, "<u8")]
                 if out is None:
-                    fs, p = filesystem(names[0])
+                    fs, p = filesystem(path("ids"))
                     fs.create_dir(p.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(p)
                 for raw in ids:
@@ -219,11 +240,11 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_i
                 n = np.array([len(x) // 4 + 1 for x in ids], np.int64)
                 ends = at + np.cumsum(n)
                 offsets.append(ends.astype("<u8"))
-                yield pa.RecordBatch.from_pydict({"shard": np.full(len(ids), shard, np.int64), "ids_path": [names[0]] * len(ids), "off_path": [names[1]] * len(ids), "key": part.column("key"), "at": np.arange(place, place + len(ids)), "n_tokens": n})
+                yield pa.RecordBatch.from_pydict({"shard": np.full(len(ids), shard, np.int64), "ids_path": [path("ids")] * len(ids), "off_path": [path("off")] * len(ids), "key": part.column("key"), "at": np.arange(place, place + len(ids)), "n_tokens": n})
                 at, place = int(ends[-1]), place + len(ids)
         if out is not None:
             out.close()
-            _save(names[1], np.concatenate(offsets).tobytes())
+            _save(path("off"), np.concatenate(offsets).tobytes())
 
     told = written(rows.mapInArrow(write, "shard long, ids_path string, off_path string, key long, at long, n_tokens long"), "token-rows")
     # A row for each shard; the driver adds them up.
