@@ -18,7 +18,8 @@ Cases: null text is empty. A text of fewer than k tokens has one element, all
 its tokens; one without tokens has none, and the fingerprint ``""``. Rows with
 the same doc_id and text count as one document in the order of documents (each
 row still gets its result); rows that share a doc_id alone are ordered by a
-hash of their texts. Null doc_ids come first. A sole document follows itself.
+hash of their texts. Null doc_ids come first. Of a text of more than 16 million
+tokens, those that share a place are ordered by their hashes. A sole document follows itself.
 No rows: no rows. Other columns are ignored.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from linefacts.llm._shared import written
 
 K, PARTS, LEAST = 3, 64, 2
-#: Bits: 6 of the range, 33 of the hash within it, 24 of the place. A text has up to 16 million tokens told apart by place.
+#: Bits: 6 of the range, 33 of the hash within it, 24 of the place.
 PLACE = 24
 #: Characters that are tokens by themselves.
 ALONE = r"([぀-ヿ㐀-鿿가-힯])"
@@ -46,10 +47,16 @@ def kmers(words: Column, k: int = K) -> Column:
     last = F.greatest(F.size(words) - k, F.lit(0))
     at = F.when(F.size(words) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
+    n = F.size(words)
+
+    def place(i: Column) -> Column:
+        # Of a text with more places than there are numbers, neighbours share one: the order stays.
+        return F.when(n <= 1 << PLACE, i.cast("long")).otherwise(F.floor(i.cast("long") * (1 << PLACE) / n))
+
     def one(i: Column) -> Column:
         # get() gives null past the end; the hash skips nulls, and no other k-mer of the text is that short.
         h = F.xxhash64(*(F.get(words, i + j) for j in range(k)))
-        return F.shiftleft(F.shiftrightunsigned(h, 25), PLACE).bitwiseOR((i % (1 << PLACE)).cast("long"))
+        return F.shiftleft(F.shiftrightunsigned(h, 25), PLACE).bitwiseOR(place(i))
 
     return F.transform(at, one)
 
