@@ -4,17 +4,15 @@ Base rules look at one document: how many words it has, and how many stand in
 a three-word window that the document has twice or more.
 
 Line frequency looks at all documents of a host: each line with a word is
-normalised (its words joined by single spaces, A-Z lower-cased) and hashed;
-a line that more distinct documents of the host hold than
-``max(least, share * documents of the host)`` is boilerplate and is removed
-from every document but the first that has it, so no text is lost altogether.
-Documents with equal texts count as one, so copies make no boilerplate of
-their own lines. A document that keeps less than ``left`` of its words this
-way is depleted and rejected.
+normalised (its words joined by single spaces, A-Z lower-cased) and hashed; a
+line that more than ``limit`` distinct documents of the host hold is boilerplate,
+however large the host, and is removed from all of them. Documents with equal
+texts are one document, so that copies make no boilerplate of their own lines
+(the README has figures). A document that keeps less than ``left`` of its words
+this way is depleted and rejected.
 
 Cases: null text has no words (and fails the base rule). Null host is a host of
-its own. Repeated rows are judged alike; the first document of a line is the
-one with the smallest doc_id (nulls last), and all rows with that doc_id are.
+its own. Repeated rows are judged alike and count once.
 No rows: no rows. Columns of other names are carried only by ``cleaned``.
 """
 
@@ -26,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linefacts.llm._chunks import into_chunks, read_chunk
+from linefacts.llm._chunks import by_chunk, chunk_count, into_chunks, read_chunk
 
 LEAST_WORDS = 50
 REPEATED = 50  # per cent of the words
-LEAST, SHARE, LEFT = 10, 0.1, 0.5
+LIMIT, LEFT = 10, 0.5
 #: The symbols counted, and white space.
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
@@ -89,16 +87,13 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     return into_chunks(docs, run, f"at long, doc_id long, host string, {BASE}, digest long, lines array<long>, sizes array<int>", "quality", text)
 
 
-def judged(rows: DataFrame, least: int = LEAST, share: float = SHARE, left: float = LEFT) -> DataFrame:
+def judged(rows: DataFrame, limit: int = LIMIT, left: float = LEFT) -> DataFrame:
     """``measured`` rows with ``base_failed``, ``removed`` (hashes of the lines to remove), ``n_removed_words`` and ``kept``."""
-    size = rows.groupBy("host", "digest").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    each = rows.select("host", "digest", "doc_id", F.explode(F.array_distinct("lines")).alias("line"))
-    # Partial sums by (host, line, text) before (host, line): a line of very many copies is few rows.
-    texts = each.groupBy("host", "line", "digest").agg(F.min("doc_id").alias("first"))
-    lines = texts.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).where(F.col("n") > least)
-    over = lines.alias("l").join(size.alias("s"), F.col("l.host").eqNullSafe(F.col("s.host"))).where(F.col("n") > F.greatest(F.lit(float(least)), F.lit(share) * F.col("docs"))).select("l.host", "l.line", "l.first")
-    held = rows.select("chunk", "at", "host", "doc_id", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("chunk", "at", "host", "doc_id", F.col("x.lines").alias("line"), F.col("x.sizes").alias("words"))
-    hit = held.alias("h").join(over.alias("o"), (F.col("h.line") == F.col("o.line")) & F.col("h.host").eqNullSafe(F.col("o.host")) & ~F.col("h.doc_id").eqNullSafe(F.col("o.first")))
+    each = rows.select("host", "digest", F.explode(F.array_distinct("lines")).alias("line"))
+    # Distinct (host, line, text) before (host, line): a line of very many copies is few rows.
+    over = each.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("host", "line")
+    held = rows.select("chunk", "at", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("chunk", "at", "host", F.col("x.lines").alias("line"), F.col("x.sizes").alias("words"))
+    hit = held.alias("h").join(over.alias("o"), (F.col("h.line") == F.col("o.line")) & F.col("h.host").eqNullSafe(F.col("o.host")))
     gone = hit.groupBy("h.chunk", "h.at").agg(F.sum("h.words").alias("n_removed_words"), F.collect_set("h.line").alias("removed"))
     out = rows.drop("lines", "sizes", "digest").join(gone, ["chunk", "at"], "left")
     gone_words = F.coalesce("n_removed_words", F.lit(0).cast("long"))
@@ -110,6 +105,7 @@ def judged(rows: DataFrame, least: int = LEAST, share: float = SHARE, left: floa
 def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
     """The documents that pass, with all their columns, without the lines that are above the limit."""
     rows, root = measured(docs, key, text, host)
+    chunks = chunk_count(rows)
     verdict = judged(rows, **limits).where("kept").select("chunk", "at", "removed")
     names = docs.columns
 
@@ -127,7 +123,7 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
             out["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
         return pa.table(out)
 
-    return verdict.groupBy("chunk").applyInArrow(cut, docs.schema)
+    return by_chunk(verdict, chunks).applyInArrow(cut, docs.schema)
 
 
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,14 +148,12 @@ WITH d AS (
   SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1
 ), rep AS (
   SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id
-), hosts AS (
-  SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source
 ), freq AS (
-  SELECT source, norm, count(DISTINCT t) AS n, min(doc_id) AS first FROM held GROUP BY source, norm
+  SELECT source, norm, count(DISTINCT t) AS n FROM held GROUP BY source, norm
 ), over_ AS (
-  SELECT f.* FROM freq f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 10 AND f.n > 0.1 * h.docs
+  SELECT * FROM freq WHERE n > 10
 ), gone AS (
-  SELECT h.doc_id, sum(h.nw) AS n FROM held h JOIN over_ o ON h.source IS NOT DISTINCT FROM o.source AND h.norm = o.norm AND h.doc_id <> o.first GROUP BY h.doc_id
+  SELECT h.doc_id, sum(h.nw) AS n FROM held h JOIN over_ o ON h.source IS NOT DISTINCT FROM o.source AND h.norm = o.norm GROUP BY h.doc_id
 ), base AS (
   SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(length(array_to_string(d.w, '')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(d.t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
