@@ -2,10 +2,12 @@
 
 1. Voters. All labelled training rows count words and word beginnings; each that
    toxic rows hold more often, by the likelihood-ratio statistic with a bound
-   for the number of candidates and by ``RATIO`` at any size, becomes a lexicon
-   voter (a word) or a pattern voter (words that begin so). Of forms that begin
-   alike and stand in the same rows, one votes. A few fixed pattern voters look
-   at style.
+   for the number of candidates and by a ratio of rates, becomes a lexicon voter
+   (a word) or a pattern voter (words that begin so). The ratio is the one of
+   ``RATIOS`` that does best (by F1) when terms of either half of the training
+   rows judge the other half. Of forms that begin alike and stand in the same
+   rows, one votes. A few fixed patterns look at style; they are features of the
+   classifier alone.
 2. Label model. Every document votes. Voters are put into blocs by their first
    letters, so that forms of a word share one; how often a voter votes, and how
    often with each bloc, is all that is counted, over all documents. Of a voter
@@ -44,8 +46,8 @@ from linefacts.llm._shared import written
 
 #: Rows, at most, of the sample that the classifier is fitted to.
 FIT = 40_000
-#: A voter is so many times likelier in toxic rows than in clean ones, at any size.
-RATIO = 100
+#: A voter is so many times likelier in toxic rows than in clean ones: cross-validation takes one of these, the first of them if nothing tells.
+RATIOS = (10.0, 30.0, 100.0, 300.0, 1000.0)
 BLOCS = 16
 #: Terms that a task counts before it hands them on.
 HELD = 1_000_000
@@ -105,45 +107,55 @@ class Voters:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of all labelled training rows."""
-    training = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1
+    """(text, toxic, half) of all labelled training rows."""
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
+    training = part != 1
     one = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & training).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # Texts are streamed past the labels of their partition, not sorted.
-    return docs.where(training).join(one.hint("shuffle_hash"), "doc_id").select("text", "toxic")
+    return docs.where(training).join(one.hint("shuffle_hash"), "doc_id").select("text", "toxic", (part / 2).cast("int").alias("half"))
 
 
-def mined(rows: DataFrame, ratio: float = RATIO) -> tuple[list[str], np.ndarray, float]:
-    """(terms of the voters, the log-likelihood ratio that labelled rows bear out for each, share of toxic rows)."""
+def term_counts(rows: DataFrame) -> DataFrame:
+    """(term, a0, b0, a1, b1): how many toxic and clean rows of either half have each term; the empty term stands for all rows."""
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         def counts():
-            names = [*(toxic.keys() | clean.keys())]
-            yield from pa.table({"term": names, "toxic": pa.array([toxic[x] for x in names], pa.int64()), "clean": pa.array([clean[x] for x in names], pa.int64())}).to_batches(max_chunksize=100_000)
+            names = list(set().union(*held))
+            columns = {c: pa.array([h[x] for x in names], pa.int64()) for c, h in zip(("a0", "b0", "a1", "b1"), held)}
+            yield from pa.table({"term": pa.array(names, pa.string())} | columns).to_batches(max_chunksize=100_000)
 
-        toxic, clean = Counter(), Counter()
+        held = [Counter() for _ in range(4)]
         for b in batches:
-            for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-                (toxic if y else clean).update(terms_of(t) | {""})
-                if len(toxic) + len(clean) > HELD:
+            for t, y, half in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "half"))):
+                held[2 * half + (not y)].update(terms_of(t) | {""})
+                if sum(map(len, held)) > HELD:
                     yield from counts()
-                    toxic, clean = Counter(), Counter()
+                    held = [Counter() for _ in range(4)]
         yield from counts()
 
-    told = written(rows.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")), "terms")
+    told = rows.mapInArrow(count, "term string, a0 long, b0 long, a1 long, b1 long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("a0", "b0", "a1", "b1")))
+    return written(told, "terms")
+
+
+def mined(told: DataFrame, halves: tuple[int, ...] = (0, 1), ratio: float = RATIOS[0]) -> tuple[list[str], np.ndarray, np.ndarray, float]:
+    """(terms of the voters, the log-likelihood ratio that the rows of these halves bear out for each, its ratio of rates, share of toxic rows)."""
+    a, b = (sum((F.col(f"{x}{h}") for h in halves), F.lit(0)).cast("double") for x in "ab")
+    told = told.select("term", a.alias("a"), b.alias("b")).where("a + b > 0")
     whole = told.where("term = ''").first()
     if whole is None or not whole.a or not whole.b:
-        return [], np.zeros(0), (0.5 if whole is None else whole.a / max(1, whole.a + whole.b))
-    ya, yb = float(whole.a), float(whole.b)
+        return [], np.zeros(0), np.zeros(0), (0.5 if whole is None else whole.a / max(1, whole.a + whole.b))
+    ya, yb = whole.a, whole.b
     limit = 2 * math.log(10.0 * max(2, told.count()))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    a, b = F.col("a"), F.col("b")
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     n, all_ = a + b, ya + yb
     g2 = 2 * (part(a, n * ya / all_) + part(b, n * yb / all_) + part(ya - a, (all_ - n) * ya / all_) + part(yb - b, (all_ - n) * yb / all_))
+    rates = (a / ya) / ((b + 0.5) / yb)
     # Of the logarithm of how much likelier a term is in toxic rows, two standard errors below the estimate are evidence.
     llr = F.log(((a + 0.5) / (ya + 1)) / ((b + 0.5) / (yb + 1))) - 2 * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    best = told.where("term <> ''").where((g2 > limit) & (a / ya > ratio * (b + 0.5) / yb)).select("term", "a", "b", llr.alias("llr")).orderBy("term").toArrow().to_pylist()
+    best = told.where("term <> ''").where((g2 > limit) & (rates > ratio)).select("term", "a", "b", llr.alias("llr"), rates.alias("rates")).orderBy("term").toArrow().to_pylist()
     stands = {r["term"]: (r["a"], r["b"]) for r in best}
 
     def repeats(t: str) -> bool:
@@ -152,7 +164,32 @@ def mined(rows: DataFrame, ratio: float = RATIO) -> tuple[list[str], np.ndarray,
         return any(stands.get(bare[:n] + "*") == stands[t] for n in STEMS if n < len(bare))
 
     kept = [r for r in best if not repeats(r["term"])]
-    return [r["term"] for r in kept], np.array([r["llr"] for r in kept]), ya / all_
+    return [r["term"] for r in kept], np.array([r["llr"] for r in kept]), np.array([r["rates"] for r in kept]), ya / all_
+
+
+def cross_validated(rows: DataFrame, told: DataFrame) -> float:
+    """The ratio whose terms, mined from one half of the training rows, best tell the toxic rows of the other; of equals the greatest."""
+    models = [mined(told, (h,)) for h in (0, 1)]
+    voters, rates = [Voters(m[0]) for m in models], [m[2] for m in models]
+    steps = np.array(RATIOS)
+
+    def judge(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        seen: Counter = Counter()
+        for b in batches:
+            for t, y, half in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "half"))):
+                votes = voters[1 - half](t)[0]
+                seen[bool(y), int((steps < rates[1 - half][votes].max()).sum()) if votes else 0] += 1
+        c = list(seen.items())
+        yield pa.RecordBatch.from_pydict({"toxic": pa.array([k[0] for k, _ in c], pa.bool_()), "passed": pa.array([k[1] for k, _ in c], pa.int32()), "n": pa.array([n for _, n in c], pa.int64())})
+
+    count = np.zeros((2, len(steps) + 1))
+    for r in rows.mapInArrow(judge, "toxic boolean, passed int, n long").groupBy("toxic", "passed").agg(F.sum("n").alias("n")).collect():  # a row for each ratio and label
+        count[int(r.toxic), r.passed] = r.n
+    hit, wrong = (count[y, ::-1].cumsum()[::-1][1:] for y in (1, 0))
+    f1 = 2 * hit / np.maximum(count[1].sum() + hit + wrong, 1)
+    return float(steps[np.flatnonzero(f1 == f1.max())[-1]]) if f1.max() > 0 else RATIOS[0]
 
 
 def flat(batch) -> tuple[np.ndarray, np.ndarray]:
@@ -255,10 +292,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit: int = FIT) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit: int = FIT, ratio: float | None = None) -> DataFrame:
+    """(doc_id, held_out, score, predicted). ``ratio``: of a term's rates in toxic and clean rows, instead of cross-validation."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    terms, llr, prior = mined(labelled(docs, labels))
+    known = labelled(docs, labels)
+    told = term_counts(known)
+    terms, llr, _, prior = mined(told, ratio=cross_validated(known, told) if ratio is None else ratio)
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     voters = Voters(terms)
 
