@@ -39,6 +39,8 @@ from linefacts.llm._shared import filesystem, new_path, written
 #: Bytes of records after which a new file begins.
 FILE = 32 << 20
 LEAST = 100
+#: Compressed bytes that are read at a time.
+STEP = 8 << 10
 #: The field lines of the two ARC versions.
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -53,14 +55,17 @@ def _member(raw: bytes) -> bytes:
 
 
 def members(raw: bytes) -> Iterator[bytes]:
-    """The contents of each gzip member."""
-    while raw:
-        d = zlib.decompressobj(31)
-        out = d.decompress(raw)
-        if not d.eof:
-            raise ValueError("gzip member cut short")
-        yield out
-        raw = d.unused_data
+    """The contents of each gzip member; a step at a time, so that the rest of the file isn't copied for each."""
+    view, at = memoryview(raw), 0
+    while at < len(view):
+        d, out = zlib.decompressobj(31), []
+        while not d.eof:
+            part = view[at : at + STEP]
+            if not part:
+                raise ValueError("gzip member cut short")
+            out.append(d.decompress(part))
+            at += len(part) - len(d.unused_data)
+        yield out[0] if len(out) == 1 else b"".join(out)
 
 
 # --- ARC ---------------------------------------------------------------------
