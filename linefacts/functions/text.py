@@ -32,7 +32,13 @@ def clamp_categories(lines: Column, blanks: Column, comments: Column, code: Colu
 
 def poisoning_sum(x: Column) -> Column:
     """Null if any value is unavailable, else the sum; 0 of nothing."""
-    return F.when(F.coalesce(F.bool_or(x.isNull()), F.lit(False)), F.lit(None)).otherwise(F.coalesce(F.sum(x), F.lit(0))).cast("long")
+    return F.when(F.coalesce(F.bool_or(x.isNull()), F.lit(False)), F.lit(None)).otherwise(F.coalesce(checked_sum(x), F.lit(0))).cast("long")
+
+
+def checked_sum(x: Column) -> Column:
+    """The sum of longs, null of nothing; one beyond 64 bits raises whatever the session's arithmetic does."""
+    total = F.sum(x.cast("decimal(20,0)"))
+    return F.when(F.abs(total) > F.lit((1 << 63) - 1).cast("decimal(30,0)"), F.raise_error(F.lit("sum beyond 64 bits"))).otherwise(total).cast("long")
 
 
 def split_features(list_: Column) -> Column:

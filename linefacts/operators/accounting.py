@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linefacts.functions.text import poisoning_sum
+from linefacts.functions.text import checked_sum, poisoning_sum
 
 MEASURES = ("files", "lines", "blanks", "comments", "code")
 
 
 def summed(facts: DataFrame, *keys: str) -> DataFrame:
-    """Checked sums (ANSI arithmetic raises on overflow); ``test`` is unavailable if any part is."""
-    sums = [F.sum(m).alias(m) for m in MEASURES] + [poisoning_sum(F.col("test")).alias("test")]
-    return facts.groupBy(*keys).agg(*sums) if keys else facts.agg(*(F.coalesce(F.sum(m), F.lit(0)).cast("long").alias(m) for m in MEASURES), sums[-1])
+    """Checked sums; ``test`` is unavailable if any part is."""
+    sums = [checked_sum(F.col(m)).alias(m) for m in MEASURES] + [poisoning_sum(F.col("test")).alias("test")]
+    return facts.groupBy(*keys).agg(*sums) if keys else facts.agg(*(F.coalesce(checked_sum(F.col(m)), F.lit(0)).alias(m) for m in MEASURES), sums[-1])
 
 
 def package_rows(rust: DataFrame, lexical: DataFrame) -> DataFrame:

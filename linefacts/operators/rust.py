@@ -59,8 +59,9 @@ def line_flags(files: DataFrame) -> DataFrame:
             rows = []
             for path, text, contexts in zip(*(b.column(c).to_pylist() for c in ("path", "text", "contexts"))):
                 source = rustlex.Source(text or "")
-                for c in contexts or ():
-                    blank, comment, code = source.line_flags(_context(c))
+                gone = source.inactive_in([_context(c) for c in contexts or ()])
+                for c, ranges in zip(contexts or (), gone):
+                    blank, comment, code = source.line_flags(_context(c), ranges)
                     rows += [(path, c["ctx_id"], not c["test"], n + 1, n in blank, n in comment, n in code) for n in sorted(blank | comment | code)]
             cols = list(zip(*rows)) or [()] * 7
             types = (pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_())

@@ -1,7 +1,8 @@
 """A source tree as a Spark data source, with ignore files honoured.
 
 One sorted walk on the driver lists paths (ignore rules depend on the
-directories above); executors read the bytes. Ignored files with the suffix in
+directories above); executors read the bytes, but only the first of a file that
+has no extension, no known name and no interpreter line. Ignored files with the suffix in
 ``KEPT`` are listed too, and marked: modules may lead to them. What can't be
 read or identified, or leads out of the root, has no bytes but a ``problem``. Directories named in STRUCTURAL
 are pruned below the root; dot-files are visible; symlinked directories aren't
@@ -20,11 +21,15 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from linefacts.functions.languages import SPECIAL_NAMES
+
 # Directories that are never part of a source tree.
 STRUCTURAL = {"target", ".git", ".hg", ".svn", ".linefacts"}
 #: Files that are listed although they are ignored.
 KEPT = ".rs"
 IGNORE_FILES = (".gitignore", ".ignore")
+#: Fixed value: bytes that are read of a file whose name tells no language.
+PROBE = 128
 #: Bytes, or files, of one read task.
 TASK_BYTES, TASK_FILES = 32 << 20, 2000
 
@@ -162,7 +167,10 @@ class TreeReader(DataSourceReader):
             else:
                 try:
                     with open(full, "rb") as f:
-                        raw = f.read()
+                        raw = f.read(PROBE)
+                        # A name that tells nothing: only a first line with an interpreter makes it a source.
+                        if "." in os.path.basename(path).lstrip(".") or os.path.basename(path).lower() in SPECIAL_NAMES or raw.startswith(b"#!"):
+                            raw += f.read()
                 except OSError as e:
                     problem, detail = "source-unreadable", f"could not read it: {e.strerror}"
             yield path, s.st_dev, s.st_ino, link, ignored, outside, s.st_size, int(s.st_mtime_ns), raw, problem, detail

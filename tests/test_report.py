@@ -56,6 +56,18 @@ def test_a_tree_with_a_package(spark, tmp_path):
     assert ledger.partition_violations(files, facts.select("identity", "files")).count() == 0
 
 
+def test_sums_beyond_64_bits_raise_whatever_the_session_says(spark):
+    rows = spark.createDataFrame([("a", 2**62, 1, 1, 1, 1, 1), ("a", 2**62, 1, 1, 1, 1, 1)], "scope string, files long, lines long, blanks long, comments long, code long, test long")
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            with pytest.raises(Exception, match="64 bits"):
+                summed(rows, "scope").collect()
+            assert summed(rows.limit(1), "scope").first().files == 2**62
+        finally:
+            spark.conf.unset("spark.sql.ansi.enabled")
+
+
 def test_tables_and_json(spark):
     rows = spark.createDataFrame([("b\tx", "Rust", 1, 3, 1, 1, 1, 0), ("b\tx", "TOML", 1, 4, 0, 0, 4, None), ("a", "C", 2, 1, 0, 0, 1, None)], "scope string, language string, files long, lines long, blanks long, comments long, code long, test long")
     lines = report.table(rows).splitlines()

@@ -97,6 +97,26 @@ def test_random_items_account_for_every_line():
         assert (f, n, blank + comment + code, test) == (1, lines, lines, 0)
 
 
+def test_contexts_at_once_agree_with_each_alone():
+    import random
+
+    r = random.Random(3)
+
+    def predicate(d):
+        k = r.choice(["o", "o", "all", "any", "not", "kv", "true"] if d else ["o", "kv"])
+        return {"o": lambda: r.choice("abc"), "kv": lambda: f'feature = "{r.choice("xy")}"', "true": lambda: r.choice(["true", "false"]), "not": lambda: f"not({predicate(d - 1)})"}.get(k, lambda: f"{k}({', '.join(predicate(d - 1) for _ in range(r.randrange(3)))})")()
+
+    def attribute(d=2):
+        k = r.choice(["cfg", "cfg", "test", "attr"] if d else ["cfg"])
+        return f"cfg({predicate(2)})" if k == "cfg" else "test" if k == "test" else f"cfg_attr({predicate(2)}, {', '.join(attribute(d - 1) for _ in range(r.randrange(1, 3)))})"
+
+    contexts = [Context(frozenset(o for o in ("a", "b", "c", ("feature", "x"), ("feature", "y")) if r.random() < 0.5), r.random() < 0.5, r.random() < 0.7) for _ in range(9)]
+    for _ in range(150):
+        body = "".join("".join(f"#[{attribute()}]\n" for _ in range(r.randrange(3))) + f"mod m{i} {{\n#[{attribute()}]\nfn f() {{}}\n}}\n" for i in range(3))
+        s = Source(body)
+        assert s.inactive_in(contexts) == [s.inactive(c) for c in contexts]
+
+
 def test_module_paths():
     text = "mod r#a; mod i { #[path = \"x.rs\"] mod p; mod q; } #[cfg_attr(all(), path = \"y/z.rs\")] mod s;"
     got = rust.declared_modules(text, "src/lib.rs", "src", PROD)

@@ -59,6 +59,6 @@ def test_captured_metadata(spark):
         cargo.run(["sleep", "5"], "waiting", timeout=0.2)
 
 
-@pytest.mark.parametrize(("text", "language", "want"), [("", "C", (0, 0, 0, 0)), ("int a; /* x */\n/* y */\n", "C", (2, 0, 1, 1)), ("s = '# no'\n# yes\n", "Python", (2, 0, 1, 1)), ("'''\n# in\n'''\n", "Python", (3, 0, 0, 3)), ("{-\n\n-}\nx\n", "Haskell", (4, 0, 3, 1))])
+@pytest.mark.parametrize(("text", "language", "want"), [("", "C", (0, 0, 0, 0)), ("int a; /* x */\n/* y */\n", "C", (2, 0, 1, 1)), ("s = '# no'\n# yes\n", "Python", (2, 0, 1, 1)), ("'''\n# in\n'''\n", "Python", (3, 0, 0, 3)), ("{-\n\n-}\nx\n", "Haskell", (4, 0, 3, 1)), ("<p>\n<script>\n// c\n\nx\n</script>\n<style lang=\"scss\">\n// s\n</style>\n", "HTML", (9, 1, 2, 6)), ("<script>x</script>\n", "HTML", (1, 0, 0, 1)), ("# t\n```rust\n// c\nfn f() {}\n\n```\n\ntext\n```\nplain\n```\n", "Markdown", (11, 2, 8, 1))])
 def test_lexical(text, language, want):
     assert lexical_counts(text.encode(), language) == want
