@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -30,8 +31,27 @@ def is_local(master: str) -> bool:
     return master == "local" or master.startswith("local[")
 
 
+#: Folders that this process has put work tables into.
+_own: set[str] = set()
+
+
 def own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/linefacts/{spark.sparkContext.applicationId}"
+    """This application's folder in the shared one. It goes when the driver's process ends, unless LINEFACTS_KEEP_WORK is set."""
+    path = f"{shared_dir(spark)}/linefacts/{spark.sparkContext.applicationId}"
+    if path not in _own and not os.environ.get("LINEFACTS_KEEP_WORK"):
+        _own.add(path)
+        jvm = spark.sparkContext._jvm
+        conf = jvm.org.apache.hadoop.conf.Configuration(spark.sparkContext._jsc.hadoopConfiguration())
+        atexit.register(_forget, jvm, conf, path)
+    return path
+
+
+def _forget(jvm, conf, path: str) -> None:
+    try:  # the JVM may be gone before us
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    except Exception:
+        pass
 
 
 def new_path(spark: SparkSession, name: str) -> str:
