@@ -758,6 +758,94 @@ def unknown_cfgs(spark, d):
     return rust.unknown_cfgs(rows, {f"p{r.n_regionkey}": known for r in n.select("n_regionkey").distinct().collect()})  # five regions
 
 
+# --- whole counts and resolutions; goldens, worked out by hand -------------------
+
+#: A workspace: a reaches into b and has an ignored module; c's package is named as a's; o.py belongs to nobody.
+WORKSPACE = {
+    "Cargo.toml": "[workspace]\nmembers = [\"a\", \"b\", \"c\"]\nresolver = \"2\"\n",
+    "a/Cargo.toml": "[package]\n",
+    "a/.gitignore": "gen.rs\n",
+    "a/src/lib.rs": "#[cfg(unix)]\nfn u() {}\n#[cfg(windows)]\nfn w() {}\n#[cfg(feature = \"x\")]\nmod x;\n#[path = \"../../b/src/shared.rs\"]\nmod shared;\nmod gen;\n",
+    "a/src/x.rs": "fn x() {}\n",
+    "a/src/gen.rs": "fn g() {}\n",
+    "b/Cargo.toml": "[package]\n",
+    "b/src/lib.rs": "mod shared;\n#[cfg(test)]\nfn t() {}\n",
+    "b/src/shared.rs": "fn s() {}\n",
+    "c/Cargo.toml": "[package]\n",
+    "c/src/lib.rs": "fn c() {}\n",
+    "o.py": "1\n2\n",
+}
+
+
+def workspace_rows(spark, *argv):
+    """Report rows of the workspace for a command line, by label."""
+    import os
+    import tempfile
+
+    from linefacts.plans import count, request
+    from linefacts.plans.configure import configure
+    from linefacts.plans.discover import discover
+    from linefacts.sources import workdir
+    from linefacts.sources.toolchain import Captured
+
+    top = workdir.new_path(spark, "workspace").removeprefix("file://").removeprefix("file:")
+    root = os.path.realpath(top if "://" not in top else tempfile.mkdtemp())
+    for path, content in WORKSPACE.items():
+        os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+        with open(f"{root}/{path}", "w") as f:
+            f.write(content)
+    package = lambda i, name, folder, features: {"id": i, "name": name, "version": "1.0.0", "edition": "2021", "manifest_path": f"{root}/{folder}/Cargo.toml", "features": features, "targets": [{"name": name, "kind": ["lib"], "crate_types": ["lib"], "src_path": f"{root}/{folder}/src/lib.rs", "edition": "2021"}]}
+    tool = Captured({"workspace_root": root, "workspace_members": ["ia", "ib", "ic"], "packages": [package("ia", "a", "a", {"x": []}), package("ib", "b", "b", {}), package("ic", "a", "c", {})]})
+    s = request.selection(request.parser().parse_args([*argv, root]))
+    configured = configure(s, discover(s, tool), tool)
+    facts_ = count.counted(spark, root, configured, s.root_files).facts
+    rows = accounting.summed(facts_, "scope", "language").join(count.scopes_of(spark, root, configured), "scope")
+    return rows.select(F.col("label").alias("scope"), "language", "files", "lines", "code", "test")
+
+
+def golden_rows(*rows: tuple) -> str:
+    return "SELECT scope, language, CAST(files AS BIGINT) AS files, CAST(lines AS BIGINT) AS lines, CAST(code AS BIGINT) AS code, CAST(test AS BIGINT) AS test FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in rows) + ") t(scope, language, files, lines, code, test)"
+
+
+@query(golden_rows(("a (a)", "Rust", 3, 9, 9, 0), ("a (a)", "TOML", 1, 1, 1, None), ("b", "Rust", 2, 4, 2, 2), ("b", "TOML", 1, 1, 1, None), ("a (c)", "Rust", 1, 1, 1, 0), ("a (c)", "TOML", 1, 1, 1, None), ("<root>", "Python", 1, 2, 2, None), ("<root>", "TOML", 1, 3, 3, None)))
+def workspace_goldens(spark, d):
+    """Every package with all features: cfg(unix) holds and cfg(windows) doesn't, ignored modules count, shared ones count where they lie."""
+    return workspace_rows(spark)
+
+
+@query(golden_rows(("a (a)", "Rust", 4, 10, 10, 0), ("a (a)", "TOML", 1, 1, 1, None), ("a (c)", "Rust", 1, 1, 1, 0), ("a (c)", "TOML", 1, 1, 1, None), ("<root>", "Python", 1, 2, 2, None), ("<root>", "TOML", 1, 3, 3, None)))
+def excluded_package_goldens(spark, d):
+    """Without b: its files are nobody's and don't count, but for the one that a alone reaches, which is a's."""
+    return workspace_rows(spark, "--workspace", "--exclude", "b")
+
+
+@query(golden_rows(("a", "Rust", 3, 7, 7, 0), ("a", "Rust (unconfigured)", 1, 1, 1, None), ("a", "TOML", 1, 1, 1, None)))
+def named_package_goldens(spark, d):
+    """The package a alone, without features, for Windows: x.rs is reached by nothing."""
+    return workspace_rows(spark, "-p", "ia", "--no-default-features", "--target", "x86_64-pc-windows-msvc")
+
+
+SIDES = ((1, "target", "build,dev,normal,unix,windows"), (1, "host", "build,dev,normal,unix,windows"), (2, "target", "dev,normal,unix"), (2, "host", "build"), (3, "target", "dev,normal,unix"), (3, "host", "build"))
+
+
+@query("SELECT CAST(resolver AS INTEGER) AS resolver, side, features FROM (VALUES " + ", ".join(map(str, SIDES)) + ") t(resolver, side, features)")
+def resolver_goldens(spark, d):
+    """A dependency that a package asks for five features in five ways, as each resolver sees it on either platform."""
+    from linefacts.plans import features
+    from linefacts.sources.toolchain import options_of_triple
+
+    ask = lambda feature, **how: {"name": "shared", "features": [feature], "uses_default_features": False, "kind": None, "target": None, **how}
+    asks = [ask("normal"), ask("dev", kind="dev"), ask("build", kind="build"), ask("unix", target="cfg(unix)"), ask("windows", target="cfg(windows)")]
+    doc = {"packages": [{"id": "app", "name": "app", "features": {}, "targets": [], "dependencies": asks}, {"id": "shared", "name": "shared", "features": {a["features"][0]: [] for a in asks}, "targets": [], "dependencies": []}]}
+    triple = "x86_64-unknown-linux-gnu"
+    sides = dict.fromkeys((features.HOST, features.TARGET), (triple, options_of_triple(triple)))
+    rows = []
+    for resolver in (1, 2, 3):
+        build = features.resolve(doc, resolver, True, {"app": set()}, sides)
+        rows += [(resolver, side, ",".join(sorted(build.features("shared", side)))) for side in (features.TARGET, features.HOST)]
+    return spark.createDataFrame(rows, "resolver int, side string, features string")
+
+
 SOURCES = (
     ("x.js", b"// c\n\nlet a = 1; // d\n", "JavaScript"),
     ("run", b"#!/usr/bin/env python3\nprint(1)\n", "Python"),

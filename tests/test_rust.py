@@ -97,6 +97,16 @@ def test_random_items_account_for_every_line():
         assert (f, n, blank + comment + code, test) == (1, lines, lines, 0)
 
 
+@pytest.mark.parametrize("bad", ["let x = 1;", "fn () {}", "struct { a: u8 }", "use a::b", "mod m", "const A: u8 = 1", "1 + 1;", "mod m { if x {} }", "fn f() {}\n;", "static S: u8 = { 1 }", "\"text\";", "mod m { fn g() {} } }", "pub fn f( {}"])
+def test_malformed_items_raise(bad):
+    with pytest.raises(RustError):
+        Source(bad)
+
+
+def test_well_formed_items_pass():
+    Source("#!/usr/bin/env x\n#![allow(x)]\npub(crate) use a::{b, c as d};\nextern crate e;\nconst fn f() {}\nconst _: () = { assert!(true); };\npub unsafe extern \"C\" fn g() {}\nextern \"C\" { fn h(); }\nunsafe impl Send for T {}\ntype T<'a> = &'a dyn Fn() -> u8;\nstatic mut S: [u8; 2] = [1; 2];\nthread_local! { static X: u8 = 1 }\ncrate::m!(a, b);\n::std::println!();\nmacro_rules! n { () => {} }\nunion U { a: u8 }\nasync fn k() {}\nauto trait A {}\npub macro q() {}\nimpl<T> Tr for T where T: Copy { const C: u8 = 1; type Y = T; fn z() { let x = if a { 1 } else { 2 }; } }\nenum E { A = 1, B { x: u8 }, C(u8) }\npub struct P<const N: usize>([u8; N]) where [u8; N]: Sized;\nmod m { #![cfg(all())] pub(super) fn i() {} }\n")
+
+
 def test_contexts_at_once_agree_with_each_alone():
     import random
 
