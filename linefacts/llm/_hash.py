@@ -75,7 +75,7 @@ class Lookup:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.levels, k, v = [], keys, values
         while len(k):
-            bits = max(8, int(4 * len(k)).bit_length())
+            bits = max(8, int(2 * len(k)).bit_length())
             at = self._at(k, len(self.levels), bits)
             held, val = np.zeros(1 << bits, U), np.zeros(1 << bits, values.dtype)
             full = np.zeros(1 << bits, bool)

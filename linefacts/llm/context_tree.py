@@ -42,8 +42,8 @@ from linefacts.llm._hash import Lookup, U, buffer_of, lanes, word_hashes, words_
 from linefacts.llm._shared import trim, written
 
 DEPTH = 5
-CHUNK = 24 << 20
-BLOCK = 2 << 20
+CHUNK = 16 << 20
+BLOCK = 1 << 20
 #: Contexts of so many bytes and more are weighed where their triple is; grams that a task weighs at a time.
 LOW, GRAMS = 3, 1 << 18
 WORD, GRAM, TOLD = 0, 1, 2
@@ -358,7 +358,9 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
             n += np.bincount(doc, minlength=len(raws))
             have += np.bincount(doc, total > 0, len(raws)).astype(np.int64)
             base += np.bincount(doc, np.log10((total + 1) / (tokens + distinct + 1)), len(raws))
+        del mine, c
         found, parts = Lookup(keys[kind == GRAM].view(U), value[kind == GRAM]), []
+        del table, kind, keys, value
         for grams, begin in blocks_of(raws, depth):
             parts.append(np.add.reduceat(found.get(grams), begin))
         model = np.concatenate(parts) if parts else np.zeros(0)
