@@ -41,8 +41,8 @@ def chunk_count(rows: DataFrame) -> int:
 
 
 def by_chunk(rows: DataFrame, chunks: int) -> GroupedData:
-    """Rows grouped by chunk, with a task for each chunk or few: the rows are small and the work is not, so their size says nothing."""
-    return rows.repartition(chunks, "chunk").groupBy("chunk")
+    """Rows grouped by chunk, with two tasks for each chunk, so that few get more than one: the rows are small and the work is not, so their size says nothing."""
+    return rows.repartition(2 * chunks, "chunk").groupBy("chunk")
 
 
 def into_chunks(docs: DataFrame, work: Callable, schema: str, name: str, text: str = "text", size: int = CHUNK) -> tuple[DataFrame, str]:
