@@ -45,6 +45,31 @@ def by_chunk(rows: DataFrame, chunks: int) -> GroupedData:
     return rows.repartition(2 * chunks, "chunk").groupBy("chunk")
 
 
+def streamed(batches: Iterator, by: str, size: int) -> Iterator:
+    """Tables of whole runs of equal ``by``, of about ``size`` rows; runs come one after another."""
+    import numpy as np
+    import pyarrow as pa
+
+    held, rows = [], 0
+    for b in batches:
+        at = 0
+        if rows + b.num_rows > size and b.num_rows:
+            key = b.column(by).to_numpy()
+            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+            if held and held[-1].column(by)[-1].as_py() != key[0].item():
+                cuts = np.append(0, cuts)
+            for c in cuts.tolist():
+                if rows + c - at >= size or c == cuts[-1]:
+                    held.append(b.slice(at, c - at))
+                    if (t := pa.Table.from_batches(held)).num_rows:
+                        yield t.combine_chunks()
+                    held, rows, at = [], 0, c
+        held.append(b.slice(at))
+        rows += b.num_rows - at
+    if held and rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def into_chunks(docs: DataFrame, work: Callable, schema: str, name: str, text: str = "text", size: int = CHUNK) -> tuple[DataFrame, str]:
     """(rows, root): what ``work`` says of each chunk's table, with the chunk's number in ``chunk``.
 

@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linefacts.llm._chunks import by_chunk, chunk_count, into_chunks, read_chunk
+from linefacts.llm._chunks import by_chunk, chunk_count, into_chunks, read_chunk, streamed
 from linefacts.llm._hash import Lookup, U, buffer_of, lanes, word_hashes, words_of
 from linefacts.llm._shared import trim, written
 
@@ -205,30 +205,6 @@ def _table(batches: Iterator):
     return pa.Table.from_batches(held).combine_chunks() if held else None
 
 
-def _streamed(batches: Iterator, by: str, size: int) -> Iterator:
-    """Tables of whole runs of equal ``by``, of about ``size`` rows; runs come one after another."""
-    import pyarrow as pa
-
-    held, rows = [], 0
-    for b in batches:
-        at = 0
-        if rows + b.num_rows > size and b.num_rows:
-            key = b.column(by).to_numpy()
-            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-            if held and held[-1].column(by)[-1].as_py() != key[0].item():
-                cuts = np.append(0, cuts)
-            for c in cuts.tolist():
-                if rows + c - at >= size or c == cuts[-1]:
-                    held.append(b.slice(at, c - at))
-                    if (t := pa.Table.from_batches(held)).num_rows:
-                        yield t.combine_chunks()
-                    held, rows, at = [], 0, c
-        held.append(b.slice(at))
-        rows += b.num_rows - at
-    if held and rows:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def _totals(rows: DataFrame) -> DataFrame:
     """For each word that more than one chunk has: its total, for each such chunk. And, with chunk -1, how many training words a partition has."""
 
@@ -278,7 +254,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
             sums = [np.bincount(back, np.concatenate([h[k] for h in held])) for k in (1, 2, 3)]
             return pa.RecordBatch.from_pydict(dict(zip(("node", "logs", "n0", "n1"), (to, *sums))))
 
-        for t in _streamed(batches, "triple", GRAMS):
+        for t in streamed(batches, "triple", GRAMS):
             nodes, logs, _ = tree(t.column("key").to_numpy().view(U), t.column("n").to_numpy(), depth)[-1]
             # (the two nearest bytes, node) of each node of three-byte contexts
             node, pair_ = (nodes.keys & U(255)).astype(np.int64), (nodes.keys >> U(16)).astype(np.int64)
@@ -321,7 +297,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
     def downward(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for t in _streamed(batches, "triple", GRAMS):
+        for t in streamed(batches, "triple", GRAMS):
             own, head = t.column("triple").to_numpy(), t.column("nodes").is_valid().to_numpy()
             seen = np.unique(own[head] >> 8)
             pairs = np.zeros((3, len(seen), 256))

@@ -21,8 +21,8 @@ buckets are refined in three rounds, each of which drops what has become alone:
 Texts stay in chunk files. A row stands for all equal runs of a chunk, so a
 passage that very many documents share is a row a chunk, and those meet in
 partial sums. A bucket with more than ``HOT`` different runs is dealt out by
-window instead of by anchor, so a task of round 3 holds at most about ``TASK``
-bytes and one bucket. Anchors and names are 64-bit hashes: windows count as
+window instead of by anchor, and a task of round 3 holds ``RUNS`` runs or one
+bucket at a time. Anchors and names are 64-bit hashes: windows count as
 settled if two such names agree (128 bits), and runs at edges are compared
 byte by byte. Pointers are renewed between the passes of a refinement, not
 inside one: a pointer that had run ahead of its pass would stand for more bytes
@@ -42,15 +42,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linefacts.llm._chunks import by_chunk, chunk_count, into_chunks, read_chunk
+from linefacts.llm._chunks import by_chunk, chunk_count, into_chunks, read_chunk, streamed
 from linefacts.llm._hash import U, buffer_of, lanes, mix, pair
 from linefacts.llm._shared import trim, written
 
 LENGTH, Q = 200, 48
 CHUNK = 2 << 20
 HOT = 20_000
-#: Bytes of runs that one task sorts in round 3.
-TASK = 6 << 20
+#: Bytes of runs that one task sorts in round 3, and how many of its runs at a time (whole buckets).
+TASK, RUNS = 6 << 20, 4096
 #: Odd factors of the levels: a position's identifier at a depth is the sum of its parts' times these.
 FACTOR = mix(np.arange(101, 113, dtype=U)) | U(1)
 
@@ -191,24 +191,20 @@ def _settle(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held = list(batches)
-        if not held or not sum(b.num_rows for b in held):
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
-        raws = t.column("bytes").to_pylist()
-        data, edges = buffer_of(raws)
-        sizes = np.diff(edges) - 1 - length + 1
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        w = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + edges[doc]
-        hit = refine(data, w, length)
-        doc, at = doc[hit], (w - edges[doc])[hit]
-        d, s, e = merged(doc, at, at + length)
-        base = t.column("start").to_numpy()[d]
-        yield from pa.table({"chunk": t.column("chunk").to_numpy()[d], "at": t.column("at").to_numpy()[d], "start": base + s, "end": base + e}).to_batches(max_chunksize=100_000)
-        del held, t, raws, data, doc, w, hit
+        for t in streamed(batches, "key", RUNS):
+            data, edges = buffer_of(t.column("bytes").to_pylist())
+            sizes = np.diff(edges) - 1 - length + 1
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            w = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + edges[doc]
+            hit = refine(data, w, length)
+            doc, at = doc[hit], (w - edges[doc])[hit]
+            d, s, e = merged(doc, at, at + length)
+            base = t.column("start").to_numpy()[d]
+            yield from pa.table({"chunk": t.column("chunk").to_numpy()[d], "at": t.column("at").to_numpy()[d], "start": base + s, "end": base + e}).to_batches(max_chunksize=100_000)
+            del t, data, doc, at, w, hit
         trim()
 
-    return rows.repartition(parts, "key").mapInArrow(run, "chunk long, at long, start long, end long")
+    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "chunk long, at long, start long, end long")
 
 
 def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, q: int = Q) -> tuple[DataFrame, str, int]:
