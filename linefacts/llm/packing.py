@@ -31,7 +31,8 @@ from linefacts.llm._shared import trim, written
 from linefacts.llm._tok import encoder
 
 GROUP = 65_536
-BATCH = 1024
+#: Documents that are encoded at once.
+BATCH = 256
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -117,7 +118,8 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, size: int, key: str
                 cols = list(zip(*rows))
                 out = {"doc_id": pa.array(cols[0], pa.int64()), "piece": pa.array(cols[1], pa.int32()), "start": pa.array(cols[2], pa.int64()), "length": pa.array(cols[3], pa.int64()), "ids_crc32": pa.array(cols[4], pa.int64())}
                 yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(cols[5], pa.binary())} if with_ids else {}))
-        trim()
+            rows = cols = out = None
+            trim()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECE + ", ids binary" * with_ids)
 

@@ -40,7 +40,8 @@ from linefacts.llm._tok import encoder
 BUCKET = 200_000
 #: Bits for each key on a level.
 GAMMA = 2.0
-BATCH = 1024
+#: Documents that are encoded at once.
+BATCH = 256
 #: Bytes after which a shard ends and the next begins; shards of one task at most (far beyond what one writes).
 SHARD, ROLLS = 256 << 20, 1 << 20
 #: Documents with gaps of at most so many bytes are read at once, up to so many bytes.
