@@ -12,7 +12,7 @@ places where a text is cut here, so the ids of a text are the ids of its pieces:
 
 New pieces of a batch are encoded together, joined, and told apart afterwards:
 ``keep`` by the byte lengths of the tokens, ``drop`` by end-of-word tokens.
-The table of known pieces is emptied when it holds ``KNOWN`` pieces.
+The table of known pieces is emptied when it is full; results don't depend on it.
 """
 
 from __future__ import annotations
@@ -36,10 +36,11 @@ PLAIN_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,!?;:]*)").fullmatch
 _open: dict[str, "Encoder"] = {}
 
 
-def encoder(path: str) -> "Encoder":
-    """The worker's encoder for a vocabulary file; opened once for each process."""
+def encoder(path: str, known: int = KNOWN) -> "Encoder":
+    """The worker's encoder for a vocabulary file; opened once for each process. ``known``: pieces that it keeps at most."""
     if path not in _open:
         _open[path] = Encoder(path)
+    _open[path].known = known
     return _open[path]
 
 
@@ -47,6 +48,8 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.known = KNOWN
+
         self.tok = Tokenizer.from_file(path)
         if hasattr(self.tok.model, "_resize_cache"):
             self.tok.model._resize_cache(0)  # it would only hold what `known` holds
@@ -198,7 +201,7 @@ class Encoder:
         lead = lanes(data)[starts] & MASK[np.minimum(size, 8)]
         at, new = self._find(hashes, lead, size)
         if new.any():
-            if self.n + int(new.sum()) > KNOWN:
+            if self.n + int(new.sum()) > self.known:
                 self._forget()
                 new[:] = True
             _, one = np.unique(hashes[new], return_index=True)

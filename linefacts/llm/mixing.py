@@ -200,6 +200,11 @@ def places(seed: int, h: str, entries: str, copy: str) -> Column:
     return F.transform(taken, lambda x: F.struct(x["shard"].alias("shard"), F.xxhash64(F.lit(seed + 1), h, x["pass"], copy).alias("place")))
 
 
+def shard_count(sources: DataFrame, share: float) -> int:
+    words = sources.agg(F.sum("source_size").alias("w")).first().w or 0
+    return max(SHARDS, -(-int(words * share) // SHARD_WORDS))
+
+
 def plan(docs: DataFrame, key: str, text: str, source: str, weights, share: float, cap: float, seed: int, shards: int | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(rows with their blocks, sources, draws of blocks (sid, block, pass, shard, whole, part), documents picked of blocks that are drawn in part).
 
@@ -215,8 +220,7 @@ def plan(docs: DataFrame, key: str, text: str, source: str, weights, share: floa
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("long")
     sources = sources.withColumn("passes", passes).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size")))
     sources = written(sources.withColumn("dealt", F.ceil(F.col("docs") / BLOCK).cast("long")), "mix-sources")
-    words = sources.agg(F.sum("source_size").alias("w")).first().w or 0
-    shards = shards or max(SHARDS, -(-int(words * share) // SHARD_WORDS))
+    shards = shards or shard_count(sources, share)
 
     same = F.col("r.source").eqNullSafe(F.col("s.source"))
     rows = rows.alias("r").join(sources.select("source", "sid", "dealt").alias("s"), same).select("r.*", "s.sid", F.pmod(F.col("r.h"), F.col("s.dealt")).alias("block"))
@@ -280,7 +284,8 @@ def _entries(drawn: DataFrame, *keys: str) -> DataFrame:
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, **how) -> DataFrame:
     """The documents of the mix, a row for each copy, with all their columns and ``shard`` and ``place``; shards are whole and in their order."""
-    _, _, drawn = mix(docs, key, text, source, seed=seed, **how)
+    _, sources, drawn = mix(docs, key, text, source, seed=seed, **how)
+    shards = how.get("shards") or shard_count(sources, how.get("share", 1.5))
     keys = ["i__", "j__", "s__", "t__", "h__"]
     named = lambda i, s, h: [F.coalesce(i.cast("string"), F.lit("")).alias("i__"), i.isNull().alias("j__"), F.coalesce(s.cast("string"), F.lit("")).alias("s__"), s.isNull().alias("t__"), h.alias("h__")]
     went = _entries(drawn.select(*named(F.col("doc_id"), F.col("source"), F.col("h")), "pass", "shard", "k"), *keys)
@@ -288,7 +293,8 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     rows = rows.withColumn("copy__", F.row_number().over(Window.partitionBy(*keys).orderBy("h__")).cast("long"))
     out = rows.join(went, keys).withColumn("at__", F.explode(places(seed, "h__", "entries__", "copy__")))
     out = out.select(*(c for c in docs.columns if c not in ("shard", "place")), F.col("at__.shard").alias("shard"), F.col("at__.place").alias("place"))
-    return out.repartition("shard").sortWithinPartitions("shard", "place")
+    # A task holds a shard or few, however many there are.
+    return out.repartition(2 * shards, "shard").sortWithinPartitions("shard", "place")
 
 
 def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

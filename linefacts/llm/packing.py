@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linefacts.llm._shared import trim, written
-from linefacts.llm._tok import encoder
+from linefacts.llm._tok import KNOWN, encoder
 
 GROUP = 65_536
 #: Documents that are encoded at once.
@@ -96,13 +96,13 @@ def pack(lengths: np.ndarray, size: int, max_docs: int, max_cost: int, by: str =
     return bins, offsets
 
 
-def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, size: int, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, size: int, key: str = "doc_id", text: str = "text", with_ids: bool = False, known: int = KNOWN) -> DataFrame:
     """Each document's ids with the end id, cut if longer than ``size``."""
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encode, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(vocabulary, known), np.array([end_id], "<u4").tobytes()
         for b in batches:
             for i in range(0, b.num_rows, BATCH):
                 part = b.slice(i, BATCH)
@@ -124,13 +124,13 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, size: int, key: str
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECE + ", ids binary" * with_ids)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, size: int = 1024, max_docs: int | None = None, max_cost: int | None = None, by: str = "norm", weights=(1.0, 1.0, 1.0), with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, size: int = 1024, max_docs: int | None = None, max_cost: int | None = None, by: str = "norm", weights=(1.0, 1.0, 1.0), with_ids: bool = False, known: int = KNOWN) -> DataFrame:
     """Pieces with their sequence and place. The default document and attention capacities never bind, so bins are as few as can be.
 
     Texts don't move: a piece is a row of 40 bytes (without its ids).
     """
     max_docs, max_cost = max_docs or size, max_cost or size * size
-    pieces = written(pieces_of(docs, vocabulary, end_id, size, with_ids=with_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    pieces = written(pieces_of(docs, vocabulary, end_id, size, with_ids=with_ids, known=known).withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // GROUP))
 
     def fill(table):
