@@ -19,6 +19,8 @@ from linefacts.llm.quality import cleaned
 from linefacts.llm.suffix_dedup import deduplicated
 
 
+#: Pieces that a tokenizing worker keeps: fewer than alone, since the stages before have filled the executors' heaps.
+KNOWN = 500_000
 #: Work tables that a stage's result was read from, by the stage's name.
 _left: dict[str, list[str]] = {}
 
@@ -69,7 +71,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their sequences and places."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), known=KNOWN)
 
 
 STAGES = [
