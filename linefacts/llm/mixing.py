@@ -290,6 +290,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     named = lambda i, s, h: [F.coalesce(i.cast("string"), F.lit("")).alias("i__"), i.isNull().alias("j__"), F.coalesce(s.cast("string"), F.lit("")).alias("s__"), s.isNull().alias("t__"), h.alias("h__")]
     went = _entries(drawn.select(*named(F.col("doc_id"), F.col("source"), F.col("h")), "pass", "shard", "k"), *keys)
     rows = docs.select("*", *named(F.col(key), F.col(source), F.xxhash64(F.lit(seed), F.col(key), F.col(text))))
+    rows = rows.repartition(2 * shards, *keys)  # whole texts: as many tasks as their size asks for
     rows = rows.withColumn("copy__", F.row_number().over(Window.partitionBy(*keys).orderBy("h__")).cast("long"))
     out = rows.join(went, keys).withColumn("at__", F.explode(places(seed, "h__", "entries__", "copy__")))
     out = out.select(*(c for c in docs.columns if c not in ("shard", "place")), F.col("at__.shard").alias("shard"), F.col("at__.place").alias("place"))
